@@ -1,0 +1 @@
+"""Log-audit analytics as Spark jobs."""
