@@ -63,7 +63,8 @@ def features(text: str) -> np.ndarray:
 def _sampled(batches):
     for pdf in batches:
         pdf = pdf[[bool(t and LETTER.search(t)) for t in pdf["text"]]]
-        yield pd.DataFrame({"lang": pdf["lang"], "x": [np.sqrt(features(t)).tolist() for t in pdf["text"]]})
+        if len(pdf):
+            yield pd.DataFrame({"lang": pdf["lang"], "x": [np.sqrt(features(t)).tolist() for t in pdf["text"]]})
 
 
 def svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 7) -> np.ndarray:

@@ -23,7 +23,6 @@ import zlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +81,12 @@ class Pieces:
         self.both = np.zeros(1 << 22, bool)
         self.both[self.bucket(self.hashes[rest], 42)] = True
 
-    STEP = np.uint64(0x9E3779B97F4A7C15)
+    STEP, SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)  # a seed of 0 would hide a leading NUL
 
     @classmethod
     def hash(cls, rows: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = np.zeros(len(rows), np.uint64)
+            h = np.full(len(rows), cls.SEED)
             for k in range(rows.shape[1]):
                 h = (h ^ rows[:, k]) * cls.STEP
             return h
@@ -127,7 +126,7 @@ class Lattice:
         place = np.arange(n) - np.repeat(np.cumsum(self.length) - self.length, self.length)  # of each character in its word
         room = np.repeat(self.length, self.length) - place
         slot = np.arange(n) + np.repeat(np.arange(len(words)), self.length)  # the node before each character
-        h, live = np.zeros(n, np.uint64), np.arange(n)
+        h, live = np.full(n, v.SEED), np.arange(n)
         ends, backs, weights, pieces = [], [], [], []
         single = np.zeros(n, bool)
         for size in range(1, v.longest + 1):
@@ -200,8 +199,9 @@ def sample(v: Pieces, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
     flat = [w for ws in split for w in ws]
     if not flat:
         return [np.zeros(0, np.int32) for _ in texts]
-    number, distinct = pd.factorize(np.array(flat, object))
-    lat = Lattice(v, list(distinct))
+    place_of = {w: i for i, w in enumerate(dict.fromkeys(flat))}  # pandas would take words that differ after a NUL as one
+    number = np.fromiter(map(place_of.__getitem__, flat), np.int64, len(flat))
+    lat = Lattice(v, list(place_of))
     counts = np.array([len(ws) for ws in split])
     size, begin = lat.length[number], lat.start[number]
     key, ends = np.repeat(keys, counts), np.cumsum(size)
