@@ -12,7 +12,8 @@ only classes meet in buckets:
 
 So every pair that shares a bucket is either held against its sets (or ruled out by an estimate
 at least four deviations below the threshold) or already in one component; no task emits the
-pairs of a large group of copies.
+pairs of a large group of copies: step 3 confirms sets of up to 1024 shingles where it stands and
+gives only as many links as join the components of a block.
 
 Texts that are null or without words have no shingles: n_shingles 0, linked with nothing. Rows
 without an id are linked with nothing and have component_id null and kept true. Rows that repeat an
@@ -37,7 +38,7 @@ from .shingles import sets
 FUNCTIONS = 64
 BAND = 4  # values
 BANDS = 2 * FUNCTIONS // BAND
-BLOCK = 1024  # members of a bucket that meet in one task
+BLOCK = 512  # members of a bucket that meet in one task
 _RNG = np.random.default_rng(20240501)
 _TIMES = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,22 +101,52 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
 
-def _near(key: tuple, pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of one or two blocks of a bucket in different components that may be similar."""
+SKETCH = 1024  # least hashes of a set that go into step 3: all of most sets
+
+
+def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the others, those similar to i, and those that their heads can't rule out."""
+    small = others[sizes[others] <= SKETCH] if sizes[i] <= SKETCH else others[:0]
+    sure = small
+    if len(small):
+        flat, first = np.concatenate([heads[j] for j in small]), np.cumsum([0, *(len(heads[j]) for j in small[:-1])])
+        at = np.minimum(np.searchsorted(heads[i], flat), len(heads[i]) - 1)
+        both = np.add.reduceat((heads[i][at] == flat).astype(np.int64), first)
+        sure = small[100 * both >= percent * (sizes[i] + sizes[small] - both)]
+    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
+    maybe = []
+    for j in others if sizes[i] > SKETCH else others[sizes[others] > SKETCH]:
+        low = np.union1d(heads[i], heads[j])[:SKETCH]  # the least hashes of the union
+        share = (np.isin(low, heads[i], assume_unique=True) & np.isin(low, heads[j], assume_unique=True)).mean()
+        if share >= least:
+            maybe.append(j)
+    return sure, np.array(maybe, np.int64)
+
+
+def _near(key: tuple, pdf: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+    """Links between the components of one or two blocks of a bucket: as many as join them, not all."""
     _, left, right = key
     sig = np.vstack([np.frombuffer(x, "<u4") for x in pdf["sig"]])
-    ids, comp, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-    rows = np.flatnonzero(block == left)
-    cols = np.flatnonzero(block == right)
+    heads, sizes = [np.frombuffer(x, "<u8") for x in pdf["head"]], pdf["n"].to_numpy()
+    ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+    comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+    rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
     if left == right and len(rows):  # the largest component has no pairs of its own to test
-        values, counts = np.unique(comp[rows], return_counts=True)
-        rows = rows[comp[rows] != values[counts.argmax()]]
+        rows = rows[comp[rows] != np.bincount(comp[rows]).argmax()]
+    turn = np.full(len(ids), len(ids))
+    turn[rows] = np.arange(len(rows))
     found = []
-    for i in rows:
-        other = cols[comp[cols] != comp[i]]
-        same = (sig[other] == sig[i]).sum(1)
-        found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other[same >= least * sig.shape[1]]]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+    for k, i in enumerate(rows):
+        other = cols[(comp[cols] != comp[i]) & ((turn[cols] > k) if left == right else True)]
+        other = other[(sig[other] == sig[i]).sum(1) >= least * sig.shape[1]]
+        sure, maybe = _links(i, other, heads, sizes, percent)
+        found += [(ids[i], ids[j]) for j in maybe]
+        for j in sure:
+            if comp[j] != comp[i]:
+                found.append((ids[i], ids[j]))
+                comp[comp == comp[j]] = comp[i]
+    pairs = sorted({(min(p), max(p)) for p in found})
+    return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
 
 def components(spark, links: DataFrame) -> DataFrame:
@@ -145,7 +176,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     values = BAND * 4
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * values + 1, F.lit(values)))))
     member = classes.select(band.alias("bucket"), "id")
-    shared = member.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1")
+    # a table, not an aggregate, meets the members: Spark can then split a bucket that very many share
+    shared = common.table(spark, member.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1"), "minhash-buckets")
     member = common.table(spark, member.join(shared, "bucket"), "minhash-members")
     stars = member.filter("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -157,13 +189,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     placed = member.filter("size > 2").join(comp, "id", "left").select("bucket", "id", "center", "size", F.coalesce("root", "id").alias("comp"))
     rest = placed.filter("id <> center")
     open_ = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    rest = rest.join(open_, "bucket").join(classes.select("id", "sig"), "id")
+    head = full.select("id", F.substring("set", 1, F.lit(8 * SKETCH)).alias("head"), F.floor(F.octet_length("set") / 8).alias("n"))
+    rest = rest.join(common.table(spark, open_, "minhash-open"), "bucket").join(classes.select("id", "sig"), "id").join(head, "id")
     n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rest = rest.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (2 * FUNCTIONS)) ** 0.5
-    maybe = rest.select("bucket", "left", "right", "id", "comp", "block", "sig").groupBy("bucket", "left", "right").applyInPandas(lambda key, pdf: _near(key, pdf, least), "a long, b long")
+    maybe = rest.select("bucket", "left", "right", "id", "comp", "block", "sig", "head", "n").groupBy("bucket", "left", "right").applyInPandas(lambda key, pdf: _near(key, pdf, least, percent), "a long, b long")
     more = confirmed(maybe.distinct(), full, percent)
     links = common.table(spark, links.union(more), "minhash-links")
     comp = components(spark, links)
