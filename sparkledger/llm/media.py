@@ -2,8 +2,9 @@
 
 Corners are found at several scales of each picture; each gets an orientation (the intensity
 centroid of its patch) and 128 binary tests turned by it. Descriptors meet in four Hamming
-tables of 32 bits: two at distance 3 or less share at least one table value. Pairs within
-`MOST` bits vote for the shift and scale that carries one picture into the other; a copy is
+tables of 32 bits: two at distance 3 or less share at least one table value. The stated queries are
+held against all rows in blocks of about `BLOCK` pictures, each a broadcast of bounded size, so the
+corners of all pictures stay where they are. Pairs within `MOST` bits vote for the shift and scale that carries one picture into the other; a copy is
 confirmed by at least `VOTES` corners that agree.
 
 Pictures with equal pixels are one class: only classes are compared, and a page inherits what its
@@ -24,11 +25,12 @@ from . import common
 
 SIDE = 96
 SCALES = (1.0, 0.75, 0.5625)
-CORNERS = (24, 16, 8)  # a scale
+CORNERS = (20, 12, 8)  # a scale
 RADIUS = 7
 MOST = 12
 VOTES = 6
 BIN = 6  # pixels
+BLOCK = 2000  # query pictures at once
 _RNG = np.random.default_rng(77)
 _TESTS = np.clip(np.rint(_RNG.normal(0, RADIUS / 2, (128, 4))), -RADIUS, RADIUS)
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
@@ -49,16 +51,17 @@ _TURNED = _turned()
 
 
 def render(seed: bytes) -> np.ndarray:
-    """A picture drawn from a digest: blocks of grey on a slope."""
+    """A picture drawn from a digest: blocks of grey on a grain of its own."""
     rng = np.random.default_rng(np.frombuffer(hashlib.sha256(seed).digest(), np.uint32))
     n = 40
-    g = np.add.outer(np.arange(SIDE), np.arange(SIDE)).astype(np.float32) * 0.3 + 40
+    grain = box(rng.integers(-60, 60, (1, SIDE, SIDE)).astype(np.float32), 1)[0] / 3
+    g = np.full((SIDE, SIDE), 90, np.float32)
     y, x = rng.integers(0, SIDE - 6, (2, n))
     h, w = rng.integers(5, 26, (2, n))
     v = rng.integers(0, 200, n)
     for i in range(n):
         g[y[i] : y[i] + h[i], x[i] : x[i] + w[i]] = v[i]
-    return g.astype(np.uint8)
+    return np.clip(g + grain, 0, 255).astype(np.uint8)
 
 
 def edited(p: np.ndarray, how: int) -> np.ndarray:
@@ -149,23 +152,30 @@ def pictures(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataF
     before = own.groupBy((F.col("page_id") + 1).alias("page_id")).agg(F.min("seed").alias("other"))
     copy = (F.pmod(F.col("page_id"), F.lit(4)) == 3) & F.col("other").isNotNull()
     drawn = own.join(before, "page_id", "left").select("page_id", F.when(copy, F.col("other")).otherwise(F.col("seed")).alias("seed"), F.when(copy, F.pmod(F.floor(F.col("page_id") / 4), F.lit(3)).cast("int")).alias("how"))
+    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small rows, much work
     return drawn.mapInArrow(_draw, "page_id long, height int, pixels binary")
 
 
+CORNER = pa.struct([("scale", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+
 def _features(batches, at_once: int = 128):
-    names = ["class", "scale", "y", "x", "a", "b"]
+    """A row per page: the digest of its picture, null if it has none, and its corners."""
     for batch in batches:
-        ids, heights, pixels = (batch.column(i).to_pylist() for i in range(3))
+        heights, pixels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        found: list[list] = [[] for _ in heights]
+        digest = [hashlib.md5(b"%d " % (h or 0) + p).digest() if p is not None else None for h, p in zip(heights, pixels, strict=True)]
         shapes: dict[tuple[int, int], list[int]] = {}
         for i, (h, p) in enumerate(zip(heights, pixels, strict=True)):
-            if p and h and len(p) % h == 0:
+            if p and h and h > 0 and len(p) % h == 0:
                 shapes.setdefault((h, len(p) // h), []).append(i)
         for (h, w), rows in shapes.items():
             for k in range(0, len(rows), at_once):
                 part = rows[k : k + at_once]
                 stack = np.stack([np.frombuffer(pixels[i], np.uint8).reshape(h, w) for i in part])
-                i, s, y, x, a, b = describe(stack)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[part[j]] for j in i], pa.int64()), pa.array(s, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+                for i, *c in zip(*(c.tolist() for c in describe(stack)), strict=True):
+                    found[part[i]].append(dict(zip(("scale", "y", "x", "a", "b"), c, strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.list_(CORNER))], names=["page_id", "of", "corners"])
 
 
 def copies(media: DataFrame, every: int = 50) -> DataFrame:
@@ -175,23 +185,35 @@ def copies(media: DataFrame, every: int = 50) -> DataFrame:
     media: page_id, height, pixels."""
     spark = media.sparkSession
     common.ship(spark)
-    media = media.withColumn("of", F.xxhash64("height", "pixels")).withColumn("of2", F.unhex(F.md5("pixels")))
-    media = common.table(spark, media, "pictures")
-    classes = media.filter("pixels IS NOT NULL AND page_id IS NOT NULL").groupBy("of", "of2").agg(F.min("page_id").alias("class"), F.max(F.pmod("page_id", F.lit(every)) == 0).alias("asked"))
+    kind = "page_id long, of binary, corners array<struct<scale:int,y:int,x:int,a:bigint,b:bigint>>"
+    pages = common.table(spark, media.select("page_id", "height", "pixels").mapInArrow(_features, kind), "corners")
+    classes = pages.filter("of IS NOT NULL AND page_id IS NOT NULL").groupBy("of").agg(F.min("page_id").alias("class"), F.max(F.pmod("page_id", F.lit(every)) == 0).alias("asked"))
     classes = common.table(spark, classes, "picture-classes")
-    one = media.select("page_id", "height", "pixels").join(classes.select(F.col("class").alias("page_id")), "page_id")
-    found = common.table(spark, one.mapInArrow(_features, "class long, scale int, y int, x int, a long, b long"), "corners")
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("table"), F.shiftrightunsigned(F.col(c), 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for k, (c, h) in enumerate((("a", 0), ("a", 1), ("b", 0), ("b", 1)))]))
-    table = found.select("*", parts.alias("p")).select("class", "scale", "y", "x", "a", "b", "p.*")
-    asked = classes.filter("asked").select("class")
-    queries = found.join(asked, "class").select("*", parts.alias("p")).select(F.col("class").alias("q"), F.col("scale").alias("qs"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("a").alias("qa"), F.col("b").alias("qb"), "p.*")
-    met = table.join(queries, ["table", "value"]).filter("class <> q AND bit_count(a ^ qa) + bit_count(b ^ qb) <= %d" % MOST)
-    ratio = F.pow(F.lit(SCALES[0] / SCALES[1]), F.col("scale") - F.col("qs"))  # a corner found at a smaller scale is larger
-    vote = met.select("q", "class", "qs", "qy", "qx", (F.col("scale") - F.col("qs")).alias("zoom"), (F.col("y") - ratio * F.col("qy")).alias("dy"), (F.col("x") - ratio * F.col("qx")).alias("dx"))
-    cells = vote.select("q", "class", "zoom", F.struct("qs", "qy", "qx").alias("corner"), *[F.explode(F.array(*[F.floor(F.col(d) / BIN + o).cast("int") for o in (0.0, 0.5)])).alias(d) if d == "dy" else F.col(d) for d in ("dy", "dx")])
-    cells = cells.select("q", "class", "zoom", "corner", "dy", F.explode(F.array(*[F.floor(F.col("dx") / BIN + o).cast("int") for o in (0.0, 0.5)])).alias("dx"))
-    agreed = cells.groupBy("q", "class", "zoom", "dy", "dx").agg(F.count_distinct("corner").alias("votes")).filter(F.col("votes") >= VOTES)
-    pairs = agreed.groupBy("class").agg(F.array_sort(F.collect_set("q")).alias("copy_of"))
-    pairs = common.table(spark, pairs, "picture-pairs")
-    member = media.select("page_id", "of", "of2").join(classes.select("of", "of2", "class"), ["of", "of2"], "left").join(pairs, "class", "left")
-    return member.select("page_id", F.col("class").alias("class_id"), F.coalesce("copy_of", F.array().cast("array<long>")).alias("copy_of"), F.size(F.coalesce("copy_of", F.array().cast("array<long>"))).cast("long").alias("n_copies"))
+    one = pages.join(classes.select(F.col("class").alias("page_id"), "of", "asked"), ["page_id", "of"])
+    found = common.table(spark, one.select(F.col("page_id").alias("class"), "asked", "corners"), "class-corners")
+    n = found.filter("asked").count()
+    blocks = -(-n // BLOCK) or 1
+
+    words = F.array(*[F.shiftrightunsigned(c, 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit((2 * i + h) << 32) for i, c in enumerate("ab") for h in (0, 1)])
+    flat = lambda rows: rows.select("class", F.explode("corners").alias("k")).select("class", "k.*")
+    all_keys = flat(found).withColumn("key", F.explode(words))
+    ratio = F.pow(F.lit(SCALES[0] / SCALES[1]), F.col("scale") - F.col("qscale"))  # a corner found at a smaller scale is larger
+
+    def votes(block: int) -> DataFrame:
+        asked = flat(found.filter("asked").filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block)).withColumn("key", F.explode(words))
+        asked = asked.select(F.col("class").alias("q"), *[F.col(c).alias(f"q{c}") for c in ("scale", "y", "x", "a", "b")], "key")
+        met = all_keys.join(F.broadcast(asked), "key").filter("class <> q").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("qa"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("qb"))) <= MOST)
+        corner = (F.col("qscale") * 100_000 + F.col("qy")).cast("long") * 100_000 + F.col("qx")
+        grid = lambda d: F.array(F.floor(F.col(d)), F.floor(F.col(d) + 0.5) + F.lit(100_000))  # noqa: E731  two grids, half a bin apart
+        shift = met.select("q", "class", corner.alias("corner"), (F.col("scale") - F.col("qscale")).alias("zoom"), *[((F.col(d) - ratio * F.col(f"q{d}")) / BIN).alias(f"d{d}") for d in "yx"])
+        cells = shift.withColumn("cy", F.explode(grid("dy"))).withColumn("cx", F.explode(grid("dx")))
+        agreed = cells.groupBy("q", "class", "zoom", "cy", "cx").agg(F.count_distinct("corner").alias("n")).filter(F.col("n") >= VOTES)
+        return agreed.select("q", "class")
+
+    pairs = votes(0)
+    for block in range(1, blocks):
+        pairs = pairs.unionByName(votes(block))
+    pairs = common.table(spark, pairs.groupBy("class").agg(F.array_sort(F.collect_set("q")).alias("copy_of")), "picture-pairs")
+    member = pages.select("page_id", "of").join(classes.select("of", "class"), "of", "left").join(pairs, "class", "left")
+    none = F.coalesce("copy_of", F.array().cast("array<long>"))
+    return member.select("page_id", F.col("class").alias("class_id"), none.alias("copy_of"), F.size(none).cast("long").alias("n_copies"))
