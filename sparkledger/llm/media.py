@@ -27,7 +27,7 @@ SIDE = 96
 SCALES = (1.0, 0.75, 0.5625)
 CORNERS = (20, 12, 8)  # a scale
 RADIUS = 7
-MOST = 12
+MOST = 5
 VOTES = 6
 BIN = 6  # pixels
 BLOCK = 2000  # query pictures at once
@@ -152,7 +152,7 @@ def pictures(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataF
     before = own.groupBy((F.col("page_id") + 1).alias("page_id")).agg(F.min("seed").alias("other"))
     copy = (F.pmod(F.col("page_id"), F.lit(4)) == 3) & F.col("other").isNotNull()
     drawn = own.join(before, "page_id", "left").select("page_id", F.when(copy, F.col("other")).otherwise(F.col("seed")).alias("seed"), F.when(copy, F.pmod(F.floor(F.col("page_id") / 4), F.lit(3)).cast("int")).alias("how"))
-    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small rows, much work
+    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # small rows, much work
     return drawn.mapInArrow(_draw, "page_id long, height int, pixels binary")
 
 
