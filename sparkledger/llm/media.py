@@ -159,7 +159,7 @@ def pictures(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataF
 CORNER = pa.struct([("scale", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _features(batches, at_once: int = 128):
+def _features(batches, at_once: int = 16):
     """A row per page: the digest of its picture, null if it has none, and its corners."""
     for batch in batches:
         heights, pixels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
