@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,37 @@ def put_file(uri: str, data_writer) -> None:
     f.move(part, path)
 
 
+#: What a Python worker keeps from task to task, by kind.
+CACHES: dict[str, dict] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and shares its executor with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def task(cache: str | None = None):
+    """For functions of batches: caches of other kinds go before the first batch, freed memory after the last."""
+
+    def of(f):
+        @wraps(f)
+        def run(*args, **named):
+            for kind in [k for k in CACHES if k != cache]:
+                del CACHES[kind]
+            try:
+                yield from f(*args, **named)
+            finally:
+                give_back()
+
+        return run
+
+    return of
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):

@@ -56,6 +56,7 @@ def signatures(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@common.task()
 def _rows(batches, words: int):
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -79,6 +80,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+@common.task()
 def _confirm(batches, percent: int):
     for batch in batches:
         a, b = ([np.frombuffer(x, "<u8") for x in batch.column(i).to_pylist()] for i in (2, 3))
@@ -86,6 +88,7 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
 
+@common.task()
 def _set_bytes(batches, words: int):
     for batch in batches:
         texts = batch.column(1).to_pylist()

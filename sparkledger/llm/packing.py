@@ -79,6 +79,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((a, capacity) for a in range(head, n, capacity))]
 
 
+@common.task("tokens")
 def _pieces(batches, path: str | None, capacity: int):
     gc.disable()
     enc, end, task = encoder(path), np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()

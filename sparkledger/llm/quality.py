@@ -120,6 +120,7 @@ OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 _ARROW = [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("lost", pa.float64()), ("kept", pa.bool_())]
 
 
+@common.task()
 def _rules(batches, rules: Rules, with_text: bool):
     """The text comes last; the columns before it go through."""
     for batch in batches:

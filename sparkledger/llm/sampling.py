@@ -244,17 +244,16 @@ def decode(v: Pieces, ids) -> str:
     return b"".join(map(v.raw.__getitem__, ids)).decode()
 
 
-_PIECES: dict[tuple, Pieces] = {}
-
-
 def pieces(path: str | None, sharpness: float, byte_weight: float) -> Pieces:
     """One a Python worker."""
     key = (path, sharpness, byte_weight)
-    if key not in _PIECES:
-        _PIECES[key] = Pieces(*key)
-    return _PIECES[key]
+    kept = common.CACHES.setdefault("pieces", {})
+    if key not in kept:
+        kept[key] = Pieces(*key)
+    return kept[key]
 
 
+@common.task("pieces")
 def _encode(batches, path, sharpness: float, byte_weight: float, seed: int, digest: bool):
     gc.disable()  # words and tables hold no cycles
     v = pieces(path, sharpness, byte_weight)
@@ -284,6 +283,7 @@ def encode(docs: DataFrame, seed: int = 1, sharpness: float = 1.0, byte_weight:
     return rows.mapInArrow(f, f"id {kind}, ids array<int>" + ", crc long" * digest).toDF(id, "piece_ids", *["decoded_crc32"] * digest)
 
 
+@common.task("pieces")
 def _decode(batches, path):
     v = pieces(path, 1.0, 1e-5)  # the weights play no part
     for batch in batches:

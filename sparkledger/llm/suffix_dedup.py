@@ -112,6 +112,7 @@ def stretches(raws: list[bytes]):
         yield a, raws[a:], 0
 
 
+@common.task()
 def _anchors(batches):
     for batch in batches:
         raws = [t.encode() for t in batch.column(1).to_pylist()]
@@ -207,6 +208,7 @@ def repeated_heads(gram: np.ndarray, before: np.ndarray, after: np.ndarray, head
     return out
 
 
+@common.task()
 def _compare(batches, most: int = 24_000):
     """Rows sorted by gram: compare the surroundings of each gram; bounded runs of whole grams at a time."""
     schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("heads", pa.list_(pa.int32()))])
@@ -239,6 +241,7 @@ def _compare(batches, most: int = 24_000):
         yield flush(pa.Table.from_batches(held))
 
 
+@common.task()
 def _surroundings(batches):
     """The bytes around the anchors that are asked for, from their texts."""
     for batch in batches:
@@ -251,6 +254,7 @@ def _surroundings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "around", "head", "more", "bytes"])
 
 
+@common.task()
 def _windows(batches):
     """A row for each window of each surrounding: its hash and its head."""
     for batch in batches:
@@ -260,6 +264,7 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sums.hash(s, s + WINDOW, 51).view(np.int64)), pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array((head - s).astype(np.int32))], names=["w", "gram", "around", "h"])
 
 
+@common.task()
 def _cut(batches, with_text: bool):
     for batch in batches:
         out = []

@@ -127,6 +127,7 @@ class ShardReader:
         return np.frombuffer(raw, self.head["kind"])
 
 
+@common.task("tokens")
 def _write(batches, folder: str, path: str | None, width: int):
     gc.disable()  # the memo's many small objects hold no cycles
     shard = TaskContext.get().partitionId()
@@ -163,6 +164,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, text: str
     return shards.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in (("n_docs", "first_doc"), ("n_ids", "first_id"))])
 
 
+@common.task()
 def _read(batches, docs_at_once: int = 512):
     for pdf in batches:
         for path, first_id, lo, hi in zip(pdf["path"], pdf["first_id"], pdf["lo"], pdf["hi"], strict=True):

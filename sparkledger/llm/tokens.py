@@ -15,6 +15,8 @@ from array import array
 
 import regex
 
+from . import common
+
 END_ID = 2
 #: The pre-tokens of this byte-level vocabulary.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -54,13 +56,15 @@ class Words(dict):
         super().__init__()
         self.merge, self.most, self.parts, self.letters = model.tokenize, most, {}, byte_letters()
 
+    def merged(self, pre_token: str) -> bytes:
+        return little([t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(self.letters))])
+
     def part(self, pre_token: str) -> bytes:
         ids = self.parts.get(pre_token)
         if ids is None:
             if len(self.parts) >= self.most:
                 self.parts.clear()
-            mapped = pre_token.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[pre_token] = little([t.id for t in self.merge(mapped)])
+            ids = self.parts[pre_token] = self.merged(pre_token)
         return ids
 
     def text(self, text: str) -> bytes:
@@ -72,9 +76,9 @@ class Words(dict):
         if len(self) >= self.most:
             self.clear()
         if word.isalpha():
-            ids = self.part(" " + word)
+            ids = self.merged(" " + word)
         elif (stem := word.rstrip(TAIL)).isalpha():  # letters, then one pre-token of signs
-            ids = self.part(" " + stem) + self.part(word[len(stem) :])
+            return self[stem] + self.part(word[len(stem) :])  # its parts are kept, not the whole
         else:
             ids = self.text(" " + word)
         self[word] = ids
@@ -107,11 +111,9 @@ class Encoder:
             return self.whole(text)
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
-    """One a Python worker: its memo lasts from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One a Python worker: its memo lasts from task to task, until another operator's task comes."""
+    kept = common.CACHES.setdefault("tokens", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
