@@ -54,31 +54,38 @@ def bytes_of(text: str) -> bytes:
     return (" " + " ".join(text.lower().split()) + " ").encode()
 
 
-def features(text: str) -> np.ndarray:
-    """Shares of the buckets."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the text fills, ascending, and the roots of their shares."""
     g = grams(np.frombuffer(bytes_of(text), np.uint8))
-    return (np.bincount(g, minlength=1 << BITS) / max(len(g), 1)).astype(np.float32)
+    n = np.bincount(g, minlength=1 << BITS)
+    at = np.flatnonzero(n)
+    return at, np.sqrt((n[at] / max(len(g), 1)).astype(np.float32)) * np.float32(8)
 
 
+@common.task()
 def _sampled(batches):
     for pdf in batches:
         pdf = pdf[[bool(t and LETTER.search(t)) for t in pdf["text"]]]
         if len(pdf):
-            yield pd.DataFrame({"lang": pdf["lang"], "x": [np.sqrt(features(t)).tolist() for t in pdf["text"]]})
+            at, x = zip(*map(features, pdf["text"]), strict=True)
+            yield pd.DataFrame({"lang": pdf["lang"].to_list(), "at": [a.astype(np.int16) for a in at], "x": list(x)})
 
 
-def svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 7) -> np.ndarray:
-    """L2-regularised hinge loss by dual coordinate descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, a, q = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(1)
+def svm(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 7) -> np.ndarray:
+    """L2-regularised hinge loss by dual coordinate descent; the last weight is the bias.
+
+    at, x: of each row the places that are not zero, and what stands there."""
+    bias, one = np.array([1 << BITS]), np.ones(1, np.float32)
+    at, x = [np.concatenate([v.astype(np.int64), bias]) for v in at], [np.concatenate([v, one]) for v in x]
+    w, a, q = np.zeros((1 << BITS) + 1, np.float32), np.zeros(len(x)), [float(v @ v) for v in x]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            g = y[i] * float(x[i] @ w) - 1
+            g = y[i] * float(x[i] @ w[at[i]]) - 1
             new = min(max(a[i] - g / q[i], 0.0), c)
             if new != a[i]:
-                w += np.float32((new - a[i]) * y[i]) * x[i]
+                w[at[i]] += np.float32((new - a[i]) * y[i]) * x[i]
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
         if moved < 1e-3:
@@ -101,8 +108,7 @@ def machines(langs: list[str]) -> list[dict]:
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     job = json.loads(pdf["job"].iloc[0])
-    x = np.vstack(pdf["x"].to_list()).astype(np.float32)
-    w = svm(x * np.float32(8), np.where(pdf["lang"].isin(job["yes"]), 1.0, -1.0))
+    w = svm(pdf["at"].to_list(), pdf["x"].to_list(), np.where(pdf["lang"].isin(job["yes"]), 1.0, -1.0))
     return pd.DataFrame({"job": [pdf["job"].iloc[0]], "w": [w.tolist()]})
 
 
@@ -117,13 +123,13 @@ def train(docs: DataFrame, per_language: int = 600, text: str = "text", lang: st
     if not counts:
         return {"langs": [], "jobs": [], "w": []}
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, per_language / n) * (1 << 20)))])
-    x = common.table(spark, rows.filter(F.col("draw") < share[F.col("lang")]).repartition(8).mapInPandas(_sampled, "lang string, x array<float>"), "langid-sample")
+    x = common.table(spark, rows.filter(F.col("draw") < share[F.col("lang")]).repartition(8).mapInPandas(_sampled, "lang string, at array<short>, x array<float>"), "langid-sample")
     langs = sorted(r["lang"] for r in x.select("lang").distinct().collect())
     jobs = machines(langs)
     if not jobs:
         return {"langs": langs, "jobs": [], "w": []}
     todo = spark.createDataFrame([(json.dumps(j), y) for j in jobs for y in j["yes"] + j["no"]], "job string, lang string")
-    got = {r["job"]: np.array(r["w"], np.float32) for r in x.join(F.broadcast(todo), "lang").select("job", "lang", "x").groupBy("job").applyInPandas(_fit, "job string, w array<float>").collect()}
+    got = {r["job"]: np.array(r["w"], np.float32) for r in x.join(F.broadcast(todo), "lang").select("job", "lang", "at", "x").groupBy("job").applyInPandas(_fit, "job string, w array<float>").collect()}
     return {"langs": langs, "jobs": jobs, "w": [got[json.dumps(j)] for j in jobs]}
 
 
@@ -158,12 +164,12 @@ def margins_of(texts: list[str], w: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """w: buckets x machines."""
     out = np.empty((len(texts), w.shape[1]))
     for i, t in enumerate(texts):
-        g = grams(np.frombuffer(bytes_of(t), np.uint8))
-        x = np.sqrt((np.bincount(g, minlength=len(w)) / max(len(g), 1)).astype(np.float32)) * np.float32(8)
-        out[i] = x @ w + bias
+        at, x = features(t)
+        out[i] = x @ w[at] + bias
     return out
 
 
+@common.task()
 def _predict(batches, model: dict):
     """The text comes last; the columns before it go through."""
     w = np.stack(model["w"], 1) if model["w"] else None
