@@ -34,6 +34,7 @@ FAMILIES = {
     "slavic": ("ru", "pl", "cs", "uk", "bg", "sr", "hr", "sk"),
 }
 BITS = 13
+DRAWS = 1 << 62
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -68,7 +69,7 @@ def _sampled(batches):
         pdf = pdf[[bool(t and LETTER.search(t)) for t in pdf["text"]]]
         if len(pdf):
             at, x = zip(*map(features, pdf["text"]), strict=True)
-            yield pd.DataFrame({"lang": pdf["lang"].to_list(), "at": [a.astype(np.int16) for a in at], "x": list(x)})
+            yield pd.DataFrame({"lang": pdf["lang"].to_list(), "draw": pdf["draw"].to_list(), "at": [a.astype(np.int16) for a in at], "x": list(x)})
 
 
 def svm(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, rounds: int = 40, c: float = 10.0, seed: int = 7) -> np.ndarray:
@@ -108,28 +109,31 @@ def machines(langs: list[str]) -> list[dict]:
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     job = json.loads(pdf["job"].iloc[0])
+    pdf = pdf.sort_values(["draw", "lang"], kind="stable")  # in whatever order the rows come, the machine is the same
     w = svm(pdf["at"].to_list(), pdf["x"].to_list(), np.where(pdf["lang"].isin(job["yes"]), 1.0, -1.0))
     return pd.DataFrame({"job": [pdf["job"].iloc[0]], "w": [w.tolist()]})
 
 
 def train(docs: DataFrame, per_language: int = 600, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict:
-    """Fit on at most about `per_language` labelled rows of each language, chosen by a hash of the id.
+    """Fit on at most about `per_language` labelled rows of each language, chosen by a hash of the id and the text.
 
+    Rows with equal ids and texts are one row of the sample, so that rows without an id can't swell it.
     The bound is what makes one task per machine enough. Each language with at least one row is learned."""
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(id), F.lit(1 << 20)).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(id, text), F.lit(DRAWS)).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not counts:
         return {"langs": [], "jobs": [], "w": []}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, per_language / n) * (1 << 20)))])
-    x = common.table(spark, rows.filter(F.col("draw") < share[F.col("lang")]).repartition(8).mapInPandas(_sampled, "lang string, at array<short>, x array<float>"), "langid-sample")
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, DRAWS * min(per_language, n) // n)])
+    drawn = rows.filter(F.col("draw") < share[F.col("lang")]).groupBy("draw", "lang").agg(F.first("text").alias("text"))
+    x = common.table(spark, drawn.repartition(8).mapInPandas(_sampled, "lang string, draw long, at array<short>, x array<float>"), "langid-sample")
     langs = sorted(r["lang"] for r in x.select("lang").distinct().collect())
     jobs = machines(langs)
     if not jobs:
         return {"langs": langs, "jobs": [], "w": []}
     todo = spark.createDataFrame([(json.dumps(j), y) for j in jobs for y in j["yes"] + j["no"]], "job string, lang string")
-    got = {r["job"]: np.array(r["w"], np.float32) for r in x.join(F.broadcast(todo), "lang").select("job", "lang", "at", "x").groupBy("job").applyInPandas(_fit, "job string, w array<float>").collect()}
+    got = {r["job"]: np.array(r["w"], np.float32) for r in x.join(F.broadcast(todo), "lang").select("job", "lang", "draw", "at", "x").groupBy("job").applyInPandas(_fit, "job string, w array<float>").collect()}
     return {"langs": langs, "jobs": jobs, "w": [got[json.dumps(j)] for j in jobs]}
 
 

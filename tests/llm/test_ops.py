@@ -210,6 +210,19 @@ def test_language_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_language_fit_knows_no_order(spark):
+    d = common.documents(spark, "/root/testdata/sf0.001")
+    one, two = langid.train(d.orderBy("doc_id")), langid.train(d.repartition(7).orderBy(F.desc("doc_id")))
+    assert one["jobs"] == two["jobs"] and all(np.array_equal(a, b) for a, b in zip(one["w"], two["w"], strict=True))
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))
+    rows = rows.unionByName(spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("und ein Satz "), "id").alias("text"), F.lit("de").alias("lang")))
+    model = langid.train(rows, per_language=50)
+    assert set(model["langs"]) <= {"de", "en"} and "de" in model["langs"]
+
+
 def test_language_edges(spark):
     rows = spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "", None), (4, "the cat sat there", "en"), (None, "und so weiter und so fort", None)], "doc_id long, text string, lang string")
     one = langid.train(rows)
