@@ -1,11 +1,13 @@
 """Cropped or edited copies of pictures by local descriptors.
 
 Corners are found at several scales of each picture; each gets an orientation (the intensity
-centroid of its patch) and 128 binary tests turned by it. Descriptors meet in four Hamming
-tables of 32 bits: two at distance 3 or less share at least one table value. The stated queries are
-held against all rows in blocks of about `BLOCK` pictures, each a broadcast of bounded size, so the
-corners of all pictures stay where they are. Pairs within `MOST` bits vote for the shift and scale that carries one picture into the other; a copy is
-confirmed by at least `VOTES` corners that agree.
+centroid of its patch) and 128 binary tests turned by it. Descriptors meet in seven Hamming
+tables of 18 or 20 bits, looked up with every value one bit off as well: two at distance 13 or less
+meet in at least one table, as one of seven parts then differs in one bit at most. The stated queries
+are held against all rows in blocks of about `BLOCK` pictures, each a broadcast of bounded size, so the
+corners of all pictures stay where they are. The corners of a picture meet those of a block in one
+place: pairs within `MOST` bits are counted there, and only pairs of pictures leave the task. A copy is
+confirmed if a shift and scale carries at least `VOTES` corners of one picture to their counterparts.
 
 Pictures with equal pixels are one class: only classes are compared, and a page inherits what its
 class found. Null or undecodable pictures have no corners and match nothing. Repeated ids are one
@@ -15,6 +17,7 @@ page each; extra columns are left out; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,13 @@ from . import common
 
 SIDE = 96
 SCALES = (1.0, 0.75, 0.5625)
-CORNERS = (20, 12, 8)  # a scale
+CORNERS = (24, 16, 8)  # a scale
 RADIUS = 7
-MOST = 5
+MOST = 12
 VOTES = 6
-BIN = 6  # pixels
+PLACES = 4  # that the corners of a copy stand in, at least
+NEAR = 3  # pixels
+AT_ONCE = 1 << 20  # pairs of corners compared in one step
 BLOCK = 2000  # query pictures at once
 _RNG = np.random.default_rng(77)
 _TESTS = np.clip(np.rint(_RNG.normal(0, RADIUS / 2, (128, 4))), -RADIUS, RADIUS)
@@ -156,14 +161,16 @@ def pictures(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataF
     return drawn.mapInArrow(_draw, "page_id long, height int, pixels binary")
 
 
-CORNER = pa.struct([("scale", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+CORNER = np.dtype([("scale", "u1"), ("y", "<i4"), ("x", "<i4"), ("a", "<u8"), ("b", "<u8")])
+#: Table by table the first bit and the number of bits, of 128.
+PARTS = ((0, 18), (18, 18), (36, 18), (54, 20), (74, 18), (92, 18), (110, 18))
 
 
 def _features(batches, at_once: int = 16):
     """A row per page: the digest of its picture, null if it has none, and its corners."""
     for batch in batches:
         heights, pixels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        found: list[list] = [[] for _ in heights]
+        found = [b""] * len(heights)
         digest = [hashlib.md5(b"%d " % (h or 0) + p).digest() if p is not None else None for h, p in zip(heights, pixels, strict=True)]
         shapes: dict[tuple[int, int], list[int]] = {}
         for i, (h, p) in enumerate(zip(heights, pixels, strict=True)):
@@ -173,9 +180,94 @@ def _features(batches, at_once: int = 16):
             for k in range(0, len(rows), at_once):
                 part = rows[k : k + at_once]
                 stack = np.stack([np.frombuffer(pixels[i], np.uint8).reshape(h, w) for i in part])
-                for i, *c in zip(*(c.tolist() for c in describe(stack)), strict=True):
-                    found[part[i]].append(dict(zip(("scale", "y", "x", "a", "b"), c, strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.list_(CORNER))], names=["page_id", "of", "corners"])
+                of, *cols = describe(stack)
+                corner = np.empty(len(of), CORNER)
+                for name, c in zip(CORNER.names, cols, strict=True):
+                    corner[name] = c.view(np.uint64) if name in "ab" else c
+                for j, i in enumerate(part):
+                    found[i] = corner[of == j].tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.binary())], names=["page_id", "of", "corners"])
+
+
+def keys(c: np.ndarray) -> list[np.ndarray]:
+    """The value of each corner in each table."""
+    out = []
+    for first, n in PARTS:
+        v = c["a"] >> np.uint64(first) if first < 64 else c["b"] >> np.uint64(first - 64)
+        if first < 64 < first + n:
+            v = v | (c["b"] << np.uint64(64 - first))
+        out.append((v & np.uint64((1 << n) - 1)).astype(np.int64))
+    return out
+
+
+def tables(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table the corners in order of value, and where each value starts."""
+    out = []
+    for key, (_, n) in zip(keys(c), PARTS, strict=True):
+        out.append((np.argsort(key, kind="stable"), np.concatenate([[0], np.bincount(key, minlength=1 << n).cumsum()])))
+    return out
+
+
+def meet(c: np.ndarray, asked: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of c and of the queries within `most` bits: all of those within 13, each pair once."""
+    met = []
+    for key, (_, n), (order, start) in zip(keys(c), PARTS, index, strict=True):
+        probe = (key[:, None] ^ np.array([0, *(1 << k for k in range(n))])).reshape(-1)
+        count = start[probe + 1] - start[probe]
+        hit = np.flatnonzero(count)
+        ends = count[hit].cumsum()
+        done = 0
+        while done < len(hit):  # runs of about AT_ONCE pairs
+            base = ends[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+            part = hit[done:stop]
+            many = count[part]
+            at = np.arange(many.sum()) + np.repeat(start[probe[part]] - (ends[done:stop] - many - base), many)
+            i, j = np.repeat(part // (n + 1), many), order[at]
+            ok = np.bitwise_count(c["a"][i] ^ asked["a"][j]) + np.bitwise_count(c["b"][i] ^ asked["b"][j]) <= most
+            met.append(i[ok] * len(asked) + j[ok])
+            done = stop
+    pair = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    return pair // max(len(asked), 1), pair % max(len(asked), 1)
+
+
+def agree(q: np.ndarray, r: np.ndarray) -> bool:
+    """Whether one similarity carries at least VOTES of the matched corners q to their counterparts r."""
+    if min(len(np.unique(q)), len(np.unique(r))) < VOTES:
+        return False
+    a, b = (c["x"] + 1j * c["y"] for c in (q, r))
+    for i in range(len(a) - VOTES + 1):  # a copy's corners don't all lie beyond
+        da, db = a - a[i], b - b[i]
+        far = abs(da) > NEAR
+        s = db[far] / da[far]
+        s = s[(abs(s) > 0.25) & (abs(s) < 4)]
+        fit = abs(s[:, None] * da - db) <= NEAR * np.maximum(1, abs(s))[:, None]
+        for row in fit[fit.sum(1) >= VOTES]:
+            if min(len(np.unique(c[row])) for c in (q, r)) >= VOTES and min(len(np.unique(np.rint(x[row] / NEAR))) for x in (a, b)) >= PLACES:
+                return True
+    return False
+
+
+def _met(batches, block):
+    """The pairs (query, class) of which one shows a copy of the other."""
+    ids, sizes, data = block.value
+    asked, of = np.frombuffer(data, CORNER), np.repeat(np.arange(len(ids)), sizes)
+    index = tables(asked)
+    for batch in batches:
+        classes, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out = []
+        for k in range(0, len(found), 32):
+            part = [np.frombuffer(x, CORNER) for x in found[k : k + 32]]
+            c, pic = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
+            i, j = meet(c, asked, index, MOST)
+            pair = pic[i] * len(ids) + of[j]
+            order = np.argsort(pair, kind="stable")
+            i, j, (pair, first, many) = i[order], j[order], np.unique(pair[order], return_index=True, return_counts=True)
+            for p, f, m in zip(*(x[many >= VOTES].tolist() for x in (pair, first, many)), strict=True):
+                q, cls = ids[p % len(ids)], classes[k + p // len(ids)]
+                if q != cls and agree(asked[j[f : f + m]], c[i[f : f + m]]):
+                    out.append((q, cls))
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["q", "class"])
 
 
 def copies(media: DataFrame, every: int = 50) -> DataFrame:
@@ -185,8 +277,7 @@ def copies(media: DataFrame, every: int = 50) -> DataFrame:
     media: page_id, height, pixels."""
     spark = media.sparkSession
     common.ship(spark)
-    kind = "page_id long, of binary, corners array<struct<scale:int,y:int,x:int,a:bigint,b:bigint>>"
-    pages = common.table(spark, media.select("page_id", "height", "pixels").mapInArrow(_features, kind), "corners")
+    pages = common.table(spark, media.select("page_id", "height", "pixels").mapInArrow(_features, "page_id long, of binary, corners binary"), "corners")
     classes = pages.filter("of IS NOT NULL AND page_id IS NOT NULL").groupBy("of").agg(F.min("page_id").alias("class"), F.max(F.pmod("page_id", F.lit(every)) == 0).alias("asked"))
     classes = common.table(spark, classes, "picture-classes")
     one = pages.join(classes.select(F.col("class").alias("page_id"), "of", "asked"), ["page_id", "of"])
@@ -194,21 +285,10 @@ def copies(media: DataFrame, every: int = 50) -> DataFrame:
     n = found.filter("asked").count()
     blocks = -(-n // BLOCK) or 1
 
-    words = F.array(*[F.shiftrightunsigned(c, 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit((2 * i + h) << 32) for i, c in enumerate("ab") for h in (0, 1)])
-    flat = lambda rows: rows.select("class", F.explode("corners").alias("k")).select("class", "k.*")
-    all_keys = flat(found).withColumn("key", F.explode(words))
-    ratio = F.pow(F.lit(SCALES[0] / SCALES[1]), F.col("scale") - F.col("qscale"))  # a corner found at a smaller scale is larger
-
     def votes(block: int) -> DataFrame:
-        asked = flat(found.filter("asked").filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block)).withColumn("key", F.explode(words))
-        asked = asked.select(F.col("class").alias("q"), *[F.col(c).alias(f"q{c}") for c in ("scale", "y", "x", "a", "b")], "key")
-        met = all_keys.join(F.broadcast(asked), "key").filter("class <> q").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("qa"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("qb"))) <= MOST)
-        corner = (F.col("qscale") * 100_000 + F.col("qy")).cast("long") * 100_000 + F.col("qx")
-        grid = lambda d: F.array(F.floor(F.col(d)), F.floor(F.col(d) + 0.5) + F.lit(100_000))  # noqa: E731  two grids, half a bin apart
-        shift = met.select("q", "class", corner.alias("corner"), (F.col("scale") - F.col("qscale")).alias("zoom"), *[((F.col(d) - ratio * F.col(f"q{d}")) / BIN).alias(f"d{d}") for d in "yx"])
-        cells = shift.withColumn("cy", F.explode(grid("dy"))).withColumn("cx", F.explode(grid("dx")))
-        agreed = cells.groupBy("q", "class", "zoom", "cy", "cx").agg(F.count_distinct("corner").alias("n")).filter(F.col("n") >= VOTES)
-        return agreed.select("q", "class")
+        asked = found.filter("asked").filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block).select("class", "corners").collect()  # about BLOCK pictures
+        value = [r["class"] for r in asked], [len(r["corners"]) // CORNER.itemsize for r in asked], b"".join(bytes(r["corners"]) for r in asked)
+        return found.select("class", "corners").mapInArrow(partial(_met, block=spark.sparkContext.broadcast(value)), "q long, class long")
 
     pairs = votes(0)
     for block in range(1, blocks):

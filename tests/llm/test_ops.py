@@ -394,6 +394,27 @@ def test_media_recall_and_precision(spark):
     assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
+def test_corners_meet_as_by_brute_force():
+    rng = np.random.default_rng(3)
+    asked = np.zeros(3000, media.CORNER)
+    asked["a"], asked["b"] = rng.integers(0, 1 << 64, (2, 3000), np.uint64)
+    near = asked.copy()
+    for row in near:
+        for bit in rng.choice(128, rng.integers(0, 14), replace=False):
+            row["a" if bit < 64 else "b"] ^= np.uint64(1 << int(bit % 64))
+    d = np.bitwise_count(near["a"][:, None] ^ asked["a"]) + np.bitwise_count(near["b"][:, None] ^ asked["b"])
+    for most in (5, 12, 13):
+        assert set(zip(*(x.tolist() for x in media.meet(near, asked, media.tables(asked), most)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= most)), strict=True))
+
+
+def test_media_blurred(spark):
+    own = [media.render(b"%d" % i) for i in range(60)]
+    rows = [(2 * i + k, 96, x.tobytes()) for i, p in enumerate(own) for k, x in enumerate((p, (media.box(p[None].astype(np.float32), 1)[0] / 9).astype(np.uint8)))]
+    got = {(q, r["page_id"]) for r in media.copies(spark.createDataFrame(rows, "page_id long, height int, pixels binary"), every=2).collect() for q in r["copy_of"]}
+    want = {(2 * i, 2 * i + 1) for i in range(60)}
+    assert len(want & got) >= 0.95 * len(want) and got <= want
+
+
 def test_media_edges(spark):
     p = media.render(b"a").tobytes()
     rows = [(0, 96, p), (1, 96, p), (2, None, None), (3, 96, b""), (4, 7, b"1234567"), (5, 96, bytes(96 * 96))]
