@@ -415,6 +415,17 @@ def test_media_blurred(spark):
     assert len(want & got) >= 0.95 * len(want) and got <= want
 
 
+def test_media_edits(spark):
+    n, edits = 20, len(media.EDITS)
+    own = [media.render(b"e%d" % i) for i in range(n)]
+    pics = [(1000 * i, p) for i, p in enumerate(own)] + [(1000 * i + 1 + how, media.edited(p, how)) for i, p in enumerate(own) for how in range(edits)]
+    rows = [(i, p.shape[0], p.tobytes()) for i, p in pics]
+    got = {(q, r["page_id"]) for r in media.copies(spark.createDataFrame(rows, "page_id long, height int, pixels binary"), every=1000).collect() for q in r["copy_of"]}
+    assert all(q // 1000 == c // 1000 for q, c in got)
+    for how, name in enumerate(media.EDITS):
+        assert sum((1000 * i, 1000 * i + 1 + how) in got for i in range(n)) >= 0.9 * n, name
+
+
 def test_media_edges(spark):
     p = media.render(b"a").tobytes()
     rows = [(0, 96, p), (1, 96, p), (2, None, None), (3, 96, b""), (4, 7, b"1234567"), (5, 96, bytes(96 * 96))]
