@@ -19,10 +19,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 WORDS = 5
 BANDS = 8
 PERCENT = 75
-#: Notices and opening paragraphs of public licenses.
+#: Notices, opening paragraphs and whole texts of public licenses. The text of the AGPL is not among them; it is found as that of the GPL.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -32,6 +34,19 @@ TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "mit-license-notice": "Licensed under the MIT License.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "lgpl-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-3.0-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "gpl-2.0-notice": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    **TEXTS,
 }
 
 
@@ -53,7 +68,8 @@ def shingles(w: Column) -> Column:
 def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """license, m, and the set of shingle hashes."""
     rows = spark.createDataFrame([(k, " ".join(words_of(v))) for k, v in texts.items()], "license string, text string")
-    return rows.select("license", F.array_distinct(shingles(F.split("text", " "))).alias("t")).filter("t IS NOT NULL").select("license", F.size("t").alias("m"), "t")
+    rows = rows.select("license", F.explode(F.array(F.split("text", " "))).alias("w"))  # held fast, as in scan()
+    return rows.select("license", F.array_distinct(shingles(F.col("w"))).alias("t")).filter("t IS NOT NULL").select("license", F.size("t").alias("m"), "t")
 
 
 def least(h: Column, band: int) -> Column:
@@ -66,19 +82,20 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, text: str = "text
     known = templates(spark, TEMPLATES if texts is None else texts).collect()  # the given templates, no corpus data
     if not known:
         return docs.select(id, F.lit("").alias("license"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("of")).limit(0)
-    every = F.array(*[F.lit(x) for x in sorted({x for k in known for x in k["t"]})])
+    every = F.split(F.lit(",".join(str(x) for x in sorted({x for k in known for x in k["t"]}))), ",").cast("array<bigint>")  # folds to one value
     bands = spark.createDataFrame([(k["license"], k["m"], list(k["t"])) for k in known], "license string, m int, t array<long>")
     bands = bands.select("license", "m", "t", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("t"), b).alias("value")) for b in range(BANDS)])).alias("x")).select("license", "m", "t", "x.*")
 
     # explode() of one row holds a value fast: a lambda that named the expression would compute it anew for each element
     split = docs.select(F.col(id).alias("id"), F.explode(F.array(words(F.col(text)))).alias("w"))
     hashed = split.select("id", F.explode(F.array(shingles(F.col("w")))).alias("h")).filter(F.arrays_overlap("h", every))
+    hashed = hashed.select("id", "h", F.explode(F.array(F.array_intersect("h", every))).alias("own"))  # of whole texts there are thousands; a text holds few
     scales = F.array(*[F.lit(m) for m in sorted({k["m"] for k in known})])
-    scaled = hashed.select("id", "h", F.explode(scales).alias("m"))
+    scaled = hashed.select("id", "h", "own", F.explode(scales).alias("m"))
     step = F.greatest(F.lit(1), F.floor(F.col("m") / 4).cast("int"))
     starts = F.sequence(F.lit(0), F.size("h") - 1, step)
     window = F.transform(starts, lambda i: F.struct(F.slice("h", i + 1, F.col("m")).alias("w"), F.slice("h", F.greatest(i - F.col("m"), F.lit(0)) + 1, F.col("m") + F.least(i, F.col("m")) + F.col("m")).alias("near")))
-    cut = scaled.select("id", "m", F.explode(window).alias("x")).select("id", "m", "x.*").filter(F.arrays_overlap("w", every))
+    cut = scaled.select("id", "m", "own", F.explode(window).alias("x")).select("id", "m", "own", "x.*").filter(F.arrays_overlap("w", "own"))
     valued = cut.select("id", "m", "near", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("w"), b).alias("value")) for b in range(BANDS)])).alias("x")).select("id", "m", "near", "x.*")
     met = valued.join(F.broadcast(bands), ["m", "band", "value"])  # a row per template and band
     shared = F.size(F.array_intersect("t", "near")).cast("long")

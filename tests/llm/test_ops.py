@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkledger.llm import common, langid, licenses, media, minhash, packing, quality, sampling, suffix_dedup, token_store, warc
+from sparkledger.llm import common, langid, license_texts, licenses, media, minhash, packing, quality, sampling, suffix_dedup, token_store, warc
 from sparkledger.llm.tokens import END_ID, Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -280,6 +280,13 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_other_notices_and_whole_texts(spark):
+    names = ["cc-by-nc-4.0-notice", "mpl-2.0-notice", "agpl-3.0-notice", *license_texts.TEXTS]
+    docs = spark.createDataFrame([(i, prose(80) + " " + licenses.TEMPLATES[k] + " " + prose(60)) for i, k in enumerate(names)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
+    assert got >= set(enumerate(names))
+
+
 # 7
 
 
