@@ -1,9 +1,10 @@
 """Line-first quality rules.
 
 Each line that holds a word is judged alone: it fails if it repeats an earlier line of its
-text, is navigation (few words around a separator), is boilerplate (a stock phrase in a short
-line), is heavy with symbols, or is prose without closing punctuation. Failing lines are
-removed; a document that loses more than `max_lost` of its word characters is rejected.
+text, is navigation (few words around a separator, many separators, or mostly links), is boilerplate (a stock phrase
+in a line of few words), is heavy with symbols, or is prose without closing punctuation: it neither ends
+with a closing sign nor holds the end of a sentence. How long a line is in characters decides nothing.
+Failing lines are removed; a document that loses more than `max_lost` of its word characters is rejected.
 
 Nulls and empty texts have no words: all counts 0, base_failed true, kept false, cleaned text
 empty. Repeated rows are judged each for itself; extra columns are left out of the result.
@@ -26,6 +27,8 @@ from . import common
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 ENDS = tuple(".!?…:;\"'”’»)]。！？")
+INNER = (". ", "! ", "? ", "。", "！", "？")  # ends of sentences within a line
+LINKS = ("://", "www.")
 SEPARATORS = ("|", "»", "›", "•", "·", "→", ">")
 STOCK = (
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
@@ -43,6 +46,8 @@ class Rules:
     nav_words: int = 12
     stock_words: int = 20
     most_symbols: float = 0.1  # of a line's word characters
+    most_separators: float = 0.25  # of a line's words
+    most_links: float = 0.5  # of a line's words
     max_lost: float = 0.4  # of a document's word characters
 
 
@@ -86,14 +91,16 @@ def lines_of(text: str, r: Rules) -> tuple[list[str], int, int]:
             continue
         seen.add(line)
         n = word_chars(bare)
-        if sum(map(bare.count, SYMBOLS)) > r.most_symbols * n or not bare.endswith(ENDS):
+        if sum(map(bare.count, SYMBOLS)) > r.most_symbols * n or not bare.endswith(ENDS) and not any(s in bare for s in INNER):
+            continue
+        words = len(bare.encode().split())
+        signs = sum(map(bare.count, SEPARATORS))
+        if signs and words <= r.nav_words or signs > r.most_separators * words:
+            continue
+        if words <= r.stock_words and any(s in bare.lower() for s in STOCK):
+            continue
+        if sum(map(bare.count, LINKS)) > r.most_links * words:
             continue
-        if len(bare) < 400:  # longer lines hold more words than the two rules allow
-            words = len(bare.encode().split())
-            if words <= r.nav_words and any(s in bare for s in SEPARATORS):
-                continue
-            if words <= r.stock_words and any(s in bare.lower() for s in STOCK):
-                continue
         kept.append(line)
         chars += n
     return kept, repeats, chars

@@ -258,6 +258,14 @@ def test_line_rules():
     assert kept == ["A line of prose that ends well."] and repeats == 1
 
 
+def test_line_rules_know_no_length():
+    r, address = quality.Rules(), "https://a.example/" + "x" * 500
+    for line in (f"home | about {address}.", f"Accept cookies at {address}.", "stem | " * 80 + "end.", f"{address} {address}.", "no end here " * 60):
+        assert quality.lines_of(line, r)[0] == [], line
+    for line in ("one two three. " * 40 + "and no more", "A line of prose that ends well. " * 30, f"See {address} for what was said of the a > b rule in the long report of that year, and more."):
+        assert quality.lines_of(line, r)[0] == [line], line
+
+
 def test_many_distinct_words():
     codes = np.concatenate([np.arange(1 << 21), np.array([5, 6, 7])])
     assert quality.repeated_windows(codes, np.zeros(len(codes), np.int64), 1).tolist() == [6]
