@@ -35,7 +35,11 @@ FAMILIES = {
 }
 BITS = 13
 DRAWS = 1 << 62
-LETTER = re.compile(r"[^\W\d_]")
+MAY_BE_LETTER = re.compile(r"[^\W\d_]")  # fractions and other signs of number among them
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in MAY_BE_LETTER.finditer(text))
 
 
 def family(lang: str) -> str:
@@ -66,7 +70,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 @common.task()
 def _sampled(batches):
     for pdf in batches:
-        pdf = pdf[[bool(t and LETTER.search(t)) for t in pdf["text"]]]
+        pdf = pdf[[has_letter(t) for t in pdf["text"]]]
         if len(pdf):
             at, x = zip(*map(features, pdf["text"]), strict=True)
             yield pd.DataFrame({"lang": pdf["lang"].to_list(), "draw": pdf["draw"].to_list(), "at": [a.astype(np.int16) for a in at], "x": list(x)})
@@ -114,19 +118,22 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"job": [pdf["job"].iloc[0]], "w": [w.tolist()]})
 
 
-def train(docs: DataFrame, per_language: int = 600, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict:
+def train(docs: DataFrame, per_language: int = 600, most_languages: int = 1000, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict:
     """Fit on at most about `per_language` labelled rows of each language, chosen by a hash of the id and the text.
 
     Rows with equal ids and texts are one row of the sample, so that rows without an id can't swell it.
-    The bound is what makes one task per machine enough. Each language with at least one row is learned."""
+    The bound is what makes one task per machine enough. Each language with at least one row is learned: with more
+    of them than `most_languages` (a column of labels that are no languages, say) a ValueError is raised."""
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(id, text), F.lit(DRAWS)).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
     if not counts:
         return {"langs": [], "jobs": [], "w": []}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, DRAWS * min(per_language, n) // n)])
-    drawn = rows.filter(F.col("draw") < share[F.col("lang")]).groupBy("draw", "lang").agg(F.first("text").alias("text"))
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
+    share = spark.createDataFrame([(r["lang"], DRAWS * min(per_language, r["n"]) // r["n"]) for r in counts], "lang string, share long")
+    drawn = rows.join(F.broadcast(share), "lang").filter("draw < share").groupBy("draw", "lang").agg(F.first("text").alias("text"))
     x = common.table(spark, drawn.repartition(8).mapInPandas(_sampled, "lang string, draw long, at array<short>, x array<float>"), "langid-sample")
     langs = sorted(r["lang"] for r in x.select("lang").distinct().collect())
     jobs = machines(langs)
@@ -181,7 +188,7 @@ def _predict(batches, model: dict):
         carry = batch.num_columns - 1
         texts = batch.column(carry).to_pylist()
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model["langs"] else []
+        rows = [i for i, t in enumerate(texts) if has_letter(t)] if model["langs"] else []
         if rows and w is None:
             for i in rows:
                 lang[i], score[i] = model["langs"][0], 1.0

@@ -233,6 +233,57 @@ def test_language_edges(spark):
     assert langid.predict(rows.limit(0), one).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = spark.range(201).select("id", F.concat(F.lit("word"), "id").alias("lang"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") * 7 + k) for k in range(5)]).alias("text")).withColumnRenamed("id", "doc_id")
+    assert len(langid.train(rows, per_language=5)["langs"]) == 201
+    with pytest.raises(ValueError, match="over 200 languages"):
+        langid.train(rows, most_languages=200)
+
+
+def test_signs_of_number_are_no_letters():
+    assert not any(map(langid.has_letter, (None, "", "½ ² Ⅷ ① 12 _ !")))
+    assert all(map(langid.has_letter, ("½a", "中", "ª")))
+
+
+def test_machines_reach_the_optimum_of_a_plain_solver():
+    rng = np.random.default_rng(4)
+    for c in (10.0, 0.5):
+        x = rng.normal(size=(60, 6)).astype(np.float32)
+        y = np.where(x @ rng.normal(size=6) + 0.5 * rng.normal(size=60) > 0, 1.0, -1.0)
+        at = [np.arange(6)] * 60
+        w = langid.svm(at, list(x), y, rounds=400, c=c)
+        full = np.column_stack([x, np.ones(60)])
+        loss = lambda v: 0.5 * v @ v + c * np.maximum(0, 1 - y * (full @ v)).sum()
+        # projected gradient on the dual, with the step of its largest eigenvalue
+        q = (full * y[:, None]) @ (full * y[:, None]).T
+        a, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+        for _ in range(20000):
+            a = np.clip(a + step * (1 - q @ a), 0, c)
+        best = loss((a * y) @ full)
+        assert loss(w[[*range(6), 1 << langid.BITS]].astype(float)) <= best * 1.01 + 1e-6
+
+
+def test_votes_by_listing_all_machines():
+    langs = ["de", "en", "nl", "fr", "es", "ru"]
+    jobs = langid.machines(langs)
+    assert len(jobs) == 3 + 3 + 1
+    margins = np.random.default_rng(6).normal(size=(300, len(jobs)))
+    margins[:40] = np.sign(margins[:40])  # ties of votes and of sums
+    got, score = langid.decide(margins, {"langs": sorted(langs), "jobs": jobs})
+    for m, lang, s in zip(margins, got, score, strict=True):
+        fam = {j["name"]: x for j, x in zip(jobs, m, strict=True) if j["kind"] == "family"}
+        best = [f for f in fam if fam[f] == max(fam.values())][0]
+        votes, sums = collections.Counter(), collections.Counter()
+        for j, x in zip(jobs, m, strict=True):
+            if j["kind"] == "pair" and j["name"] == best:
+                (a,), (b,) = j["yes"], j["no"]
+                votes[a if x >= 0 else b] += 1
+                sums[a] += x
+                sums[b] -= x
+        members = [x for x in sorted(langs) if langid.family(x) == best]
+        assert (votes[lang], sums[lang]) == max((votes[x], sums[x]) for x in members) and 0 <= s <= 1
+
+
 # 5
 
 
