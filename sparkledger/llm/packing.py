@@ -13,7 +13,6 @@ columns are left out. An empty table gives no pieces. Texts of any length are en
 
 from __future__ import annotations
 
-import gc
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 BROADCAST_ROWS = 200_000
@@ -81,19 +80,18 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 @common.task("tokens")
 def _pieces(batches, path: str | None, capacity: int):
-    gc.disable()
-    enc, end, task = encoder(path), np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
+    task = TaskContext.get().partitionId()
     met: dict[int, int] = defaultdict(int)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("place", pa.int64())])
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = enc.encode(text) + end
-            for k, (a, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                rows.append((doc_id, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]), task, met[n]))
-                met[n] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
-    gc.enable()
+        doc_ids = batch.column(0).to_pylist()
+        for first, last, ids, bounds in encoder(path).runs(batch.column(1)):
+            rows, raw = [], ids.view(np.uint8).data
+            for doc_id, x, y in zip(doc_ids[first:last], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for k, (a, n) in enumerate(pieces_of(y - x, capacity)):
+                    rows.append((doc_id, k, a, n, zlib.crc32(raw[4 * (x + a) : 4 * (x + a + n)]), task, met[n]))
+                    met[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:

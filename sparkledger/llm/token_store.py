@@ -5,14 +5,13 @@ the bounds (where each document starts, and the end) and the document ids, both
 sequences with sampled select. Shards follow each other in document order; the manifest says
 how many documents and ids stand before each.
 
-Null texts count as empty; each document ends with `END_ID`. Null ids come first. Repeated ids
+Null texts count as empty; each document ends with the end id. Null ids come first. Repeated ids
 are each a document, in the order of their texts' hashes; extra columns are not stored. An empty
 table gives an empty manifest and no documents. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import struct
 import uuid
@@ -21,12 +20,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256  # every so many set bits, select keeps a place
@@ -86,13 +86,13 @@ class ShardWriter:
         self.out, self.kind, self.bounds, self.ids, self.nulls = out, "<u2" if width == 2 else "<u4", [0], [], 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.out.write(ids.astype(self.kind).tobytes())
-        self.bounds.append(self.bounds[-1] + len(ids))
-        if doc_id is None:
-            self.nulls += 1
-        else:
-            self.ids.append(doc_id)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents whose ids stand one after another: the first from bounds[0], the last up to bounds[-1]."""
+        self.out.write(ids.astype(self.kind, copy=False).data)
+        self.bounds += (self.bounds[-1] + bounds[1:]).tolist()
+        known = [x for x in doc_ids if x is not None]
+        self.nulls += len(doc_ids) - len(known)
+        self.ids += known
 
     def close(self) -> None:
         least = min(self.ids, default=0)
@@ -129,24 +129,21 @@ class ShardReader:
 
 @common.task("tokens")
 def _write(batches, folder: str, path: str | None, width: int):
-    gc.disable()  # the memo's many small objects hold no cycles
     shard = TaskContext.get().partitionId()
     uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
     fs, where = common.filesystem(uri)
-    enc, end, writer, out = encoder(path), np.array([END_ID], "<u4"), None, None
+    writer, out = None, None
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        doc_ids = batch.column(0).to_pylist()
+        for a, b, ids, bounds in encoder(path).runs(batch.column(1)):
             if writer is None:
                 fs.create_dir(where.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(where, compression=None, buffer_size=1 << 20)
                 writer = ShardWriter(out, width)
-            writer.add(doc_id, np.concatenate([np.frombuffer(enc.encode(text), "<u4"), end]))
-    gc.enable()
+            writer.add(doc_ids[a:b], ids, bounds)
     if writer is not None:
         writer.close()
         out.close()
-        import pyarrow as pa
-
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [len(writer.bounds) - 1], "n_ids": [writer.bounds[-1]]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
 

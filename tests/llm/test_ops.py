@@ -1,9 +1,12 @@
 import collections
 import hashlib
+import json
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,12 +53,33 @@ ENC = Encoder()
 
 @given(st.text(alphabet=st.sampled_from(" \n\t　\x85\x1cabE'sé1½_-.!#▁中😀"), max_size=40))
 @settings(max_examples=300, deadline=None)
-def test_word_memo_equals_the_library(text):
-    assert ENC.encode(text) == (ENC.whole(text) if text else b"")
+def test_words_equal_the_library(text):
+    texts = [text, None, "und so weiter, " + text, text + text]
+    ids, bounds = ENC.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ids_of(t or "").tolist() for t in texts]
+
+
+def test_other_pre_tokens_are_left_to_the_library(tmp_path):
+    from sparkledger.llm.tokens import vocabulary
+
+    asks = json.loads(pathlib.Path(vocabulary()).read_text())
+    asks["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(asks))
+    other = Encoder(str(tmp_path / "other.json"))
+    assert ENC.by_words and not other.by_words
+    ids, bounds = other.encode(pa.array(["one two", None, ""]))
+    assert ids.tolist() == [*ENC.whole(" one two").tolist(), END_ID, END_ID, END_ID] and bounds.tolist() == [0, 3, 4, 5]
+
+
+def test_runs_of_texts():
+    texts = [None, prose(50), "", prose(3000), prose(5), " x"]
+    got = [ids[x:y].tolist() for _, _, ids, bounds in ENC.runs(pa.array(texts), most=400) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [ids_of(t or "").tolist() for t in texts]
+    assert list(ENC.runs(pa.array([], pa.string()))) == []
 
 
 def ids_of(text: str) -> np.ndarray:
-    return np.append(np.frombuffer(ENC.whole(text), "<u4"), np.uint32(END_ID))
+    return np.append(np.array(ENC.library.encode(text, add_special_tokens=False).ids, "<u4"), np.uint32(END_ID))
 
 
 # 1
