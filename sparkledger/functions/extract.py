@@ -44,9 +44,9 @@ def ip_address(line: Column) -> Column:
     return _found(line, IPV4)
 
 
-def operation(line: Column) -> Column:
-    """The first keyword by priority that the line holds, in any case."""
-    upper = F.upper(line)
+def operation(line: Column, upper: Column | None = None) -> Column:
+    """The first keyword by priority that the line holds, in any case. upper: the line in capitals, where it is at hand."""
+    upper = F.upper(line) if upper is None else upper
     chain = F
     for k in OPERATIONS:
         chain = chain.when(F.contains(upper, F.lit(k)), k)
@@ -61,7 +61,8 @@ def operation_result(line: Column) -> Column:
 
 
 def severity(line: Column) -> Column:
-    chain = F
+    any_level = "|".join(p for p, _ in LEVELS)
+    chain = F.when(~line.rlike(rf"(?iU)\b({any_level})\b"), "INFO")  # most lines name none: one search for them
     for pattern, label in LEVELS:
         chain = chain.when(line.rlike(rf"(?iU)\b({pattern})\b"), label)
     return chain.otherwise("INFO")
@@ -84,9 +85,9 @@ def source_file(line: Column) -> Column:
     return _found(line, SOURCE)
 
 
-def parse_line(line: Column) -> dict[str, Column]:
+def parse_line(line: Column, upper: Column | None = None) -> dict[str, Column]:
     return {
-        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line), "username": username(line), "operation": operation(line),
+        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line), "username": username(line), "operation": operation(line, upper),
         "operation_result": operation_result(line), "detail": detail(line), "severity": severity(line), "source_file": source_file(line), "raw_line": line,
     }
 
@@ -99,7 +100,9 @@ def stripped(line: Column) -> Column:
 def parse_lines(df: DataFrame, line: str, year: int = 1970) -> DataFrame:
     """The fields of every non-blank line, after the other columns; columns of the same names give way."""
     names = [*parse_line(F.col(line)), "timestamp"]
-    rows = df.withColumn("__line", stripped(F.col(line))).filter(F.length("__line") > 0)
+    # explode() holds the stripped line, and the line in capitals, fast: each is computed once
+    rows = df.withColumn("__line", F.explode(F.array(stripped(F.col(line))))).filter(F.length("__line") > 0)
+    rows = rows.withColumn("__upper", F.explode(F.array(F.upper("__line"))))
     rest = [c for c in df.columns if c not in names and c != line]
-    rows = rows.select(*rest, *[c.alias(k) for k, c in parse_line(F.col("__line")).items()])
+    rows = rows.select(*rest, *[c.alias(k) for k, c in parse_line(F.col("__line"), F.col("__upper")).items()])
     return rows.withColumn("timestamp", typed_timestamp(F.col("timestamp_text"), year))

@@ -42,31 +42,82 @@ def brute_force(logs: DataFrame, threshold: int = 5, operations: Sequence[str] |
     return found.withColumn("is_suspicious", F.lit(True)).withColumn("risk_level", tier(F.col("failed_attempts"), threshold)).orderBy(F.desc("failed_attempts"), "ip_address")
 
 
+def report_rows(logs: DataFrame, operations: Sequence[str] | None = ("LOGIN",)) -> DataFrame:
+    """All that a report needs in one pass over the log: a row per (section, key), sections total, severity, operation and ip.
+
+    n, n_failed; for failures among `operations` (all, if None) the columns of failures_per_ip()."""
+    fail = F.coalesce(F.col("operation_result") == "FAIL", F.lit(False))
+    asked = fail & F.coalesce(F.upper("operation").isin(*[o.upper() for o in operations]), F.lit(False)) if operations else fail
+    cell = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    cells = F.array(cell("total", F.lit(None).cast("string")), *[cell(s, F.col(c)) for s, c in (("severity", "severity"), ("operation", "operation"), ("ip", "ip_address"))])
+    rows = logs.select(F.explode(cells).alias("x"), fail.alias("fail"), asked.alias("asked"), "timestamp", "username", "operation").filter("x.section = 'total' OR x.key IS NOT NULL")
+    own = F.col("asked") & (F.col("x.section") == "ip")
+    of = lambda c: F.when(own, F.col(c))
+    return rows.groupBy("x.section", "x.key").agg(
+        F.count("*").alias("n"), F.count_if("fail").alias("n_failed"), F.count_if(own).alias("failed_attempts"), F.min(of("timestamp")).alias("first_seen"), F.max(of("timestamp")).alias("last_seen"),
+        F.count_distinct(of("username")).alias("unique_users"), F.array_sort(F.collect_set(of("operation"))).alias("operations_attempted"),
+    )
+
+
 def report(logs: DataFrame, threshold: int = 5) -> dict[str, DataFrame]:
-    """summary (one row), suspicious, fail_operations, severities."""
-    suspicious = brute_force(logs, threshold)
-    summary = stats.failure_rate(logs).crossJoin(stats.unique_ips(logs)).crossJoin(suspicious.agg(F.count("*").alias("suspicious_ips")))  # rows of one
-    return {"summary": summary, "suspicious": suspicious, "fail_operations": stats.failed_operations(logs), "severities": stats.severities(logs)}
+    """summary (one row), suspicious, fail_operations, severities: all from one pass over the log, which report_rows() makes.
+
+    Persist its rows (the entry "rows") to make the pass once for all sections."""
+    if threshold < 1:
+        raise ValueError("the threshold starts at 1")
+    rows = report_rows(logs)
+    all_ = F.col("section") == "total"
+    summary = rows.agg(
+        F.coalesce(F.sum(F.when(all_, F.col("n"))), F.lit(0)).alias("total_records"), F.coalesce(F.sum(F.when(all_, F.col("n_failed"))), F.lit(0)).alias("failed_records"),
+        F.count_if(F.col("section") == "ip").alias("unique_ips"), F.count_if((F.col("section") == "ip") & (F.col("failed_attempts") >= threshold)).alias("suspicious_ips"),
+    )
+    summary = summary.select("total_records", "failed_records", stats.rate(F.col("failed_records"), F.col("total_records"), 2).alias("failure_rate"), "unique_ips", "suspicious_ips")
+    suspicious = rows.filter((F.col("section") == "ip") & (F.col("failed_attempts") >= threshold)).select(F.col("key").alias("ip_address"), *SUSPICIOUS)
+    suspicious = suspicious.withColumn("is_suspicious", F.lit(True)).withColumn("risk_level", tier(F.col("failed_attempts"), threshold)).orderBy(F.desc("failed_attempts"), "ip_address")
+    operations = rows.filter("section = 'operation' AND n_failed > 0").select(F.col("key").alias("operation"), F.col("n_failed").alias("n")).orderBy(F.desc("n"), "operation")
+    levels = rows.filter("section = 'severity'").select(F.col("key").alias("severity"), "n")
+    return {"rows": rows, "summary": summary, "suspicious": suspicious, "fail_operations": operations, "severities": levels}
 
 
+SUSPICIOUS = ("failed_attempts", "first_seen", "last_seen", "unique_users", "operations_attempted")
 #: Labels of the report.
 TITLE, RULE = "          日志异常检测报告", "=" * 60
 TOTAL, FAILED, IPS, SUSPECTS = "  总日志条数:         ", "  失败操作数:         ", "  独立 IP 数:         ", "  可疑 IP 数:         "
 BY_OPERATION, BY_SEVERITY, LIST = "  失败操作分布:", "  严重程度分布:", "  可疑 IP 列表:"
 
 
-def report_text(sections: dict[str, DataFrame], threshold: int = 5) -> str:
-    """The report as text. What reaches the driver is one summary row, distinct operations and levels, and the suspicious addresses."""
-    s = sections["summary"].first()
-    share = f" ({s['failure_rate']:.2f}%)" if s["total_records"] else ""
-    lines = [RULE, TITLE, RULE, f"{TOTAL}{s['total_records']}", f"{FAILED}{s['failed_records']}{share}", f"{IPS}{s['unique_ips']}", f"{SUSPECTS}{s['suspicious_ips']} (阈值={threshold})", ""]
-    operations = sections["fail_operations"].collect()
-    if operations:
-        lines += [BY_OPERATION, *(f"    - {r['operation']}: {r['n']} 次" for r in operations)]
-    levels = {r["severity"]: r["n"] for r in sections["severities"].collect()}
-    if levels:
-        lines += ["", BY_SEVERITY, *(f"    - {x}: {levels[x]} 条" for x in SEVERITIES if x in levels)]
-    suspects = [f"    [!] {r['ip_address']} — 失败 {r['failed_attempts']} 次 [{r['risk_level']}]" for r in sections["suspicious"].toLocalIterator()]
-    if suspects:
-        lines += ["", LIST, *suspects]
-    return "\n".join([*lines, "", RULE])
+def report_lines(sections: dict[str, DataFrame], threshold: int = 5) -> DataFrame:
+    """The report as rows: part and place (in whose order the lines stand) and line. Made by Spark, however many addresses there are."""
+    s, c = sections["summary"], F.col
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    share = F.when(c("total_records") > 0, F.format_string(" (%.2f%%)", "failure_rate")).otherwise("")
+    head = [F.lit(RULE), F.lit(TITLE), F.lit(RULE), text(TOTAL, c("total_records")), text(FAILED, c("failed_records"), share), text(IPS, c("unique_ips")), text(SUSPECTS, c("suspicious_ips"), f" (阈值={threshold})"), F.lit("")]
+
+    def numbered(part: int, lines: DataFrame, *order: Column) -> DataFrame:
+        """Lines of one part, and what they are ordered by: two columns, k and name."""
+        return lines.select(F.lit(part).alias("part"), F.struct(*order).alias("by"), "line")
+
+    top = s.select(F.posexplode(F.array(*head)).alias("k", "line"))
+    operations = sections["fail_operations"].select(text("    - ", c("operation"), ": ", c("n"), " 次").alias("line"), (-c("n")).alias("k"), c("operation").alias("name"))
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), c("severity"))
+    levels = sections["severities"].filter(place > 0).select(text("    - ", c("severity"), ": ", c("n"), " 条").alias("line"), place.alias("k"))
+    any_level = sections["severities"].limit(1)  # the heading stands over levels of any name
+    suspects = sections["suspicious"].select(text("    [!] ", c("ip_address"), " — 失败 ", c("failed_attempts"), " 次 [", c("risk_level"), "]").alias("line"), (-c("failed_attempts")).alias("k"), c("ip_address").alias("name"))
+    none = F.lit("").alias("name")
+    lines = lambda df, *x: df.limit(1).select(F.posexplode(F.array(*map(F.lit, x))).alias("k", "line"))
+    last = s.select(F.posexplode(F.array(F.lit(""), F.lit(RULE))).alias("k", "line"))
+    parts = [
+        numbered(0, top, c("k").cast("long").alias("k"), none), numbered(1, lines(operations, BY_OPERATION), c("k").cast("long").alias("k"), none), numbered(2, operations, c("k"), c("name")),
+        numbered(3, lines(any_level, "", BY_SEVERITY), c("k").cast("long").alias("k"), none), numbered(4, levels, c("k").cast("long").alias("k"), none),
+        numbered(5, lines(suspects, "", LIST), c("k").cast("long").alias("k"), none), numbered(6, suspects, c("k"), c("name")), numbered(7, last, c("k").cast("long").alias("k"), none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("part", F.col("by.k").alias("place"), F.col("by.name").alias("name"), "line")
+
+
+def report_text(sections: dict[str, DataFrame], threshold: int = 5, most: int = 1000) -> str:
+    """The report as text, of bounded size: the first `most` operations and suspicious addresses, by rank, stand in it; report_lines() has them all."""
+    lines = report_lines({**sections, "suspicious": sections["suspicious"].limit(most), "fail_operations": sections["fail_operations"].limit(most)}, threshold)
+    return "\n".join(r["line"] for r in sorted(lines.collect(), key=lambda r: (r["part"], r["place"], r["name"])))

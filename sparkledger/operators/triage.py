@@ -50,20 +50,35 @@ def json_block(text: Column) -> Column:
     return F.when(t.startswith("{"), t).otherwise(F.coalesce(F.regexp_substr(t, F.lit(r"(?s)\{.*\}")), t))
 
 
-def parse_reply(text: Column) -> Column:
-    """A verdict from a reply, with `parsed`; what is no JSON object goes through the rules."""
-    j = json_block(text)
-    valid = j.startswith("{") & j.endswith("}") & F.try_parse_json(j).isNotNull()
-    o = F.from_json(j, REPLY)
+def _reply(text: Column, j: Column, o: Column) -> Column:
+    """The verdict, and whether it was parsed. j: the JSON block of the text, o: what it holds."""
+    valid = F.coalesce(j.startswith("{") & j.endswith("}") & F.try_parse_json(j).isNotNull(), F.lit(False))
     verdict = F.struct(
         F.coalesce(o["operationType"], F.lit("UNKNOWN")).alias("operation_type"), F.coalesce(o["riskLevel"], F.lit("NORMAL")).alias("risk_level"),
         F.coalesce(F.lower(o["needIntervention"]).isin("true", "1"), F.lit(False)).alias("need_intervention"),
         F.coalesce(o["suggestion"], F.lit(REPLY_SUGGESTION)).alias("suggestion"), F.coalesce(o["summary"], F.lit(REPLY_SUMMARY)).alias("summary"), o["sourceIp"].alias("source_ip"),
     )
-    valid = F.coalesce(valid, F.lit(False))
     return F.struct(F.when(valid, verdict).otherwise(rules(text)).alias("verdict"), valid.alias("parsed"))
 
 
+def parse_reply(text: Column) -> Column:
+    """A verdict from a reply, with `parsed`; what is no JSON object goes through the rules. Taking several fields of it computes it as often: see with_reply."""
+    j = json_block(text)
+    return _reply(text, j, F.from_json(j, REPLY))
+
+
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column computed once a row, however many columns are made from it: the optimizer doesn't merge projections across explode()."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def with_reply(rows: DataFrame, name: str, text: Column) -> DataFrame:
+    """The rows and parse_reply(text) under a name, each step computed once."""
+    rows = held(held(rows, "__t", text), "__j", json_block(F.col("__t")))
+    rows = held(rows, "__o", F.from_json("__j", REPLY))
+    return held(rows, name, _reply(F.col("__t"), F.col("__j"), F.col("__o"))).drop("__t", "__j", "__o")
+
+
 def envelope_text(body: Column) -> Column:
     """The text inside either wire format, else the body itself."""
     return F.coalesce(F.get_json_object(body, "$.content[0].text"), F.get_json_object(body, "$.choices[0].message.content"), body)
@@ -84,13 +99,13 @@ def resolve(logs: DataFrame, replies: DataFrame | None, model: str, id: str = "l
 
     replies: log_id, status, body; None where no scorer is configured. A status other than 200, or no reply, leaves the rules."""
     if replies is None:
-        rows = logs.withColumn("__v", rules(F.col(text))).withColumn("__p", F.lit(False))
+        rows = held(logs, "__v", rules(F.col(text)))
         used, fallback, unparsed = F.lit(NO_KEY), F.lit(True), F.lit(False)
     else:
         rows = logs.join(replies.select(F.col("log_id").alias(id), F.col("status").alias("__s"), F.col("body").alias("__b")), id, "left")
         answered = F.coalesce((F.col("__s") == 200) & F.col("__b").isNotNull(), F.lit(False))
-        rows = rows.withColumn("__a", answered).withColumn("__r", parse_reply(envelope_text(F.col("__b"))))
-        rows = rows.withColumn("__v", F.when(F.col("__a"), F.col("__r.verdict")).otherwise(rules(F.col(text))))
+        rows = with_reply(rows.withColumn("__a", answered), "__r", F.when(F.col("__a"), envelope_text(F.col("__b"))))
+        rows = held(rows, "__v", F.when(F.col("__a"), F.col("__r.verdict")).otherwise(rules(F.col(text))))
         used, fallback = F.when(F.col("__a"), F.lit(model)).otherwise(API_FAILURE), ~F.col("__a")
         unparsed = F.col("__a") & ~F.col("__r.parsed")
     keep = logs.columns

@@ -13,9 +13,10 @@ def log_report(spark: SparkSession, paths: list[str], out: str, threshold: int =
     """Parse, detect, report, export; returns the report's text."""
     if threshold < 1:
         raise ValueError("the threshold starts at 1")
-    logs = readers.read_logs(spark, paths, fmt).persist()
+    logs = readers.read_logs(spark, paths, fmt)
+    found = anomaly.report(logs, threshold)
+    found["rows"].persist()  # counts, far fewer than the lines
     try:
-        found = anomaly.report(logs, threshold)
         if suspicious_csv:
             sinks.write_suspicious_csv(found["suspicious"], f"{out}/suspicious_ips")
         if sections:
@@ -24,7 +25,7 @@ def log_report(spark: SparkSession, paths: list[str], out: str, threshold: int =
             sinks.write_sql(spark, readers.log_fields(logs), f"{out}/sql")
         return anomaly.report_text(found, threshold)
     finally:
-        logs.unpersist()
+        found["rows"].unpersist()
 
 
 #: Headings of the report's sections.

@@ -114,20 +114,21 @@ def timestamps_typed(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A new folder in the cluster's shared one, or in a temporary one of this machine where none is set."""
+    """A new folder in the cluster's shared one. Where none is set, one of this machine will do for local masters only."""
     import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-log-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-log-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT id // 2000 AS part, row_number() OVER (PARTITION BY id // 2000 ORDER BY id)::BIGINT AS line_number, line AS value FROM {LINES}")
 def line_numbers(spark, sf_dir):
     """The lines written as text, a file for every 2000 ids, read back with their numbers."""
-    path = _scratch(spark, sf_dir, "lines")
-    lines = raw_lines(spark, sf_dir).withColumn("part", F.floor(F.col("id") / 2000))
-    lines.repartition("part").sortWithinPartitions("part", "id").select("part", "line").write.partitionBy("part").text(path)
+    path = _text_files(spark, sf_dir)
     part = F.regexp_extract("input_file", r"part=(\d+)", 1).cast("long")
     return readers.numbered_lines(spark, path).select(part.alias("part"), "line_number", "value")
 
@@ -148,13 +149,75 @@ def json_batch(spark, sf_dir):
     return readers.read_json_batch(spark, path, multi_line=False)
 
 
-@query(f"SELECT {', '.join(c for c in SHOWN if c != 'timestamp' and c != 'id')}, date_trunc('second', timestamp) AS timestamp FROM {LOG}")
+@query(f"""SELECT {', '.join(c for c in SHOWN if c != 'timestamp' and c != 'id')}, date_trunc('second', timestamp) AS timestamp, true AS known, id % 2 = 1 AS second_batch, 1::BIGINT AS same_id FROM {LOG}""")
 def append_and_scan(spark, sf_dir):
-    """Two batches appended to a log table partitioned by day, scanned back."""
+    """Two batches appended to a log table partitioned by day, scanned back. Ids: each once, those of the second batch above those of the first."""
     path, log = _scratch(spark, sf_dir, "log"), events_as_log(spark, sf_dir).withColumn("timestamp", F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
+    tops: list[int] = []
     for part in (log.filter("id % 2 = 0"), log.filter("id % 2 = 1")):
         sinks.append_logs(spark, part, path)
-    return readers.read_table(spark, path).select(*[c for c in SHOWN if c != "id"])
+        tops.append(readers.read_table(spark, path).agg(F.max("id")).first()[0])
+    rows = readers.read_table(spark, path)
+    same = rows.groupBy("id").agg(F.count("*").alias("same_id"))
+    return rows.join(same, "id").select(*[c for c in SHOWN if c != "id"], F.col("created_at").isNotNull().alias("known"), (F.col("id") > tops[0]).alias("second_batch"), "same_id")
+
+
+@query(f"SELECT date_trunc('second', timestamp) AS timestamp, ip_address, username, id::VARCHAR AS extra, NULL::VARCHAR AS operation, NULL::VARCHAR AS operation_result, NULL::VARCHAR AS severity FROM {LOG}")
+def csv_padding(spark, sf_dir):
+    """CSV without three of the required columns, which come back as null."""
+    path = _scratch(spark, sf_dir, "csv")
+    t = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    events_as_log(spark, sf_dir).select(t, "ip_address", F.col("username").alias("user"), F.col("id").alias("extra")).write.option("header", True).csv(path)
+    return readers.read_csv(spark, path).drop("timestamp_text")
+
+
+TEXT = _fields_sql(f"(SELECT id // 2000 AS part, row_number() OVER (PARTITION BY id // 2000 ORDER BY id)::BIGINT AS line_number, line FROM {LINES})", "part, line_number")
+
+
+def _text_files(spark: SparkSession, sf_dir: str, suffix: str = "") -> str:
+    """The lines as text, a file for every 2000 ids."""
+    path = _scratch(spark, sf_dir, "lines") + suffix
+    lines = raw_lines(spark, sf_dir).withColumn("part", F.floor(F.col("id") / 2000))
+    lines.repartition("part").sortWithinPartitions("part", "id").select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+@query(TEXT)
+def text_scan(spark, sf_dir):
+    rows = readers.read_text(spark, _text_files(spark, sf_dir))
+    return rows.withColumn("part", F.regexp_extract("input_file", r"part=(\d+)", 1).cast("long")).drop("input_file", "raw_line", "timestamp")
+
+
+@query(f"""SELECT 'csv' AS source, ip_address, username, operation, operation_result, severity, timestamp FROM (SELECT * REPLACE (date_trunc('second', timestamp) AS timestamp) FROM {LOG})
+  UNION ALL SELECT 'text', ip_address, username, operation, operation_result, severity, timestamp_text::TIMESTAMP FROM ({TEXT})""")
+def format_detection(spark, sf_dir):
+    """A folder of CSV named .CSV and one of text, read in one call."""
+    path = _scratch(spark, sf_dir, "log") + ".CSV"
+    events_as_log(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).drop("id").write.option("header", True).option("escape", '"').csv(path)
+    rows = readers.read_logs(spark, [path, _text_files(spark, sf_dir, ".log")])
+    return rows.select(F.when(F.col("raw_line").isNull(), "csv").otherwise("text").alias("source"), "ip_address", "username", "operation", "operation_result", "severity", "timestamp")
+
+
+@query(f"SELECT id, timestamp, ip_address, username, operation, operation_result, detail, severity, source_file, NULL::TIMESTAMP AS created_at FROM {LOG}")
+def json_array_batch(spark, sf_dir):
+    """Bodies that are one array each, of about a thousand rows."""
+    path, log = _scratch(spark, sf_dir, "json"), search.camel_case(events_as_log(spark, sf_dir))
+    log = log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).withColumn("part", F.floor(F.col("id") / 1000))
+    bodies = log.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*[c for c in log.columns if c != "part"]))).alias("body"))
+    bodies.write.partitionBy("part").text(path)
+    return readers.read_json_batch(spark, path).drop("part")
+
+
+@query(f"SELECT id, timestamp, ip_address, username, operation, operation_result, severity, source_file FROM {LOG}")
+def jdbc_round_trip(spark, sf_dir):
+    """The log written to and read from a database, in parts by id: one within this process, as no other is at hand."""
+    import uuid
+
+    url, known = f"jdbc:derby:memory:log-{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    log = events_as_log(spark, sf_dir).select(*SHOWN).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    sinks.write_jdbc(log, url, "log_entry", **known)
+    parts = [f'MOD("id", 4) = {k}' for k in range(4)]
+    return readers.read_jdbc(spark, url, "log_entry", parts, **known).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 # --- search
@@ -173,6 +236,13 @@ def log_page_3(spark, sf_dir):
     return search.page(events_as_log(spark, sf_dir), 3).select(*SHOWN)
 
 
+@query(f"""SELECT * FROM (SELECT {COLS} FROM {LOG} WHERE operation = 'LOGIN' ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 20),
+  (SELECT count(*) AS total, 2 AS page, 20 AS page_size, ceil(count(*) / 20)::BIGINT AS pages FROM {LOG} WHERE operation = 'LOGIN')""")
+def page_envelope(spark, sf_dir):
+    totals, rows = search.envelope(events_as_log(spark, sf_dir), 2, 20, operation="LOGIN")
+    return rows.select(*SHOWN).withColumns({k: F.lit(v).cast("int" if k.startswith("page") and k != "pages" else "long") for k, v in totals.items()})
+
+
 @query(f"SELECT {COLS} FROM {LOG} WHERE timestamp <= TIMESTAMP '{END}' AND (timestamp < TIMESTAMP '{END}' OR id < 100) ORDER BY timestamp DESC, id DESC LIMIT 20")
 def log_keyset_page(spark, sf_dir):
     return search.keyset_page(events_as_log(spark, sf_dir), (END, 100)).select(*SHOWN)
@@ -305,9 +375,40 @@ def sensitive_operations(spark, sf_dir):
     return anomaly.brute_force(events_as_log(spark, sf_dir), 5, SENSITIVE_OPERATIONS).select("ip_address", "failed_attempts")
 
 
-@query(f"""SELECT a.*, u.unique_ips, s.suspicious_ips FROM ({ORACLES['failure_rate']}) a, ({ORACLES['unique_ips']}) u, (SELECT count(*) AS suspicious_ips FROM {PER_IP} WHERE failed_attempts >= 5) s""")
+SUSPECTS = f"(SELECT *, {TIER.format(15, 10, 5)} AS risk_level FROM {PER_IP} WHERE failed_attempts >= 5)"
+OPERATIONS, LEVELS = f"(SELECT operation, count(*) AS n FROM {LOG} WHERE operation_result = 'FAIL' GROUP BY operation)", f"(SELECT severity, count(*) AS n FROM {LOG} GROUP BY severity)"
+SUMMARY = f"""(SELECT a.*, u.unique_ips, s.suspicious_ips FROM ({ORACLES['failure_rate']}) a, ({ORACLES['unique_ips']}) u, (SELECT count(*) AS suspicious_ips FROM {SUSPECTS}) s)"""
+_WHEN = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"""SELECT 'summary' AS section, unnest(['total_records', 'failed_records', 'unique_ips', 'suspicious_ips', 'failure_rate']) AS name, unnest([total_records, failed_records, unique_ips, suspicious_ips, round(failure_rate * 100)::BIGINT]) AS n, NULL AS risk_level, NULL AS first_seen, NULL AS last_seen, NULL AS users, NULL AS operations FROM {SUMMARY}
+  UNION ALL SELECT 'suspicious', ip_address, failed_attempts, risk_level, {_WHEN.format('first_seen')}, {_WHEN.format('last_seen')}, unique_users, operations_attempted FROM {SUSPECTS}
+  UNION ALL SELECT 'fail_operations', operation, n, NULL, NULL, NULL, NULL, NULL FROM {OPERATIONS} UNION ALL SELECT 'severities', severity, n, NULL, NULL, NULL, NULL, NULL FROM {LEVELS}""")
 def anomaly_report(spark, sf_dir):
-    return anomaly.report(events_as_log(spark, sf_dir))["summary"]
+    """All sections of the report, one under another; the rate in hundredths of a per cent."""
+    found = anomaly.report(events_as_log(spark, sf_dir))
+    s, t = found["summary"], lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    pairs = [F.struct(F.lit(c).alias("name"), (F.round(F.col(c) * 100) if c == "failure_rate" else F.col(c)).cast("long").alias("n")) for c in s.columns]
+    parts = {
+        "summary": s.select(F.explode(F.array(*pairs)).alias("x")).select("x.*"), "fail_operations": found["fail_operations"].withColumnRenamed("operation", "name"), "severities": found["severities"].withColumnRenamed("severity", "name"),
+        "suspicious": _joined(found["suspicious"]).select(F.col("ip_address").alias("name"), F.col("failed_attempts").alias("n"), "risk_level", t("first_seen"), t("last_seen"), F.col("unique_users").alias("users"), F.col("operations_attempted").alias("operations")),
+    }
+    out = None
+    for name, part in parts.items():
+        part = part.withColumn("section", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+_HEAD = [f"'{anomaly.RULE}'", f"'{anomaly.TITLE}'", f"'{anomaly.RULE}'", f"'{anomaly.TOTAL}' || total_records", f"'{anomaly.FAILED}' || failed_records || printf(' (%.2f%%)', failure_rate)", f"'{anomaly.IPS}' || unique_ips", f"'{anomaly.SUSPECTS}' || suspicious_ips || ' (阈值=5)'", "''"]
+REPORT = f"""(SELECT unnest([{', '.join(_HEAD)}]) AS line FROM {SUMMARY} UNION ALL SELECT unnest(['{anomaly.BY_OPERATION}', '', '{anomaly.BY_SEVERITY}', '', '{anomaly.LIST}', '', '{anomaly.RULE}'])
+  UNION ALL SELECT '    - ' || operation || ': ' || n || ' 次' FROM {OPERATIONS} UNION ALL SELECT '    - ' || severity || ': ' || n || ' 条' FROM {LEVELS}
+  UNION ALL SELECT '    [!] ' || ip_address || ' — 失败 ' || failed_attempts || ' 次 [' || risk_level || ']' FROM {SUSPECTS})"""
+
+
+@query(f"SELECT line FROM {REPORT}")
+def anomaly_report_lines(spark, sf_dir):
+    return anomaly.report_lines(anomaly.report(events_as_log(spark, sf_dir))).select("line")
 
 
 @query(f"""SELECT w AS window_start, w + INTERVAL 6 HOURS AS window_end, ip_address, count(*) AS failed_attempts, {TIER.replace('failed_attempts', 'count(*)').format(6, 4, 2)} AS risk_level FROM (
@@ -372,8 +473,7 @@ REPLY_V = {
 
 @query(f"SELECT log_id, {_as(REPLY_V)}, ({GOOD}) AS parsed FROM {RISKY} WHERE log_id % 5 <> 0")
 def reply_parse(spark, sf_dir):
-    got = replies(spark, sf_dir).select("log_id", triage.parse_reply(F.col("reply")).alias("r"))
-    return got.select("log_id", "r.verdict.*", "r.parsed")
+    return triage.with_reply(replies(spark, sf_dir).select("log_id", "reply"), "r", F.col("reply")).select("log_id", "r.verdict.*", "r.parsed")
 
 
 OBJ = """'{"operationType":"LOGIN","riskLevel":"HIGH","needIntervention":true,"suggestion":"s' || log_id || '","sourceIp":"10.1.0.' || (log_id % 9) || '"}'"""
@@ -467,9 +567,15 @@ def admissible_text(spark, sf_dir):
     return yes.select("conv_id", "turn", F.lit(True).alias("accepted")).unionByName(no.select("conv_id", "turn", F.lit(False).alias("accepted")))
 
 
-@query(f"""SELECT l.id, l.timestamp AS created_at, l.username FROM {LOG} l WHERE ip_address IN (SELECT ip_address FROM {PER_IP} WHERE failed_attempts >= 12)""")
+_P3 = f"""(SELECT id, username, timestamp, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || ip_address || ' User ' || username || ' ' || operation || ' ' || operation_result || coalesce(' ' || detail, '') AS log_content
+  FROM {LOG} WHERE ip_address IN (SELECT ip_address FROM {PER_IP} WHERE failed_attempts >= 12))"""
+
+
+@query(f"""SELECT id, username, log_content, summary AS log_summary, operation_type, risk_level, need_intervention, suggestion AS ai_suggestion, source_ip, '{triage.NO_KEY}' AS model_used, NULL::INTEGER AS analysis_time_ms, timestamp AS created_at
+  FROM (SELECT *, {_as(_rules_sql('log_content'))} FROM {_P3})""")
 def triage_suspicious(spark, sf_dir):
-    return pipelines.triage_suspicious(events_as_log(spark, sf_dir), None, "m", 12).select("id", "created_at", "username")
+    """The whole history rows of all log rows of suspicious addresses."""
+    return pipelines.triage_suspicious(events_as_log(spark, sf_dir), None, "m", 12)
 
 
 # --- audit
@@ -526,6 +632,74 @@ def sql_escaping(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.sql_text(F.col("text")).alias("literal"))
 
 
-@query(f"SELECT 'LOGIN' AS \"操作类型\", count(*) AS \"失败次数\" FROM {LOG} WHERE operation_result = 'FAIL'")
+_CSV = f"""SELECT ip_address, failed_attempts::VARCHAR AS failed_attempts, unique_users::VARCHAR AS unique_users, operations_attempted, 'true' AS is_suspicious, risk_level, {_WHEN.format('first_seen')} AS first_seen, {_WHEN.format('last_seen')} AS last_seen FROM {SUSPECTS}"""
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """Times as text, to the second."""
+    return rows.withColumns({c: F.date_format(F.to_timestamp_ntz(c), "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
+
+
+@query(_CSV)
+def suspicious_csv(spark, sf_dir):
+    """The file of suspicious addresses, read back as text."""
+    path = _scratch(spark, sf_dir, "suspicious")
+    sinks.write_suspicious_csv(anomaly.report(events_as_log(spark, sf_dir))["suspicious"], path)
+    return _seen(spark.read.csv(path, header=True))
+
+
+@query(f"""SELECT 'Summary' AS section, unnest(['总日志条数', '失败操作数', '独立 IP 数', '可疑 IP 数', '导出时间']) AS name, unnest([total_records::VARCHAR, failed_records::VARCHAR, unique_ips::VARCHAR, suspicious_ips::VARCHAR, 'a time']) AS value FROM {SUMMARY}
+  UNION ALL SELECT 'Suspicious_IPs', ip_address, failed_attempts || ' ' || risk_level || ' ' || operations_attempted FROM {SUSPECTS}
+  UNION ALL SELECT 'Fail_Distribution', operation, n::VARCHAR FROM {OPERATIONS} UNION ALL SELECT 'Severity', severity, n::VARCHAR FROM {LEVELS}""")
 def report_sections(spark, sf_dir):
-    return pipelines.report_sections(spark, anomaly.report(events_as_log(spark, sf_dir)))["Fail_Distribution"]
+    """All sections, written, read back, and put one under another; the time of export only as such."""
+    path = _scratch(spark, sf_dir, "sections")
+    sinks.write_sections(pipelines.report_sections(spark, anomaly.report(events_as_log(spark, sf_dir))), path)
+    got = {name: spark.read.csv(f"{path}/{name}", header=True) for name in ("Summary", "Suspicious_IPs", "Fail_Distribution", "Severity")}
+    value = {
+        "Summary": F.when(F.col("指标") == "导出时间", F.when(F.try_to_timestamp("值").isNotNull(), "a time")).otherwise(F.col("值")), "Fail_Distribution": F.col("失败次数"), "Severity": F.col("数量"),
+        "Suspicious_IPs": F.concat_ws(" ", "failed_attempts", "risk_level", "operations_attempted"),
+    }
+    out = None
+    for name, df in got.items():
+        part = df.select(F.lit(name).alias("section"), F.col(f"`{df.columns[0]}`").alias("name"), value[name].alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- jobs
+
+
+_TO_SECOND = LOG.replace("ts AS timestamp", "date_trunc('second', ts) AS timestamp")
+
+
+@query(f"SELECT 'report' AS output, line AS value FROM {REPORT} UNION ALL SELECT 'suspicious', ip_address || ' ' || failed_attempts || ' ' || risk_level FROM {SUSPECTS} UNION ALL SELECT 'sql', count(*)::VARCHAR FROM {LINES}")
+def log_report_job(spark, sf_dir):
+    """The whole job over text files: the report, the suspicious addresses and the number of statements, as it wrote them."""
+    out = _scratch(spark, sf_dir, "report")
+    text = pipelines.log_report(spark, [_text_files(spark, sf_dir)], out, sql=True, sections=True)
+    report = spark.createDataFrame([(x,) for x in text.split("\n")], "value string")  # the bounded text
+    suspicious = spark.read.csv(f"{out}/suspicious_ips", header=True).select(F.concat_ws(" ", "ip_address", "failed_attempts", "risk_level").alias("value"))
+    statements = spark.read.text(f"{out}/sql/statements").filter("value LIKE 'INSERT INTO log_entry%'").agg(F.count("*").cast("string").alias("value"))
+    parts = [df.select(F.lit(k).alias("output"), "value") for k, df in (("report", report), ("suspicious", suspicious), ("sql", statements))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""SELECT * FROM (SELECT date_trunc('second', timestamp) AS timestamp, ip_address, username, operation, operation_result, 'event ' || id AS detail, severity, source_file FROM {LOG} WHERE operation = 'LOGIN'
+  AND date_trunc('second', timestamp) >= TIMESTAMP '{END}' AND date_trunc('second', timestamp) <= TIMESTAMP '{END}' + INTERVAL 2 HOURS), (SELECT count(*) AS total FROM {LOG} WHERE operation = 'LOGIN' AND date_trunc('second', timestamp) >= TIMESTAMP '{END}' AND date_trunc('second', timestamp) <= TIMESTAMP '{END}' + INTERVAL 2 HOURS)""")
+def load_and_search_job(spark, sf_dir):
+    """Text files parsed, appended to a new table, and searched there; one page holds all that is found."""
+    until = f"{END[:11]}14:00:00"
+    totals, rows = pipelines.load_and_search(spark, [_text_files(spark, sf_dir)], _scratch(spark, sf_dir, "table"), 1, 100_000, start=END, end=until, operation="LOGIN")
+    return rows.select("timestamp", "ip_address", "username", "operation", "operation_result", "detail", "severity", "source_file").withColumn("total", F.lit(totals["total"]).cast("long"))
+
+
+@query(f"""SELECT w AS window_start, w + INTERVAL 6 HOURS AS window_end, ip_address, count(*) AS failed_attempts, {TIER.replace('failed_attempts', 'count(*)').format(6, 4, 2)} AS risk_level FROM (
+  SELECT time_bucket(INTERVAL 2 HOURS, timestamp, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOURS AS w, ip_address FROM {_TO_SECOND}, range(0, 3) r(k) WHERE operation_result = 'FAIL' AND operation = 'LOGIN')
+  WHERE w + INTERVAL 6 HOURS <= (SELECT max(timestamp) FROM {_TO_SECOND}) - INTERVAL 10 MINUTES GROUP BY w, ip_address HAVING count(*) >= 2""")
+def stream_brute_force(spark, sf_dir):
+    """The stream over a folder of text logs: the windows that are over when it has read all."""
+    out = _scratch(spark, sf_dir, "stream")
+    run = detect.stream_detect(spark, _text_files(spark, sf_dir), f"{out}/found", f"{out}/checkpoint", 2, "6 hours", "2 hours")
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/found")

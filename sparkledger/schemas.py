@@ -18,6 +18,7 @@ OPERATIONS = (
 #: Fixed values.
 SEVERITIES = ("CRITICAL", "ERROR", "WARN", "INFO", "DEBUG")
 RISKS = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+#: An unordered set.
 SENSITIVE_OPERATIONS = ("ACCESS", "CONFIG", "DELETE", "EXECUTE", "LOGIN")
 #: Other names of CSV columns.
 ALIASES = {"ip": "ip_address", "user": "username", "action": "operation", "result": "operation_result", "message": "detail", "level": "severity", "file": "source_file"}

@@ -33,7 +33,9 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = Fal
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """value, input_file, line_number: the 1-based number of the physical line, blank lines counted.
 
-    Lines are numbered within their file block, and blocks by the counts of those before them; there is no sort of lines."""
+    Lines are numbered within their file block, and blocks by the counts of those before them; there is no sort of lines.
+    The files are scanned twice, and both scans must cut them into the same blocks: so they do, as both are of one plan
+    under one set of spark.sql.files settings. The files must not change in between."""
     lines = spark.read.text(paths).select(
         F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("input_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
     )
