@@ -11,13 +11,16 @@ only classes meet in buckets:
    values, block by block, and pairs that may be similar are confirmed on their sets.
 
 So every pair that shares a bucket is either held against its sets (or ruled out by an estimate
-at least four deviations below the threshold) or already in one component; no task emits the
-pairs of a large group of copies: step 3 confirms sets of up to 1024 shingles where it stands and
-gives only as many links as join the components of a block.
+`DEVIATIONS` below the threshold: of pairs at the threshold some 1 in 10^9, where the bands lose 5 in
+10^6) or already in one component; no task emits the pairs of a large group of copies: step 3 confirms
+sets of up to 1024 shingles where it stands and gives only as many links as join the components of a
+block. The members of a bucket's largest component meet only the others, not each other: with o others
+of n members, about 2 * o * n / `BLOCK` rows are dealt out. That is small next to n for copies, and grows
+with the square of a bucket of sets that are all unlike.
 
 Texts that are null or without words have no shingles: n_shingles 0, linked with nothing. Rows
 without an id are linked with nothing and have component_id null and kept true. Rows that repeat an
-id are the same document: their sets count as linked. Extra columns are left out; an empty table
+id are the same document: all their sets count as linked. Extra columns are left out; an empty table
 gives an empty result; texts of any length are read whole.
 """
 
@@ -39,6 +42,7 @@ FUNCTIONS = 64
 BAND = 4  # values
 BANDS = 2 * FUNCTIONS // BAND
 BLOCK = 512  # members of a bucket that meet in one task
+DEVIATIONS = 6
 _RNG = np.random.default_rng(20240501)
 _TIMES = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -107,6 +111,12 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 SKETCH = 1024  # least hashes of a set that go into step 3: all of most sets
 
 
+def bound(percent: int, n: int) -> float:
+    """What an estimate from n values falls below by chance hardly ever."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / n) ** 0.5
+
+
 def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the others, those similar to i, and those that their heads can't rule out."""
     small = others[sizes[others] <= SKETCH] if sizes[i] <= SKETCH else others[:0]
@@ -116,7 +126,7 @@ def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarra
         at = np.minimum(np.searchsorted(heads[i], flat), len(heads[i]) - 1)
         both = np.add.reduceat((heads[i][at] == flat).astype(np.int64), first)
         sure = small[100 * both >= percent * (sizes[i] + sizes[small] - both)]
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
+    least = bound(percent, SKETCH)
     maybe = []
     for j in others if sizes[i] > SKETCH else others[sizes[others] > SKETCH]:
         low = np.union1d(heads[i], heads[j])[:SKETCH]  # the least hashes of the union
@@ -134,8 +144,6 @@ def _near(key: tuple, pdf: pd.DataFrame, least: float, percent: int) -> pd.DataF
     ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
     comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
     rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    if left == right and len(rows):  # the largest component has no pairs of its own to test
-        rows = rows[comp[rows] != np.bincount(comp[rows]).argmax()]
     turn = np.full(len(ids), len(ids))
     turn[rows] = np.arange(len(rows))
     found = []
@@ -152,6 +160,24 @@ def _near(key: tuple, pdf: pd.DataFrame, least: float, percent: int) -> pd.DataF
     return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
 
+def meetings(rest: DataFrame) -> DataFrame:
+    """Which members (bucket, id, comp) of a bucket meet in which task: left and right, the two blocks of the task, and the member's own block.
+
+    Members outside the bucket's largest component lie in blocks 0, 1, ..., those inside in -1, -2, ...; every
+    block outside meets every block."""
+    counts = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.n")).alias("o"), F.col("top.n").alias("i"))
+    n = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    placed = rest.join(sums.filter("o > 0").select("bucket", "top", n("o").alias("outer"), n("i").alias("inner")), "bucket")
+    own, h = F.col("comp") == F.col("top"), F.xxhash64("id")
+    placed = placed.withColumn("block", F.when(own, -1 - F.pmod(h, F.col("inner"))).otherwise(F.pmod(h, F.col("outer"))).cast("int"))
+    other = F.when(own, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(-F.col("inner"), F.col("outer") - 1))
+    placed = placed.withColumn("other", F.explode(other)).drop("top", "outer", "inner")
+    # a block inside stands on the right; of two blocks outside the lesser on the left
+    least, most = F.least("block", "other"), F.greatest("block", "other")
+    return placed.withColumn("left", F.when(least < 0, most).otherwise(least)).withColumn("right", F.when(least < 0, least).otherwise(most)).drop("other")
+
+
 def components(spark, links: DataFrame) -> DataFrame:
     """(id, root) of all linked ids, the root the smallest: alternating large and small stars."""
     links = common.table(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -186,19 +212,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
 
     wanted = member.select("id").distinct()
     full = common.table(spark, docs.join(wanted, "id").mapInArrow(partial(_set_bytes, words=words), "id long, set binary"), "minhash-sets")
-    links = common.table(spark, confirmed(stars, full, percent), "minhash-links")
+    # the classes that an id with several sets lies in are one: the id is linked with the smallest of each
+    named = rows.filter("id IS NOT NULL AND n > 0").select("id", "of")
+    several = named.join(named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "id")
+    several = several.join(classes.select("of", F.col("id").alias("a")), "of").filter("a <> id").select("a", F.col("id").alias("b"))
+    links = common.table(spark, confirmed(stars, full, percent).union(several), "minhash-links")
     comp = components(spark, links)
 
-    placed = member.filter("size > 2").join(comp, "id", "left").select("bucket", "id", "center", "size", F.coalesce("root", "id").alias("comp"))
-    rest = placed.filter("id <> center")
-    open_ = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    placed = member.filter("size > 2").join(comp, "id", "left").select("bucket", "id", "center", F.coalesce("root", "id").alias("comp"))
+    open_ = common.table(spark, meetings(placed.filter("id <> center").select("bucket", "id", "comp")), "minhash-open")
     head = full.select("id", F.substring("set", 1, F.lit(8 * SKETCH)).alias("head"), F.floor(F.octet_length("set") / 8).alias("n"))
-    rest = rest.join(common.table(spark, open_, "minhash-open"), "bucket").join(classes.select("id", "sig"), "id").join(head, "id")
-    n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rest = rest.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (2 * FUNCTIONS)) ** 0.5
+    rest = open_.join(classes.select("id", "sig").join(head, "id"), "id")
+    least = bound(percent, 2 * FUNCTIONS)
     maybe = rest.select("bucket", "left", "right", "id", "comp", "block", "sig", "head", "n").groupBy("bucket", "left", "right").applyInPandas(lambda key, pdf: _near(key, pdf, least, percent), "a long, b long")
     more = confirmed(maybe.distinct(), full, percent)
     links = common.table(spark, links.union(more), "minhash-links")

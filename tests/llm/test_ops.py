@@ -214,6 +214,33 @@ def test_blocks_join_components_and_rule_out_by_estimate():
     assert all(minhash.similar(found[a], found[b], 75) for a, b in links.to_numpy())
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (prose(60) for _ in range(3))
+    rows = [(5, a), (5, b), (1, a), (2, b), (7, c), (7, c), (7, ""), (8, c), (None, a), (None, None), (9, None), (9, c)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")
+    got = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] and k[1]} == {(5, True): 1, (1, True): 1, (2, True): 1, (7, True): 7, (8, True): 7, (9, True): 7}
+    assert got[None, True] == got[None, False] == (None, True) and minhash.near_duplicates(docs).count() == len(rows)
+
+
+def test_meetings_of_large_buckets(spark):
+    """All pairs across components meet once; what lies in the largest component is not dealt out again and again."""
+    minhash.BLOCK, before = 50, minhash.BLOCK
+    try:
+        for outside, n in ((7, 600), (130, 500), (400, 400)):
+            rest = spark.range(n).select(F.lit(9).alias("bucket"), "id", F.when(F.col("id") < outside, F.col("id")).otherwise(-1).alias("comp"))
+            met = minhash.meetings(rest).toPandas()
+            pairs = collections.Counter()
+            for (left, right), part in met.groupby(["left", "right"]):
+                x, y = (part[part["block"] == k][["id", "comp"]].to_numpy().tolist() for k in (left, right))
+                pairs.update((min(a, b), max(a, b)) for a, c in x for b, d in y if c != d and (left != right or a < b))
+            assert set(pairs.values()) == {1} and len(pairs) == outside * (outside - 1) // 2 + outside * (n - outside)
+            assert len(met) <= n + outside + 2 * outside * n / 50 + outside * (n > outside)
+    finally:
+        minhash.BLOCK = before
+    assert minhash.meetings(spark.range(5000).select(F.lit(1).alias("bucket"), "id", F.when(F.col("id") < 10, F.col("id")).otherwise(-1).alias("comp"))).count() < 5200
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(1)
     est = []
