@@ -6,7 +6,8 @@ index has a row per record: file, offset, length, url, digest. Reading: the sele
 are dealt by file and stretch, sorted by offset, and neighbouring ranges are fetched in one read.
 
 Null html counts as empty, a null url as an empty string. Among repeated page ids with equal
-payloads one row is the response (the first by url), the others revisit it. A page without an id
+payloads one row is the response (the first by url), the others revisit it; of rows that are equal in
+all three columns one is the response as well. A page without an id
 is written as a response and is never revisited. Extra columns are left out; an empty table
 gives an empty index. Payloads of any length are written whole.
 """
@@ -99,13 +100,16 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 1, most:
     spark = pages.sparkSession
     common.ship(spark)
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    large = F.octet_length("html") >= least
-    # the smallest (page id, url) of each large payload that occurs more than once, summed before it is dealt out
-    firsts = rows.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of"), "first")
-    # only the short columns meet; the html stays where it is read
-    joined = rows.join(firsts, large & (F.col("digest") == F.col("of")), "left")
-    again = F.col("page_id").isNotNull() & F.col("of").isNotNull() & (F.struct("page_id", "url") > F.col("first"))
-    marked = joined.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first.page_id")).alias("refers_to"))
+    # short columns alone say what a page is: the smallest (page id, url) of each large payload that occurs more than once
+    short = rows.filter((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
+    firsts = short.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # a table, not an aggregate, meets the pages: Spark can then split a payload that very many share
+    kinds = short.distinct().join(common.table(spark, firsts, "warc-firsts"), "digest")
+    # the html is dealt out once, by page; equal rows are summed to one before it
+    pages = rows.groupBy("page_id", "url", "digest").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    pages = pages.join(kinds, ["page_id", "url", "digest"], "left").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    again = F.col("first").isNotNull() & ((F.struct("page_id", "url") > F.col("first")) | (F.col("turn") > 1))
+    marked = pages.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first.page_id")).alias("refers_to"))
     return common.table(spark, marked.mapInArrow(partial(_write, folder=folder, level=level, most=most), INDEX), "warc-index")
 
 

@@ -500,6 +500,20 @@ def test_warc(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"), common.new_path(spark, "warc"))).count() == 0
 
 
+def test_warc_of_repeated_rows(spark):
+    big, other = "<p>é" + "x" * 200, "y" * 150
+    rows = [(1, "u", big)] * 3 + [(2, "v", big)] * 2 + [(1, "w", big), (3, "u", other), (None, None, other), (None, None, other), (4, None, None), (4, None, None)]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, digest string, turn string")
+    got = collections.Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read(warc.write(pages.repartition(4), common.new_path(spark, "warc"))).collect())
+    assert got == {(1, "u", "response", None): 1, (1, "u", "revisit", 1): 2, (2, "v", "revisit", 1): 2, (1, "w", "revisit", 1): 1, (3, "u", "response", None): 1, (None, "", "response", None): 2, (4, "", "response", None): 2}
+
+
+def test_warc_of_long_pages(spark):
+    rows = [(1, "u", "long " * 2_000_000), (2, "v", "long " * 2_000_000), (3, "w", "long " * 2_000_000 + "!")]
+    got = {r["page_id"]: r for r in warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), common.new_path(spark, "warc")), with_payload=True).collect()}
+    assert [got[i]["record_type"] for i in (1, 2, 3)] == ["response", "revisit", "response"] and got[3]["payload"].decode() == rows[2][2]
+
+
 # 10
 
 
