@@ -540,7 +540,7 @@ def test_corners_meet_as_by_brute_force():
 
 def test_media_blurred(spark):
     own = [media.render(b"%d" % i) for i in range(60)]
-    rows = [(2 * i + k, 96, x.tobytes()) for i, p in enumerate(own) for k, x in enumerate((p, (media.box(p[None].astype(np.float32), 1)[0] / 9).astype(np.uint8)))]
+    rows = [(2 * i + k, 96, x.tobytes()) for i, p in enumerate(own) for k, x in enumerate((p, (media.box(p[None].astype(np.float32))[0] / 9).astype(np.uint8)))]
     got = {(q, r["page_id"]) for r in media.copies(spark.createDataFrame(rows, "page_id long, height int, pixels binary"), every=2).collect() for q in r["copy_of"]}
     want = {(2 * i, 2 * i + 1) for i in range(60)}
     assert len(want & got) >= 0.95 * len(want) and got <= want
@@ -557,6 +557,52 @@ def test_media_edits(spark):
         assert sum((1000 * i, 1000 * i + 1 + how) in got for i in range(n)) >= 0.9 * n, name
 
 
+def test_media_blocks_and_hostile_rows(spark):
+    """Small blocks find what one finds; repeated and null ids, equal rows and columns with clashing names do no harm."""
+    own = [media.render(b"b%d" % i) for i in range(9)]
+    rows = [(i, 96, p.tobytes()) for i, p in enumerate(own)] + [(100 + i, 80, media.edited(p, 0).tobytes()) for i, p in enumerate(own)]
+    rows += [rows[0], rows[0], (3, 96, own[4].tobytes()), (None, 96, own[5].tobytes()), (None, 80, rows[14][2]), (None, None, None), (55, 96, own[5].tobytes())]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, height int, pixels binary, of string, corners int")
+    got = sorted(map(str, media.copies(pages, every=1).collect()))
+    media.BLOCK, before = 2, media.BLOCK
+    try:
+        assert sorted(map(str, media.copies(pages, every=1).collect())) == got
+    finally:
+        media.BLOCK = before
+    found = collections.defaultdict(list)
+    for r in media.copies(pages, every=1).collect():
+        found[r["page_id"]].append((r["class_id"], r["copy_of"]))
+    assert len(got) == len(rows) and found[0] == [(0, [100])] * 3 and sorted(found[3]) == [(3, [103]), (3, [104])] and found[4] == [(3, [104])] and found[55] == [(5, [105])]
+    assert sorted(found[None], key=str) == [(105, [5]), (5, [105]), (None, [])] and found[103] == [(103, [3])] and found[100] == [(100, [0])]
+
+
+def test_pairs_of_pictures_as_by_comparing_all_corners():
+    """The tables against all pairs of corners: every pair of pictures that all corner pairs within MOST bits confirm is found."""
+    at_turn = media.turned(media.binary_tests())
+    own = [media.render(b"t%d" % i) for i in range(26)]
+    copies_ = [media.edited(p, i % len(media.EDITS)) for i, p in enumerate(own)]
+
+    def corner(p):
+        _, *cols = media.describe(p[None], at_turn)
+        c = np.empty(len(cols[0]), media.CORNER)
+        for name, x in zip(media.CORNER.names, cols, strict=True):
+            c[name] = x.view(np.uint64) if name in "ab" else x
+        return c
+
+    a, b = [corner(p) for p in own], [corner(p) for p in copies_]
+    want, got = set(), set()
+    for i, x in enumerate(a):
+        index = media.tables(x)
+        for j, y in enumerate(b):
+            d = np.bitwise_count(y["a"][:, None] ^ x["a"]) + np.bitwise_count(y["b"][:, None] ^ x["b"])
+            r, q = np.nonzero(d <= media.MOST)
+            want |= {(i, j)} if media.agree(x[q], y[r]) else set()
+            r, q = media.meet(y, x, index, media.MOST)
+            got |= {(i, j)} if media.agree(x[q], y[r]) else set()
+    assert got <= want | {(i, i) for i in range(26)} and len(want & got) >= 0.95 * len(want)
+    assert len({(i, i) for i in range(26)} & got) >= 24 and all(i == j for i, j in want)
+
+
 def test_media_edges(spark):
     p = media.render(b"a").tobytes()
     rows = [(0, 96, p), (1, 96, p), (2, None, None), (3, 96, b""), (4, 7, b"1234567"), (5, 96, bytes(96 * 96))]
