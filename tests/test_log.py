@@ -194,6 +194,46 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect())) != []
 
 
+def test_ids_go_on_after_a_job_that_died(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for k in range(3):
+        sinks.append_logs(spark, logins(spark).drop("id"), path)
+        if k == 1:  # as if the second job had died between its batch and its mark
+            sinks._mark(spark, f"{path}/_largest_id", None)
+    rows = readers.read_table(spark, path)
+    assert rows.count() == 30 == rows.select("id").distinct().count()
+    assert spark.read.parquet(f"{path}/_largest_id").first()["id"] == rows.agg(F.max("id")).first()[0]
+
+
+def test_replies_are_parsed_once(spark):
+    logs = spark.createDataFrame([(1, "x")], "log_id long, log_content string")
+    plan = triage.resolve(logs, spark.createDataFrame([(1, 200, "{}")], "log_id long, status int, body string"), "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("try_parse_json") + plan.count("parse_json") <= 2
+
+
+def test_report_reads_the_log_once(spark, tmp_path):
+    logins(spark).write.parquet(str(tmp_path / "log"))
+    found = anomaly.report(readers.read_table(spark, str(tmp_path / "log")), 5)
+    for name in ("summary", "suspicious", "fail_operations", "severities"):
+        assert found[name]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1, name
+    assert anomaly.report_text(found).split("\n") == [r["line"] for r in anomaly.report_lines(found).orderBy("part", "place", "name").collect()]
+    many = frame(spark, [(i, DAY, f"10.0.{i // 60}.{i % 60 // 6}", "u", "LOGIN", "FAIL", None, "WARN", None) for i in range(120)])
+    assert anomaly.report_text(anomaly.report(many, 3), 3, most=7).count("[!]") == 7
+    with pytest.raises(ValueError, match="threshold"):
+        anomaly.report(many, 0)
+
+
+def test_database_round_trip(spark):
+    url, known = "jdbc:derby:memory:test-log;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = logins(spark).select("id", "ip_address", "operation_result")
+    for part in (rows.filter("id < 4"), rows.filter("id >= 4")):  # the second is appended
+        sinks.write_jdbc(part, url, "log_entry", batch=3, **known)
+    one = readers.read_jdbc(spark, url, "log_entry", **known)
+    many = readers.read_jdbc(spark, url, "log_entry", ['"id" < 5', '"id" >= 5'], **known)
+    assert many.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_no_python_in_plans(spark):
     log = logins(spark)
     for df in (anomaly.brute_force(log), stats.report_counts(log), search.page(log, 1)):
