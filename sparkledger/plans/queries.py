@@ -640,12 +640,18 @@ def _seen(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.date_format(F.to_timestamp_ntz(c), "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
 
 
+def _suspicious(spark: SparkSession, path: str) -> DataFrame:
+    """The file, read back as text; where there was nothing to write, no rows."""
+    names = ("ip_address", *anomaly.SUSPICIOUS, "is_suspicious", "risk_level")
+    return spark.read.csv(path, header=True) if readers.exists(spark, path) else spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+
+
 @query(_CSV)
 def suspicious_csv(spark, sf_dir):
     """The file of suspicious addresses, read back as text."""
     path = _scratch(spark, sf_dir, "suspicious")
     sinks.write_suspicious_csv(anomaly.report(events_as_log(spark, sf_dir))["suspicious"], path)
-    return _seen(spark.read.csv(path, header=True))
+    return _seen(_suspicious(spark, path))
 
 
 @query(f"""SELECT 'Summary' AS section, unnest(['总日志条数', '失败操作数', '独立 IP 数', '可疑 IP 数', '导出时间']) AS name, unnest([total_records::VARCHAR, failed_records::VARCHAR, unique_ips::VARCHAR, suspicious_ips::VARCHAR, 'a time']) AS value FROM {SUMMARY}
@@ -679,7 +685,7 @@ def log_report_job(spark, sf_dir):
     out = _scratch(spark, sf_dir, "report")
     text = pipelines.log_report(spark, [_text_files(spark, sf_dir)], out, sql=True, sections=True)
     report = spark.createDataFrame([(x,) for x in text.split("\n")], "value string")  # the bounded text
-    suspicious = spark.read.csv(f"{out}/suspicious_ips", header=True).select(F.concat_ws(" ", "ip_address", "failed_attempts", "risk_level").alias("value"))
+    suspicious = _suspicious(spark, f"{out}/suspicious_ips").select(F.concat_ws(" ", "ip_address", "failed_attempts", "risk_level").alias("value"))
     statements = spark.read.text(f"{out}/sql/statements").filter("value LIKE 'INSERT INTO log_entry%'").agg(F.count("*").cast("string").alias("value"))
     parts = [df.select(F.lit(k).alias("output"), "value") for k, df in (("report", report), ("suspicious", suspicious), ("sql", statements))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -181,6 +181,8 @@ def test_report_job(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out/sql/statements")).count() == 10
     info, page = pipelines.load_and_search(spark, [str(tmp_path / "s.log")], str(tmp_path / "table"), operation="LOGIN")
     assert info["total"] == 10 and page.count() == 10
+    pipelines.log_report(spark, [str(tmp_path / "s.log")], str(tmp_path / "none"), threshold=11)
+    assert not (tmp_path / "none/suspicious_ips").exists()
     with pytest.raises(ValueError, match="threshold"):
         pipelines.log_report(spark, [], "x", threshold=0)
 
