@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import re
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
@@ -34,44 +39,89 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and the master is local (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = next((d for a, d in _OWN if a == sc.applicationId), None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         _OWN.append((sc.applicationId, base))
     return base.rstrip("/")
 
 
-_MADE: list[str] = []
+class _Open(threading.local):
+    def __init__(self):
+        self.owners: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
+@contextmanager
+def owned(spark: SparkSession):
+    """Scratch paths made within belong to the list that this gives; their owner deletes them with drop(). An error deletes them at once."""
+    own: list[str] = []
+    _OPEN.owners.append(own)
+    try:
+        yield own
+    except BaseException:
+        drop(spark, own)
+        raise
+    finally:
+        _OPEN.owners.remove(own)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if _OPEN.owners:
+        _OPEN.owners[-1].append(path)
     return path
 
 
+def drop(spark: SparkSession, own: list[str], but: tuple[str, ...] = ()) -> None:
+    """Delete the paths of one owner, except some. Only for owners that know no frame reads them any more."""
+    for path in [p for p in own if p not in but]:
+        delete(spark, path)
+        own.remove(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete one scratch path through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _MADE:
-        _MADE.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Only for callers that know their results are written."""
-    for path in list(_MADE):
-        delete(spark, path)
+def tidy(name: str):
+    """For operators of a frame whose result is small: the result is written as a table, and what else was written on the way goes."""
+
+    def of(f):
+        @wraps(f)
+        def run(df: DataFrame, *args, **named) -> DataFrame:
+            spark = df.sparkSession
+            with owned(spark) as own:
+                out = f(df, *args, **named)
+                path = new_path(spark, name)
+                own.remove(path)
+                result = table(spark, out, name, path)
+            drop(spark, own)
+            if _OPEN.owners:
+                _OPEN.owners[-1].append(path)
+            return result
+
+        return run
+
+    return of
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def table(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

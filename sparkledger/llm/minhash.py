@@ -195,6 +195,7 @@ def components(spark, links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+@common.tidy("near-duplicates")
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession

@@ -6,16 +6,18 @@ text around others is left aside. For these:
 
 1. occurrences whose whole surroundings (all windows that the anchor names) are equal form a
    class; a class of two or more is repeated throughout;
-2. surroundings of one gram that differ are compared in full. They are strings aligned at the
-   anchor, so each shard of them has a positional Burrows-Wheeler transform; shards are merged
-   two by two by interleave refinement: column by column the interleave of the two transforms is
-   refined by a stable partition on the merged symbols, and no suffix is sorted anew. Neighbours in the merged
-   order give the common prefixes; a threshold on them cuts the order into repeated intervals;
-3. a window that starts h bytes before the anchor repeats if another row of its interval at
-   200 - h has the same h bytes before the anchor.
+2. surroundings of one gram that differ are compared in full. Each is two strings aligned at the anchor: the 200
+   bytes from it on, and the 168 before it, read backwards. The texts are dealt into `SHARDS` shards; each shard's
+   strings, range by range of grams, get their positional Burrows-Wheeler transforms, one task each, which are written out.
+   Other tasks merge the transforms of all shards two by two by interleave refinement: column by column the
+   interleave of two transforms is refined by a stable partition on the merged symbols, and no string is sorted
+   anew. Inverting the merged transform gives the strings in order and so the common prefixes of neighbours; a threshold
+   on them cuts the order into repeated intervals;
+3. a window that starts h bytes before the anchor repeats if another row lies in its interval at 200 - h of the
+   strings from the anchor on, and in its interval at h of those before it. No hash takes part in this.
 
 Grams with more than `MANY` different surroundings (the edge of a passage that very many
-documents share) are too many for one task: their windows are counted by hash, spread evenly.
+documents share) are too many for one task: their windows are counted by a 128-bit hash, spread evenly.
 
 Texts are taken as UTF-8 bytes, nulls as empty; equal texts are one class from the start. Texts
 under 200 bytes lose nothing. Repeated rows each get the result of their text; a null id is an id
@@ -30,6 +32,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ from . import common
 WINDOW = 200
 GRAM = 32
 MANY = 2048
+SHARDS = 4
+RANGE = 12_000  # surroundings compared in one task, about
 STRETCH = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -156,89 +161,93 @@ def merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, from_b
 
 
-def merged_order(columns: np.ndarray, shards: int = 4) -> np.ndarray:
-    """The rows in ascending order, by merging the transforms of shards two by two."""
-    parts = []
-    for rows in np.array_split(np.arange(len(columns)), shards):
-        if len(rows):
-            t, order = transform(columns[rows])
-            parts.append((t, rows[order]))
-    while len(parts) > 1:
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge transforms two by two: the merged one, and of its final rows where each stands in the parts' final orders, one after another."""
+    ends = np.cumsum([p.shape[1] for p in parts])
+    todo = [(p, np.arange(e - p.shape[1], e)) for p, e in zip(parts, ends, strict=True)]
+    while len(todo) > 1:
         joined = []
-        for (a, x), (b, y) in zip(parts[::2], parts[1::2], strict=False):
+        for (a, x), (b, y) in zip(todo[::2], todo[1::2], strict=False):
             t, from_b = merge(a, b)
-            order = np.empty(len(from_b), np.int64)
-            order[~from_b], order[from_b] = x, y
-            joined.append((t, order))
-        parts = joined + parts[len(parts) // 2 * 2 :]
-    return parts[0][1] if parts else np.zeros(0, np.int64)
+            rows = np.empty(len(from_b), np.int64)
+            rows[~from_b], rows[from_b] = x, y
+            joined.append((t, rows))
+        todo = joined + todo[len(todo) // 2 * 2 :]
+    return todo[0]
+
+
+def common_prefixes(t: np.ndarray) -> np.ndarray:
+    """Of a transform's strings, in order, the bytes that each shares with the one before it; the transform is inverted column by column."""
+    n = t.shape[1]
+    at, shared, alike = np.arange(n), np.zeros(n, np.int64), np.arange(n) > 0
+    for column in t:
+        at = np.argsort(column, kind="stable")[at]
+        symbols = column[at]
+        differ = np.zeros(n, np.uint64)
+        differ[1:] = symbols[1:] ^ symbols[:-1]
+        zeros = np.full(n, 8)
+        some = np.flatnonzero(differ)
+        zeros[some] = (differ[some, None].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+        shared += np.where(alike, zeros, 0)
+        alike &= differ == 0
+    return shared
+
+
+def intervals(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """The interval of each row: neighbours in the order with at least so many common bytes are in one."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < least)
+    return out
+
+
+def columns_of(raw: list[bytes], width: int) -> np.ndarray:
+    """Strings as rows of 64-bit symbols, first byte highest, zeros behind."""
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), ">u8").reshape(len(raw), width // 8).astype(np.uint64)
+
+
+SIDE = WINDOW - GRAM
+_SHARD = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("on", "on_order", "back", "back_order", "gram", "around", "head", "more")]])
 
 
-def repeated_heads(gram: np.ndarray, before: np.ndarray, after: np.ndarray, head: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Rows x heads: whether the window that starts so many bytes before the anchor is repeated.
+def shard_transform(rows: pa.Table) -> pa.Table:
+    """The transforms of one shard's strings in one range of grams, as one row."""
+    raw, head = rows["bytes"].to_pylist(), rows["head"].to_pylist()
+    on, on_order = transform(columns_of([x[h : h + WINDOW] for x, h in zip(raw, head, strict=True)], WINDOW))
+    back, back_order = transform(columns_of([x[:h][::-1] for x, h in zip(raw, head, strict=True)], SIDE))
+    kept = [rows[c].to_numpy().astype(k).tobytes() for c, k in (("gram", "<i8"), ("around", "<i8"), ("head", "<i4"), ("more", "<i4"))]
+    value = [rows["range"][0].as_py(), rows["shard"][0].as_py(), len(raw), on.tobytes(), on_order.tobytes(), back.tobytes(), back_order.tobytes(), *kept]
+    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(value, _SHARD.types, strict=True)], schema=_SHARD)
+
+
+def repeated_heads(shards: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shards of one range, the rows' gram and around, and rows x heads: whether the window that starts so many bytes before the anchor is repeated.
 
-    before: the bytes before each anchor, nearest first; after: those after its gram; both padded.
     A row has the windows with head - more <= h <= head."""
-    code = np.unique(gram, return_inverse=True)[1].astype(np.uint64)
-    width = -(-after.shape[1] // 8) * 8
-    wide = np.zeros((len(after), width), np.uint8)
-    wide[:, : after.shape[1]] = after
-    columns = np.column_stack([code, wide.view(">u8").astype(np.uint64)])
-    order = merged_order(columns)
-    s = wide[order]
-    differ = s[1:] != s[:-1]
-    common_bytes = np.where(differ.any(1), differ.argmax(1), width)
-    common_bytes[code[order][1:] != code[order][:-1]] = -1
-    out = np.zeros((len(gram), WINDOW - GRAM + 1), bool)
-    rolled = np.zeros(len(gram), np.uint64)
-    interval = np.empty(len(gram), np.int64)
-    for h in range(out.shape[1]):
-        if h:
-            with np.errstate(over="ignore"):
-                rolled = rolled * np.uint64(_BASE) + _LETTER[before[:, h - 1]]
+    gram, around, head, more = (np.concatenate([np.frombuffer(x[c], k) for x in shards]) for c, k in (("gram", "<i8"), ("around", "<i8"), ("head", "<i4"), ("more", "<i4")))
+    first = np.cumsum([0, *[x["n"] for x in shards]])
+    prefixes, orders = {}, {}
+    for side in ("on", "back"):
+        t, rows = merged([np.frombuffer(x[side], np.uint64).reshape(-1, x["n"]) for x in shards])
+        orders[side] = np.concatenate([np.frombuffer(x[f"{side}_order"], np.int64) + a for x, a in zip(shards, first, strict=False)])[rows]
+        prefixes[side] = common_prefixes(t)
+    out = np.zeros((len(gram), SIDE + 1), bool)
+    for h in range(SIDE + 1):
         live = np.flatnonzero((head >= h) & (head - more <= h))
         if len(live) < 2:
             continue
-        interval[order] = np.concatenate([[0], np.cumsum(common_bytes < WINDOW - GRAM - h)])
-        key = common.mix(rolled[live] ^ common.mix(interval[live].astype(np.uint64), 41), 42)
+        key = intervals(orders["on"], prefixes["on"], WINDOW - h)[live] * (len(gram) + 1) + intervals(orders["back"], prefixes["back"], h)[live]
         by = np.argsort(key, kind="stable")
         same = key[by[1:]] == key[by[:-1]]
         out[live[by[1:][same]], h] = True
         out[live[by[:-1][same]], h] = True
-    return out
+    return gram, around, out
 
 
-@common.task()
-def _compare(batches, most: int = 24_000):
-    """Rows sorted by gram: compare the surroundings of each gram; bounded runs of whole grams at a time."""
-    schema = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("heads", pa.list_(pa.int32()))])
-
-    def flush(rows: pa.Table):
-        side = WINDOW - GRAM
-        raw, head, more = rows["bytes"].to_pylist(), rows["head"].to_numpy(), rows["more"].to_numpy()
-        before, after = np.zeros((len(raw), side), np.uint8), np.zeros((len(raw), side), np.uint8)
-        for i, (x, h) in enumerate(zip(raw, head.tolist(), strict=True)):
-            b = np.frombuffer(x, np.uint8)
-            before[i, :h] = b[:h][::-1]
-            tail = b[h + GRAM :][:side]
-            after[i, : len(tail)] = tail
-        hit = repeated_heads(rows["gram"].to_numpy(), before, after, head, more)
-        found = [np.flatnonzero(x).tolist() for x in hit]
-        return pa.RecordBatch.from_arrays([rows["gram"].combine_chunks(), rows["around"].combine_chunks(), pa.array(found, schema.field("heads").type)], schema=schema)
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) < most:
-            continue
-        rows = pa.Table.from_batches(held)
-        gram = rows["gram"].to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
-        if cut:
-            yield flush(rows.slice(0, cut))
-            held = rows.slice(cut).to_batches()
-    if held and sum(x.num_rows for x in held):
-        yield flush(pa.Table.from_batches(held))
+def _compare(shards: pa.Table) -> pa.Table:
+    """Merge the shards of one range and say which heads of which surroundings repeat."""
+    gram, around, hit = repeated_heads(sorted(shards.to_pylist(), key=lambda x: x["shard"]))
+    some = np.flatnonzero(hit.any(1))
+    return pa.table({"gram": pa.array(gram[some]), "around": pa.array(around[some]), "heads": pa.array([np.flatnonzero(x).astype(np.int32) for x in hit[some]], pa.list_(pa.int32()))})
 
 
 @common.task()
@@ -246,22 +255,23 @@ def _surroundings(batches):
     """The bytes around the anchors that are asked for, from their texts."""
     for batch in batches:
         out = []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for t, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             raw = text.encode()
             for w in wanted:
                 lo = w["place"] - w["head"]
-                out.append((w["gram"], w["around"], w["head"], w["more"], raw[lo : lo + w["more"] + WINDOW]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "around", "head", "more", "bytes"])
+                out.append((t, w["gram"], w["around"], w["head"], w["more"], raw[lo : lo + w["more"] + WINDOW]))
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["t", "gram", "around", "head", "more", "bytes"])
 
 
 @common.task()
 def _windows(batches):
     """A row for each window of each surrounding: its hash and its head."""
     for batch in batches:
-        for gram, around, head, more, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            sums, s = Sums(np.frombuffer(raw, np.uint8)), np.arange(more + 1)
-            n = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(sums.hash(s, s + WINDOW, 51).view(np.int64)), pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array((head - s).astype(np.int32))], names=["w", "gram", "around", "h"])
+        for gram, around, head, more, raw in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            n = more + 1
+            w = [xxhash.xxh3_128_digest(raw[k : k + WINDOW]) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array((head - np.arange(n)).astype(np.int32))], names=["w", "gram", "around", "h"])
 
 
 @common.task()
@@ -296,38 +306,53 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     # one row per different text, in buckets by digest: the text is dealt out once, later joins read it where it lies
-    name, path = f"texts_{uuid.uuid4().hex}", common.new_path(spark, "texts")
+    name, path, left = f"texts_{uuid.uuid4().hex}", common.new_path(spark, "texts"), common.new_path(spark, "cut-texts")
     texts = docs.select(digest.alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "t").saveAsTable(name)
-    texts = spark.table(name)
+    try:
+        # buckets need a name in the catalogue; it goes as soon as what was cut is written
+        with common.owned(spark) as own:
+            texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "t").saveAsTable(name)
+            cut = _cut_texts(spark.table(name), with_text)
+            cut = common.table(spark, cut, "cut-texts", left)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.delete(spark, path)
+    common.drop(spark, own)
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    # __t: no column of docs may stand in its way
+    return docs.drop(*new).withColumn("__t", digest).join(cut.select(F.col("t").alias("__t"), *new), "__t").drop("__t")
+
+
+def _cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
+    """What is left of each text. texts: t, text, copies."""
+    spark = texts.sparkSession
     long_texts = texts.filter(F.octet_length("text") >= WINDOW)
 
     found = common.table(spark, long_texts.select("t", "text").mapInArrow(_anchors, "t binary, place int, head short, more short, gram long, around long"), "anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # a table, not an aggregate, meets the anchors: Spark can then split a gram that very many share
+    twice = common.table(spark, found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     found = common.table(spark, found.join(twice, "gram"), "repeated-anchors")
     classes = found.groupBy("gram", "around").agg(F.count("*").alias("members"), F.min(F.struct("t", "place", "head", "more")).alias("one"))
     classes = common.table(spark, classes, "surroundings")
-    differ = classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wanted = classes.join(differ, "gram").select("one.*", "gram", "around", (F.col("kinds") > MANY).alias("many"))
+    differ = common.table(spark, classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "differing-grams")
+    wanted = common.table(spark, classes.join(differ, "gram").select("one.*", "gram", "around", (F.col("kinds") > MANY).alias("many")), "wanted")
 
     def surroundings(rows: DataFrame) -> DataFrame:
         asked = rows.groupBy("t").agg(F.collect_list(F.struct("gram", "around", "place", "head", "more")).alias("wanted"))
-        return long_texts.join(asked, "t").select("text", "wanted").mapInArrow(_surroundings, "gram long, around long, head int, more int, bytes binary")
-
-    wanted = common.table(spark, wanted, "wanted")
-    compared = surroundings(wanted.filter("NOT many")).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_compare, "gram long, around long, heads array<int>")
-    spread = common.table(spark, surroundings(wanted.filter("many")).mapInArrow(_windows, "w long, gram long, around long, h int"), "windows")
-    again = spread.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+        return long_texts.join(asked, "t").select("t", "text", "wanted").mapInArrow(_surroundings, "t binary, gram long, around long, head int, more int, bytes binary")
+
+    ranges = -(-wanted.filter("NOT many").count() // RANGE) or 1
+    near = surroundings(wanted.filter("NOT many"))
+    near = near.withColumn("range", F.pmod(F.xxhash64("gram"), F.lit(ranges))).withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(SHARDS)))
+    shards = near.drop("t").groupBy("range", "shard").applyInArrow(shard_transform, "range long, shard long, n long, on binary, on_order binary, back binary, back_order binary, gram binary, around binary, head binary, more binary")
+    shards = common.table(spark, shards, "shard-transforms")
+    compared = shards.groupBy("range").applyInArrow(_compare, "gram long, around long, heads array<int>")
+    spread = common.table(spark, surroundings(wanted.filter("many")).mapInArrow(_windows, "w binary, gram long, around long, h int"), "windows")
+    again = common.table(spark, spread.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "repeated-windows")
     counted = spread.join(again, "w").groupBy("gram", "around").agg(F.collect_set("h").alias("heads"))
     partly = common.table(spark, compared.unionByName(counted), "repeated-heads")
 
     whole = classes.filter("members > 1").select("gram", "around", F.lit(None).cast("array<int>").alias("heads"))
-    single = classes.filter("members = 1").select("gram", "around").join(partly.filter("size(heads) > 0"), ["gram", "around"])
+    single = classes.filter("members = 1").select("gram", "around").join(partly, ["gram", "around"])
     hit = found.join(whole.unionByName(single), ["gram", "around"]).groupBy("t").agg(F.collect_list(F.struct("place", "head", "more", "heads")).alias("found"))
-    cut = texts.join(hit, "t", "left").select("t", "text", "copies", "found").mapInArrow(lambda b: _cut(b, with_text), "t binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    cut = common.table(spark, cut, "cut-texts")
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    # __t: no column of docs may stand in its way
-    rows = docs.drop(*new).withColumn("__t", digest).join(cut.select(F.col("t").alias("__t"), *new), "__t").drop("__t")
-    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay until the scratch folder goes
-    return rows
+    return texts.join(hit, "t", "left").select("t", "text", "copies", "found").mapInArrow(lambda b: _cut(b, with_text), "t binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")

@@ -474,12 +474,46 @@ def test_long_texts_in_stretches(spark):
         suffix_dedup.STRETCH = before
 
 
-@given(st.lists(st.lists(st.integers(0, 2), min_size=5, max_size=5), max_size=30), st.integers(1, 6))
+@given(st.lists(st.binary(min_size=0, max_size=24).map(lambda x: bytes(c % 3 for c in x)), max_size=40), st.integers(1, 6))
 @settings(max_examples=150, deadline=None)
-def test_merged_transforms_give_the_sorted_order(rows, shards):
-    columns = np.array(rows, np.uint64).reshape(-1, 5)
-    order = suffix_dedup.merged_order(columns, shards)
-    assert columns[order].tolist() == sorted(columns.tolist()) and sorted(order.tolist()) == list(range(len(columns)))
+def test_merged_transforms_give_order_and_common_prefixes(strings, shards):
+    """Transforms of shards, merged by interleave refinement, against one sort of all strings."""
+    columns = suffix_dedup.columns_of(strings, 24)
+    parts = [suffix_dedup.transform(columns[k::shards]) for k in range(shards) if len(columns[k::shards])]
+    if not parts:
+        return
+    t, rows = suffix_dedup.merged([p for p, _ in parts])
+    place = np.concatenate([np.arange(len(columns))[k::shards][order] for k, (_, order) in enumerate(parts)])[rows]
+    full = [x.ljust(24, b"\0") for x in strings]
+    assert sorted(place.tolist()) == list(range(len(full))) and [full[i] for i in place] == sorted(full)
+    lcp = [next((j for j in range(24) if x[j] != y[j]), 24) for x, y in zip(sorted(full)[1:], sorted(full)[:-1], strict=True)]
+    assert suffix_dedup.common_prefixes(t).tolist() == [0, *lcp]
+
+
+@given(st.data())
+@settings(max_examples=40, deadline=None)
+def test_repeated_heads_by_comparing_all_windows(data):
+    """Surroundings of one anchor over two letters, cut at odd places, against all pairs of windows."""
+    gram = bytes(range(32))
+    letters = st.binary(min_size=168, max_size=168).map(lambda x: bytes(97 + (c % 53 == 0) for c in x))
+    rows = []
+    for k in range(data.draw(st.integers(1, 12))):
+        left, right = data.draw(letters), data.draw(letters)
+        head = data.draw(st.integers(0, 168))
+        more = data.draw(st.integers(0, head))  # windows with heads from head - more to head
+        rows.append((k, head, more, (left[168 - head :] + gram + right)[: more + 200]))
+    shards = []
+    for s in range(3):
+        part = rows[s::3]
+        if part:
+            t = pa.table({"range": [0] * len(part), "shard": [s] * len(part), "gram": [7] * len(part), "around": [r[0] for r in part], "head": pa.array([r[1] for r in part], pa.int32()), "more": pa.array([r[2] for r in part], pa.int32()), "bytes": pa.array([r[3] for r in part], pa.binary())})
+            shards += suffix_dedup.shard_transform(t).to_pylist()
+    _, around, hit = suffix_dedup.repeated_heads(shards)
+    seen = collections.Counter(raw[k : k + 200] for _, _, more, raw in rows for k in range(more + 1))
+    for i, k in enumerate(around.tolist()):
+        _, head, more, raw = rows[k]
+        want = {head - j for j in range(more + 1) if seen[raw[j : j + 200]] > 1}
+        assert set(np.flatnonzero(hit[i]).tolist()) == want
 
 
 # 9
