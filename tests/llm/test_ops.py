@@ -657,3 +657,72 @@ def test_empty_and_null_tables(spark):
         assert packing.pack(docs).count() == n
         assert sampling.encode(docs).count() == n
         assert licenses.scan(docs).count() == 0
+
+
+CLASH = ("id", "of", "h", "w", "m", "t", "n", "sig", "key", "task", "place", "piece", "start", "length", "piece_ids", "decoded_crc32", "ids_crc32", "sequence_id", "offset", "n_shingles", "component_id", "kept", "lang_pred", "score", "draw", "share", "license", "shared", "n_tokens", "cleaned", "lost", "n_words", "n_removed", "kept_sha256", "gram", "range")
+
+
+def hostile(spark):
+    """Null and repeated ids, equal rows, null, empty, tied and very long texts."""
+    a, b, notice = prose(120), prose(200), " Released under the MIT License. "
+    rows = [(1, a, "en"), (1, a, "en"), (1, b, "de"), (None, a, "en"), (None, a, "en"), (None, None, None), (2, None, "en"), (3, "", None), (4, b + notice + a, "de"), (4, b + notice + a, "de"), (None, notice + a, "fr"), (5, " ".join(prose(400) for _ in range(60)) + notice + a, "en"), (6, "½ 12", "en")]
+    return spark.createDataFrame([(i, t, x, "s", None) for i, t, x in rows], DOCS).repartition(3)
+
+
+OPERATORS = {
+    "sampling": lambda d: sampling.encode(d, digest=True),
+    "packing": lambda d: packing.pack(d).select("doc_id", "piece", "start", "length", "ids_crc32"),
+    "near": minhash.near_duplicates,
+    "language": lambda d: langid.predict(d, langid.train(d)),
+    "quality": lambda d: quality.quality(d),
+    "licenses": licenses.scan,
+    "store": lambda d: token_store.read_digests(token_store.write(d, common.new_path(d.sparkSession, "ids"))),
+    "repeats": lambda d: suffix_dedup.remove_repeats(d).select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_hostile_rows_and_clashing_columns(spark, name):
+    f, docs = OPERATORS[name], hostile(spark)
+    want = f(docs)
+    clash = docs.withColumns({c: F.lit("clash") for c in CLASH})
+    got = f(clash)
+    assert got.columns == want.columns
+    rows = sorted(map(str, want.collect()))
+    assert sorted(map(str, got.collect())) == rows
+    by_row = {"packing": None, "licenses": 5}
+    assert name == "packing" and len(rows) > docs.count() or len(rows) == by_row.get(name, docs.count())
+    empty = f(clash.limit(0))
+    assert empty.count() == 0 and empty.columns == want.columns
+
+
+def test_ties_of_languages(spark):
+    """The same text under two languages: either may be predicted, always the same, and nothing fails."""
+    rows = spark.createDataFrame([(i, "one and the same text", x) for i, x in enumerate(["en", "de", "en", "de"])], "doc_id long, text string, lang string")
+    got = {r["lang_pred"] for r in langid.predict(rows, langid.train(rows)).collect()}
+    assert len(got) == 1 and got <= {"en", "de"} and got == {r["lang_pred"] for r in langid.predict(rows.repartition(3), langid.train(rows.orderBy(F.desc("doc_id")))).collect()}
+
+
+def test_licenses_of_damaged_texts(spark):
+    """Copies that lost one or two stretches: what is due by the exact rule, window by window, and what the bands retrieve."""
+    rng, names = random.Random(11), ("gpl-3.0", "bsd-3-clause", "mit")
+    step = lambda m: max(1, m // 4)
+    shingle = lambda ws: [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+    rows, due = [], set()
+    for name in names:
+        words, t = licenses.words_of(licenses.TEMPLATES[name]), set(shingle(licenses.words_of(licenses.TEMPLATES[name])))
+        m = len(t)
+        for _ in range(60):
+            ws = list(words)
+            for _ in range(rng.randint(1, 2)):
+                at, n = rng.randrange(len(ws)), rng.randint(1, max(1, len(words) // 6))
+                ws[at : at + n] = []
+            text = prose(rng.randint(0, 40)) + " " + " ".join(ws) + " " + prose(rng.randint(5, 40))
+            s = shingle(licenses.words_of(text))
+            for a in range(0, len(s), step(m)):
+                if t & set(s[a : a + m]) and 100 * len(t & set(s[max(0, a - m) : a + 2 * m])) >= 75 * m:
+                    due.add((len(rows), name))
+                    break
+            rows.append((len(rows), text))
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {k: licenses.TEMPLATES[k] for k in names}).collect()}
+    assert len(due) > 60 and found <= due and len(found) >= 0.99 * len(due)

@@ -1,7 +1,9 @@
 """Each stage of the pipeline against a plain version of what it promises."""
 
+import pathlib
+
 import corpus_pipeline as p
-from sparkledger.llm import common, quality
+from sparkledger.llm import common, quality, suffix_dedup
 
 from tests.llm.test_ops import exact_components, exact_cut
 
@@ -11,7 +13,6 @@ def test_stages(spark):
     seen, kept = {r["doc_id"]: r["text"] for r in docs.collect()}, []
     for name, stage in p.STAGES[:-1]:
         path = common.new_path(spark, "stage")
-        common._MADE.remove(path)  # a later stage releases scratch tables; its input must stay
         stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
         docs = spark.read.parquet(path)
         assert docs.columns == list(p.COLUMNS)
@@ -35,5 +36,38 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(seen)
 
 
-def test_run_leaves_the_last_stage(spark):
-    assert "sequence_id" in p.run(spark, "/root/testdata/sf0.001").columns
+def files(spark):
+    return {x.name for x in pathlib.Path(common.shared_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def test_run(spark):
+    """run() packs each kept document whole, leaves other queries' results alone, and keeps no more than its last stage needs."""
+    sf = "/root/testdata/sf0.001"
+    other = suffix_dedup.remove_repeats(common.documents(spark, sf), with_text=False)
+    before = files(spark)
+    rows = p.run(spark, sf).toPandas()
+    assert other.count() == common.documents(spark, sf).count()
+    assert len(files(spark) - before) == 2  # what the last stage reads and wrote
+    assert not any(t.name.startswith("texts_") for t in spark.catalog.listTables())
+    part = rows.sort_values(["doc_id", "piece"])
+    assert (part["start"] == part.groupby("doc_id")["length"].cumsum() - part["length"]).all()
+    used = rows.sort_values("offset").groupby("sequence_id")["length"]
+    assert (used.sum() <= 1024).all() and rows["doc_id"].nunique() > 100
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def test_hostile_rows_through_all_stages(spark, tmp_path):
+    """Nulls, repeated rows and ids, a long text and an extra column; then an empty table."""
+    prose = [r["text"] for r in common.documents(spark, "/root/testdata/sf0.001").filter("length(text) > 600 AND lang = 'en'").orderBy("doc_id").limit(8).collect()]
+    rows = [(i, t, "en", "s", len(t), "x") for i, t in enumerate(prose)]
+    rows += [rows[0], (None, prose[1], None, None, None, None), (50, None, None, None, None, None), (51, "", "en", "s", 0, "x"), (1, prose[2], "en", "s", None, "x"), (52, " ".join(prose * 20), "en", "s", None, "x"), (None, None, None, None, None, None)]
+    for k, n in enumerate((len(rows), 0)):
+        docs = spark.createDataFrame(rows[:n], DOCS)
+        for name, stage in p.STAGES:
+            stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert (docs.count() > 5) == (n > 0)
+        ids = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/{k}-MinHash near-dedup").collect() if r["doc_id"] is not None]
+        assert len(ids) == len(set(ids)) and (n == 0 or 0 in ids and not {50, 51} & set(ids))
