@@ -6,6 +6,9 @@ next one starts.
 
 from __future__ import annotations
 
+import threading
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,47 +18,62 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
+_LAST = threading.local()
+
+
+def _stage(f):
+    """A stage owns what it writes on the way, and deletes it when the next stage of this thread begins: by then its result is written."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop(spark, getattr(_LAST, "own", []))
+        with common.owned(spark) as _LAST.own:
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
 def _with_text(rows: DataFrame, text: str) -> DataFrame:
     """The columns of documents, with another text and its length."""
     return rows.select("doc_id", F.col(text).alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the texts; documents that lose too much, or fail the base rules, go."""
-    common.release(spark)
     judged = quality.quality(docs.select(*COLUMNS), keep=("doc_id", "lang", "source"))
     return _with_text(judged.filter("kept"), "cleaned")
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`lang` becomes the predicted language; documents without one, or below LEAST_SCORE, go."""
-    common.release(spark)
     model = langid.train(docs.filter(common.fold("doc_id") != 1))
     found = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
     found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id one stays."""
-    common.release(spark)
+    Of rows that repeat an id one stays, the first in the order of all columns."""
     kept = common.table(spark, minhash.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
     stay = docs.select(*COLUMNS).join(kept.filter("doc_id IS NOT NULL"), "doc_id")
     single = stay.filter("n = 1").select(*COLUMNS)
-    repeated = stay.filter("n > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
+    repeated = stay.filter("n > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
     return single.unionByName(repeated).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 or more that occur elsewhere leave the texts."""
-    common.release(spark)
     return _with_text(suffix_dedup.remove_repeats(docs.select("doc_id", "text", "lang", "source")), "kept")
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     return packing.pack(docs)
 
 
@@ -80,4 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if written:
             common.delete(spark, written)
         docs, written = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _LAST.own.append(written)  # goes with what the last stage wrote
+    return packed
