@@ -24,9 +24,17 @@ def _found(line: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
 
+def _any(line: Column, words) -> Column:
+    """Whether the line holds one of the words: what a pattern can't do without is looked for before the pattern, at far less cost."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(line, F.lit(w))
+    return out
+
+
 def timestamp_text(line: Column) -> Column:
-    """ISO before Apache before syslog, wherever they stand."""
-    return F.coalesce(*[_found(line, p) for p in TIMESTAMPS])
+    """ISO before Apache before syslog, wherever they stand. All have colons."""
+    return F.when(_any(line, (":",)), F.coalesce(*[_found(line, p) for p in TIMESTAMPS]))
 
 
 def typed_timestamp(text: Column, year: int = 1970) -> Column:
@@ -41,7 +49,7 @@ def typed_timestamp(text: Column, year: int = 1970) -> Column:
 
 
 def ip_address(line: Column) -> Column:
-    return _found(line, IPV4)
+    return F.when(line.rlike(r"\d\.\d"), _found(line, IPV4))
 
 
 def operation(line: Column, upper: Column | None = None) -> Column:
@@ -55,21 +63,22 @@ def operation(line: Column, upper: Column | None = None) -> Column:
 
 def operation_result(line: Column) -> Column:
     chain = F
-    for pattern, label in RESULTS:
-        chain = chain.when(line.rlike(pattern), label)
+    for pattern, label in RESULTS:  # plain words
+        chain = chain.when(_any(line, pattern.split("|")), label)
     return chain.otherwise("UNKNOWN")
 
 
-def severity(line: Column) -> Column:
-    any_level = "|".join(p for p, _ in LEVELS)
-    chain = F.when(~line.rlike(rf"(?iU)\b({any_level})\b"), "INFO")  # most lines name none: one search for them
+def severity(line: Column, upper: Column | None = None) -> Column:
+    """The first level by priority that stands in the line as a word, in any case."""
+    upper = F.translate(F.upper(line) if upper is None else upper, "\u0130", "I")  # the patterns take a dotted capital as I
+    chain = F.when(~_any(upper, [w for p, _ in LEVELS for w in p.split("|")]), "INFO")
     for pattern, label in LEVELS:
         chain = chain.when(line.rlike(rf"(?iU)\b({pattern})\b"), label)
     return chain.otherwise("INFO")
 
 
-def username(line: Column) -> Column:
-    found = F.regexp_extract(line, USER, 2)
+def username(line: Column, upper: Column | None = None) -> Column:
+    found = F.when(_any(F.upper(line) if upper is None else upper, ("USER",)), F.regexp_extract(line, USER, 2)).otherwise(F.when(line.isNotNull(), ""))
     return F.when(found == "", "unknown").otherwise(F.regexp_replace(found, "^[\"']+|[\"']+$", ""))
 
 
@@ -82,13 +91,13 @@ def detail(line: Column) -> Column:
 
 
 def source_file(line: Column) -> Column:
-    return _found(line, SOURCE)
+    return F.when(line.rlike(r"\.(?:log|py|java|go|js|ts)"), _found(line, SOURCE))
 
 
 def parse_line(line: Column, upper: Column | None = None) -> dict[str, Column]:
     return {
-        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line), "username": username(line), "operation": operation(line, upper),
-        "operation_result": operation_result(line), "detail": detail(line), "severity": severity(line), "source_file": source_file(line), "raw_line": line,
+        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line), "username": username(line, upper), "operation": operation(line, upper),
+        "operation_result": operation_result(line), "detail": detail(line), "severity": severity(line, upper), "source_file": source_file(line), "raw_line": line,
     }
 
 

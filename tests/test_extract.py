@@ -64,3 +64,30 @@ def test_parse_lines_skips_blanks_and_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "　 \t"), (2, " 10.0.0.1 LOGIN FAIL "), (3, None), (4, "")], "severity int, line string")
     got = x.parse_lines(rows.withColumnRenamed("severity", "extra"), "line").collect()
     assert [(r["extra"], r["raw_line"]) for r in got] == [(2, "10.0.0.1 LOGIN FAIL")]
+
+
+ODD_LINES = [
+    "CRİTICAL x", "crıtical x", "uſer=bob", "USER:  'a b'", "no level here", "warned only", "WARN", "a.log", "x.logs y", "1.2.3.4", "1..2.3.4", "1.2", "at 08:00", "2025-01-15  08:00:05.123 x", "[15/Jan/2025:08:00:05 +0800]", "Jan 15 08:00:05", "success SUCCESS", "失败 成功", "érror 错误", "", "User", "user name=z", "emergencyé", "INFO_x", "ＥRROR",
+]
+
+
+def test_what_patterns_need_is_looked_for_first(spark):
+    """The quick looks change nothing: each field against its pattern alone."""
+    rows = spark.createDataFrame([(line,) for line in [*ODD_LINES, None]], "t string")
+    t = F.col("t")
+    level = F
+    for p, label in x.LEVELS:
+        level = level.when(t.rlike(rf"(?iU)\b({p})\b"), label)
+    result = F
+    for p, label in x.RESULTS:
+        result = result.when(t.rlike(p), label)
+    found = F.regexp_extract(t, x.USER, 2)
+    plain = {
+        "timestamp_text": F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in x.TIMESTAMPS]), "ip_address": F.nullif(F.regexp_extract(t, x.IPV4, 1), F.lit("")),
+        "severity": level.otherwise("INFO"), "operation_result": result.otherwise("UNKNOWN"), "source_file": F.nullif(F.regexp_extract(t, x.SOURCE, 1), F.lit("")),
+        "username": F.when(found == "", "unknown").otherwise(F.regexp_replace(found, "^[\"']+|[\"']+$", "")),
+    }
+    got = rows.select("t", *[c.alias(k) for k, c in x.parse_line(t).items() if k in plain]).collect()
+    want = rows.select("t", *[plain[k].alias(k) for k in x.parse_line(t) if k in plain]).collect()
+    for a, b in zip(got, want, strict=True):
+        assert a == b
