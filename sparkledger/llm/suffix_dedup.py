@@ -274,28 +274,44 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array((head - np.arange(n)).astype(np.int32))], names=["w", "gram", "around", "h"])
 
 
+def gone_bytes(sizes: np.ndarray, copies: np.ndarray, found: pa.ListArray) -> np.ndarray:
+    """Of texts one after another, with one more place behind each, whether a byte goes. found: of each text, anchors with place, head, more and heads."""
+    base = np.cumsum(sizes + 1) - sizes - 1
+    offsets, x = found.offsets.to_numpy(), found.values.slice(found.offsets[0].as_py(), found.offsets[-1].as_py() - found.offsets[0].as_py())
+    many = np.where(found.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+    place, head, more = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "head", "more"))
+    start = np.repeat(base, many) + place  # of the anchors
+    all_ = x.field("heads").is_null().to_numpy(zero_copy_only=False)
+    heads = x.field("heads")
+    per = np.where(all_, 0, np.diff(heads.offsets.to_numpy()))
+    some = np.repeat(start, per) - heads.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = np.flatnonzero((copies > 1) & (sizes >= WINDOW))
+    lo = np.concatenate([start[all_] - head[all_], some, base[whole]])
+    hi = np.concatenate([start[all_] - head[all_] + more[all_] + WINDOW, some + WINDOW, base[whole] + sizes[whole]])
+    n = int((sizes + 1).sum())
+    return np.cumsum(np.bincount(lo, minlength=n) - np.bincount(hi, minlength=n)) > 0
+
+
 @common.task()
 def _cut(batches, with_text: bool):
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
-        out = []
-        for t, text, copies, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = text.encode()
-            n = len(raw)
-            if copies > 1 and n >= WINDOW:
-                gone = np.ones(n, bool)
-            else:
-                edge = np.zeros(n + 1, np.int64)
-                for x in found or ():
-                    p, h = x["place"], x["head"]
-                    start = np.arange(p - h, p - h + x["more"] + 1) if x["heads"] is None else p - np.array(x["heads"], np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + WINDOW, -1)
-                gone = np.cumsum(edge)[:n] > 0
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n > 0 and gone[0])
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((t, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        texts = batch.column(1).to_pylist()
+        for a, b in common.slices(texts, 4_000_000):
+            raws = [t.encode() for t in texts[a:b]]
+            sizes = np.array([len(x) for x in raws], np.int64)
+            # fresh arrays: their offsets begin at 0
+            gone = gone_bytes(sizes, batch.column(2).slice(a, b - a).to_numpy(), batch.column(3).take(pa.array(np.arange(a, b))))
+            data, ends = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8), np.cumsum(sizes + 1)
+            out = []
+            for raw, lo, n in zip(raws, (ends - sizes - 1).tolist(), sizes.tolist(), strict=True):
+                g = gone[lo : lo + n]
+                removed = int(np.count_nonzero(g))
+                kept = data[lo : lo + n][~g].tobytes() if removed else raw
+                spans = int(np.count_nonzero(g[1:] > g[:-1])) + int(g[0]) if removed else 0
+                out.append((n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+            cols = [batch.column(0).slice(a, b - a), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), types[1:], strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
