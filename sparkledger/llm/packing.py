@@ -100,7 +100,7 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str | None = None, t
     common.ship(spark)
     found = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_pieces, path=vocabulary, capacity=capacity), PIECES)
     found = common.table(spark, found, "pieces")
-    counts = found.groupBy("task", "length").agg(F.count("*").alias("n"))
+    counts = common.table(spark, found.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = plan(histogram, capacity)
     slots = spark.createDataFrame(runs, "length long, first_rank long, slots long, first_sequence long, each long, first_offset long")
@@ -108,6 +108,8 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str | None = None, t
         slots = F.broadcast(slots)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if counts.count() <= BROADCAST_ROWS:  # a row per task and length: beyond some hundred tasks the pieces are dealt out instead
+        ranked = F.broadcast(ranked)
     ranked = found.join(ranked, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     k = F.col("rank") - F.col("first_rank")
     placed = ranked.join(slots, "length").filter((F.col("rank") >= F.col("first_rank")) & (k < F.col("slots")))
