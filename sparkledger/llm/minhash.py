@@ -15,7 +15,7 @@ So every pair that shares a bucket is either held against its sets (or ruled out
 10^6) or already in one component; no task emits the pairs of a large group of copies: step 3 confirms
 sets of up to 1024 shingles where it stands and gives only as many links as join the components of a
 block. The members of a bucket's largest component meet only the others, not each other: with o others
-of n members, about 2 * o * n / `BLOCK` rows are dealt out. That is small next to n for copies, and grows
+of n members, at most 2 * o * n / `BLOCK` rows beside n are dealt out. That is small next to n for copies, and grows
 with the square of a bucket of sets that are all unlike.
 
 Texts that are null or without words have no shingles: n_shingles 0, linked with nothing. Rows
