@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, licenses, media, minhash, packing, quality, sampling, suffix_dedup, token_store, warc
+from . import common, langid, licenses, media, minhash, negatives, packing, quality, sampling, simhash, spelling, suffix_dedup, token_store, warc
 
 
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,24 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(media.pictures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece_sampling, op2_best_fit_packing, op3_minhash_near_dedup, op4_language_id, op5_quality_rules,
         op6_license_scan, op7_token_store, op8_suffix_array_dedup, op9_warc, op10_media_copies,
+        op11_hard_negatives, op12_simhash_near_dedup, op13_spelling_variants,
     )
 }
 
