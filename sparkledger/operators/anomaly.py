@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SEVERITIES
+from ..sources import scratch
 from . import search, stats
 
 
@@ -45,27 +46,36 @@ def brute_force(logs: DataFrame, threshold: int = 5, operations: Sequence[str] |
 def report_rows(logs: DataFrame, operations: Sequence[str] | None = ("LOGIN",)) -> DataFrame:
     """All that a report needs in one pass over the log: a row per (section, key), sections total, severity, operation and ip.
 
-    n, n_failed; for failures among `operations` (all, if None) the columns of failures_per_ip()."""
+    n, n_failed; for failures among `operations` (all, if None) the columns of failures_per_ip().
+    Rows are counted by what the sections ask of them before they are dealt to sections, so that neither the log nor the
+    users of a busy address are multiplied: after the first step there is one row for each combination of values that occurs."""
     fail = F.coalesce(F.col("operation_result") == "FAIL", F.lit(False))
     asked = fail & F.coalesce(F.upper("operation").isin(*[o.upper() for o in operations]), F.lit(False)) if operations else fail
+    asked = asked & F.col("ip_address").isNotNull()
+    rows = logs.select("severity", "operation", "ip_address", fail.alias("fail"), asked.alias("asked"), F.when(asked, F.col("username")).alias("username"), F.when(asked, F.col("timestamp")).alias("at"))
+    met = rows.groupBy("severity", "operation", "ip_address", "fail", "asked", "username").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
     cell = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
     cells = F.array(cell("total", F.lit(None).cast("string")), *[cell(s, F.col(c)) for s, c in (("severity", "severity"), ("operation", "operation"), ("ip", "ip_address"))])
-    rows = logs.select(F.explode(cells).alias("x"), fail.alias("fail"), asked.alias("asked"), "timestamp", "username", "operation").filter("x.section = 'total' OR x.key IS NOT NULL")
+    met = met.withColumn("x", F.explode(cells)).filter("x.section = 'total' OR x.key IS NOT NULL")
     own = F.col("asked") & (F.col("x.section") == "ip")
     of = lambda c: F.when(own, F.col(c))
-    return rows.groupBy("x.section", "x.key").agg(
-        F.count("*").alias("n"), F.count_if("fail").alias("n_failed"), F.count_if(own).alias("failed_attempts"), F.min(of("timestamp")).alias("first_seen"), F.max(of("timestamp")).alias("last_seen"),
-        F.count_distinct(of("username")).alias("unique_users"), F.array_sort(F.collect_set(of("operation"))).alias("operations_attempted"),
+    # per user first: users of an address are counted as rows, not gathered
+    users = met.groupBy("x.section", "x.key", of("username").alias("username"), own.alias("own")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("fail"), F.col("n")).otherwise(0)).alias("failed"), F.min(of("first")).alias("first"), F.max(of("last")).alias("last"), F.collect_set(of("operation")).alias("operations"),
+    )
+    of_own = lambda c: F.when(F.col("own"), F.col(c))
+    return users.groupBy("section", "key").agg(
+        F.sum("n").alias("n"), F.sum("failed").alias("n_failed"), F.coalesce(F.sum(of_own("n")), F.lit(0)).alias("failed_attempts"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+        F.count(of_own("username")).alias("unique_users"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("operations")))).alias("operations_attempted"),
     )
 
 
 def report(logs: DataFrame, threshold: int = 5) -> dict[str, DataFrame]:
-    """summary (one row), suspicious, fail_operations, severities: all from one pass over the log, which report_rows() makes.
-
-    Persist its rows (the entry "rows") to make the pass once for all sections."""
+    """summary (one row), suspicious, fail_operations, severities: all read from the rows of report_rows(), which are
+    written once, by one pass over the log. The caller of scratch.owned() around this owns them; without one they stay."""
     if threshold < 1:
         raise ValueError("the threshold starts at 1")
-    rows = report_rows(logs)
+    rows = scratch.table(logs.sparkSession, report_rows(logs), "report-rows")
     all_ = F.col("section") == "total"
     summary = rows.agg(
         F.coalesce(F.sum(F.when(all_, F.col("n"))), F.lit(0)).alias("total_records"), F.coalesce(F.sum(F.when(all_, F.col("n_failed"))), F.lit(0)).alias("failed_records"),
@@ -117,7 +127,4 @@ def report_lines(sections: dict[str, DataFrame], threshold: int = 5) -> DataFram
     return out.select("part", F.col("by.k").alias("place"), F.col("by.name").alias("name"), "line")
 
 
-def report_text(sections: dict[str, DataFrame], threshold: int = 5, most: int = 1000) -> str:
-    """The report as text, of bounded size: the first `most` operations and suspicious addresses, by rank, stand in it; report_lines() has them all."""
-    lines = report_lines({**sections, "suspicious": sections["suspicious"].limit(most), "fail_operations": sections["fail_operations"].limit(most)}, threshold)
-    return "\n".join(r["line"] for r in sorted(lines.collect(), key=lambda r: (r["part"], r["place"], r["name"])))
+ORDER = ("part", "place", "name")

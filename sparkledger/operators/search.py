@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def _newest(time: str = "timestamp") -> list[Column]:
-    return [F.desc(time), F.desc("id")]
+    return [F.desc_nulls_last(time), F.desc_nulls_last("id")]
 
 
 def log_predicate(start: datetime | str | None = None, end: datetime | str | None = None, ip_address: str | None = None, operation: str | None = None, severity: str | None = None, ignore_case: bool = False, partitioned: bool = False) -> Column:
@@ -44,12 +44,23 @@ def page(logs: DataFrame, number: int = 1, size: int = 20, **filters) -> DataFra
     return search(logs, **filters).orderBy(*_newest()).offset((number - 1) * size).limit(size)
 
 
+def _after(column: str, value) -> tuple[Column, Column]:
+    """Of one column in falling order, nulls last: what comes after the value, and what equals it."""
+    c = F.col(column)
+    if value is None:
+        return F.lit(False), c.isNull()
+    return c.isNull() | (c < value), c == value
+
+
 def keyset_page(logs: DataFrame, after: tuple | None = None, size: int = 20, **filters) -> DataFrame:
-    """The page after the row (timestamp, id): the same rows as by offset, at any depth for the price of a top-k."""
+    """The page after the row (timestamp, id), either of which may be null: the same rows as by offset, at any depth for the price of a top-k.
+
+    The order is that of page(), by time, then id, nulls last in both; rows that have both in common can't be told apart by it."""
     found = search(logs, **filters)
     if after is not None:
-        t, i = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
-        found = found.filter((F.col("timestamp") < t) | (F.col("timestamp") == t) & (F.col("id") < i))
+        later, same = _after("timestamp", None if after[0] is None else F.lit(after[0]).cast("timestamp_ntz"))
+        next_, _ = _after("id", after[1])
+        found = found.filter(F.coalesce(later | same & next_, F.lit(False)))
     return found.orderBy(*_newest()).limit(size)
 
 

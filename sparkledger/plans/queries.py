@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..operators import anomaly, audit, search, stats, triage
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 from ..streaming import detect
 from . import pipelines
 
@@ -113,18 +113,6 @@ def timestamps_typed(spark, sf_dir):
     return log.select("id", extract.typed_timestamp(extract.timestamp_text(F.col("line")), 2024).alias("timestamp"))
 
 
-def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A new folder in the cluster's shared one. Where none is set, one of this machine will do for local masters only."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-log-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT id // 2000 AS part, row_number() OVER (PARTITION BY id // 2000 ORDER BY id)::BIGINT AS line_number, line AS value FROM {LINES}")
 def line_numbers(spark, sf_dir):
     """The lines written as text, a file for every 2000 ids, read back with their numbers."""
@@ -136,7 +124,7 @@ def line_numbers(spark, sf_dir):
 @query(f"SELECT timestamp, ip_address, username, operation, operation_result, detail, severity, source_file, id::VARCHAR AS extra FROM {LOG.replace('ts AS timestamp', 'date_trunc(' + chr(39) + 'second' + chr(39) + ', ts) AS timestamp')}")
 def csv_aliasing(spark, sf_dir):
     """The log written as CSV under other names, with a column more, and read back."""
-    path = _scratch(spark, sf_dir, "csv")
+    path = scratch.new(spark, "csv")
     names = {"ip_address": "ip", "username": "user", "operation": "action", "operation_result": "result", "detail": "message", "severity": "level", "source_file": "file", "id": "extra"}
     events_as_log(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).withColumnsRenamed(names).write.option("header", True).option("escape", '"').csv(path)
     return readers.read_csv(spark, path).drop("timestamp_text")
@@ -144,7 +132,7 @@ def csv_aliasing(spark, sf_dir):
 
 @query(f"SELECT id, timestamp, ip_address, username, operation, operation_result, detail, severity, source_file, NULL::TIMESTAMP AS created_at FROM {LOG}")
 def json_batch(spark, sf_dir):
-    path = _scratch(spark, sf_dir, "json")
+    path = scratch.new(spark, "json")
     search.camel_case(events_as_log(spark, sf_dir)).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     return readers.read_json_batch(spark, path, multi_line=False)
 
@@ -152,7 +140,7 @@ def json_batch(spark, sf_dir):
 @query(f"""SELECT {', '.join(c for c in SHOWN if c != 'timestamp' and c != 'id')}, date_trunc('second', timestamp) AS timestamp, true AS known, id % 2 = 1 AS second_batch, 1::BIGINT AS same_id FROM {LOG}""")
 def append_and_scan(spark, sf_dir):
     """Two batches appended to a log table partitioned by day, scanned back. Ids: each once, those of the second batch above those of the first."""
-    path, log = _scratch(spark, sf_dir, "log"), events_as_log(spark, sf_dir).withColumn("timestamp", F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
+    path, log = scratch.new(spark, "log"), events_as_log(spark, sf_dir).withColumn("timestamp", F.date_trunc("second", "timestamp").cast("timestamp_ntz"))
     tops: list[int] = []
     for part in (log.filter("id % 2 = 0"), log.filter("id % 2 = 1")):
         sinks.append_logs(spark, part, path)
@@ -165,7 +153,7 @@ def append_and_scan(spark, sf_dir):
 @query(f"SELECT date_trunc('second', timestamp) AS timestamp, ip_address, username, id::VARCHAR AS extra, NULL::VARCHAR AS operation, NULL::VARCHAR AS operation_result, NULL::VARCHAR AS severity FROM {LOG}")
 def csv_padding(spark, sf_dir):
     """CSV without three of the required columns, which come back as null."""
-    path = _scratch(spark, sf_dir, "csv")
+    path = scratch.new(spark, "csv")
     t = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
     events_as_log(spark, sf_dir).select(t, "ip_address", F.col("username").alias("user"), F.col("id").alias("extra")).write.option("header", True).csv(path)
     return readers.read_csv(spark, path).drop("timestamp_text")
@@ -176,7 +164,7 @@ TEXT = _fields_sql(f"(SELECT id // 2000 AS part, row_number() OVER (PARTITION BY
 
 def _text_files(spark: SparkSession, sf_dir: str, suffix: str = "") -> str:
     """The lines as text, a file for every 2000 ids."""
-    path = _scratch(spark, sf_dir, "lines") + suffix
+    path = scratch.new(spark, "lines") + suffix
     lines = raw_lines(spark, sf_dir).withColumn("part", F.floor(F.col("id") / 2000))
     lines.repartition("part").sortWithinPartitions("part", "id").select("part", "line").write.partitionBy("part").text(path)
     return path
@@ -192,7 +180,7 @@ def text_scan(spark, sf_dir):
   UNION ALL SELECT 'text', ip_address, username, operation, operation_result, severity, timestamp_text::TIMESTAMP FROM ({TEXT})""")
 def format_detection(spark, sf_dir):
     """A folder of CSV named .CSV and one of text, read in one call."""
-    path = _scratch(spark, sf_dir, "log") + ".CSV"
+    path = scratch.new(spark, "log") + ".CSV"
     events_as_log(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).drop("id").write.option("header", True).option("escape", '"').csv(path)
     rows = readers.read_logs(spark, [path, _text_files(spark, sf_dir, ".log")])
     return rows.select(F.when(F.col("raw_line").isNull(), "csv").otherwise("text").alias("source"), "ip_address", "username", "operation", "operation_result", "severity", "timestamp")
@@ -201,7 +189,7 @@ def format_detection(spark, sf_dir):
 @query(f"SELECT id, timestamp, ip_address, username, operation, operation_result, detail, severity, source_file, NULL::TIMESTAMP AS created_at FROM {LOG}")
 def json_array_batch(spark, sf_dir):
     """Bodies that are one array each, of about a thousand rows."""
-    path, log = _scratch(spark, sf_dir, "json"), search.camel_case(events_as_log(spark, sf_dir))
+    path, log = scratch.new(spark, "json"), search.camel_case(events_as_log(spark, sf_dir))
     log = log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).withColumn("part", F.floor(F.col("id") / 1000))
     bodies = log.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*[c for c in log.columns if c != "part"]))).alias("body"))
     bodies.write.partitionBy("part").text(path)
@@ -248,6 +236,23 @@ def log_keyset_page(spark, sf_dir):
     return search.keyset_page(events_as_log(spark, sf_dir), (END, 100)).select(*SHOWN)
 
 
+_TIMELESS = f"(SELECT * REPLACE (CASE WHEN id % 3 <> 0 THEN timestamp END AS timestamp) FROM {LOG})"
+
+
+@query(f"SELECT {COLS} FROM {_TIMELESS} ORDER BY timestamp DESC NULLS LAST, id DESC OFFSET (SELECT count(timestamp) - 5 FROM {_TIMELESS})")
+def log_keyset_null_times(spark, sf_dir):
+    """Rows of which every third has no time, from the fifth last time on: pages of a third of what is left, each after the last row of the one before."""
+    log = events_as_log(spark, sf_dir).withColumn("timestamp", F.when(F.col("id") % 3 != 0, F.col("timestamp"))).select(*SHOWN)
+    times, rows = log.agg(F.count("timestamp"), F.count("*")).first()
+    first = search.page(log, 1, times - 5).orderBy(F.asc_nulls_first("timestamp"), F.asc_nulls_first("id")).first()
+    size, out, last = -(-(rows - times + 5) // 3), None, first
+    for _ in range(3):
+        page = search.keyset_page(log, (last["timestamp"], last["id"]), size)
+        out = page if out is None else out.unionByName(page)
+        last = page.orderBy(F.asc_nulls_first("timestamp"), F.asc_nulls_first("id")).first() or last
+    return out
+
+
 @query(f"SELECT count(*) AS total FROM {LOG} WHERE {WHERE} AND ip_address = '10.0.1.7'")
 def log_count(spark, sf_dir):
     return search.count(events_as_log(spark, sf_dir), start=START, end=END, ip_address="10.0.1.7")
@@ -406,6 +411,21 @@ REPORT = f"""(SELECT unnest([{', '.join(_HEAD)}]) AS line FROM {SUMMARY} UNION A
   UNION ALL SELECT '    [!] ' || ip_address || ' — 失败 ' || failed_attempts || ' 次 [' || risk_level || ']' FROM {SUSPECTS})"""
 
 
+_ORDERED = f"""(SELECT part, k, name, line FROM (SELECT 0 AS part, unnest(range(1, 9)) AS k, '' AS name, unnest([{', '.join(_HEAD)}]) AS line FROM {SUMMARY})
+  UNION ALL SELECT 1, 0, '', '{anomaly.BY_OPERATION}' UNION ALL SELECT 2, -n, operation, '    - ' || operation || ': ' || n || ' 次' FROM {OPERATIONS} UNION ALL SELECT 3, unnest([0, 1]), '', unnest(['', '{anomaly.BY_SEVERITY}'])
+  UNION ALL SELECT 4, list_position(['CRITICAL', 'ERROR', 'WARN', 'INFO', 'DEBUG'], severity), '', '    - ' || severity || ': ' || n || ' 条' FROM {LEVELS} UNION ALL SELECT 5, unnest([0, 1]), '', unnest(['', '{anomaly.LIST}'])
+  UNION ALL SELECT 6, -failed_attempts, ip_address, '    [!] ' || ip_address || ' — 失败 ' || failed_attempts || ' 次 [' || risk_level || ']' FROM {SUSPECTS} UNION ALL SELECT 7, unnest([0, 1]), '', unnest(['', '{anomaly.RULE}']))"""
+NUMBERED = f"(SELECT row_number() OVER (ORDER BY part, k, name)::BIGINT AS line_number, line FROM {_ORDERED})"
+
+
+@query(f"SELECT line_number, line AS value FROM {NUMBERED}")
+def ordered_report_text(spark, sf_dir):
+    """The report written as text files in order, and read back: the number of each line is its place in the whole."""
+    path = scratch.new(spark, "report-text")
+    sinks.write_ordered_text(anomaly.report_lines(anomaly.report(events_as_log(spark, sf_dir))), path, anomaly.ORDER)
+    return readers.read_ordered_text(spark, path)
+
+
 @query(f"SELECT line FROM {REPORT}")
 def anomaly_report_lines(spark, sf_dir):
     return anomaly.report_lines(anomaly.report(events_as_log(spark, sf_dir))).select("line")
@@ -649,7 +669,7 @@ def _suspicious(spark: SparkSession, path: str) -> DataFrame:
 @query(_CSV)
 def suspicious_csv(spark, sf_dir):
     """The file of suspicious addresses, read back as text."""
-    path = _scratch(spark, sf_dir, "suspicious")
+    path = scratch.new(spark, "suspicious")
     sinks.write_suspicious_csv(anomaly.report(events_as_log(spark, sf_dir))["suspicious"], path)
     return _seen(_suspicious(spark, path))
 
@@ -659,7 +679,7 @@ def suspicious_csv(spark, sf_dir):
   UNION ALL SELECT 'Fail_Distribution', operation, n::VARCHAR FROM {OPERATIONS} UNION ALL SELECT 'Severity', severity, n::VARCHAR FROM {LEVELS}""")
 def report_sections(spark, sf_dir):
     """All sections, written, read back, and put one under another; the time of export only as such."""
-    path = _scratch(spark, sf_dir, "sections")
+    path = scratch.new(spark, "sections")
     sinks.write_sections(pipelines.report_sections(spark, anomaly.report(events_as_log(spark, sf_dir))), path)
     got = {name: spark.read.csv(f"{path}/{name}", header=True) for name in ("Summary", "Suspicious_IPs", "Fail_Distribution", "Severity")}
     value = {
@@ -679,16 +699,17 @@ def report_sections(spark, sf_dir):
 _TO_SECOND = LOG.replace("ts AS timestamp", "date_trunc('second', ts) AS timestamp")
 
 
-@query(f"SELECT 'report' AS output, line AS value FROM {REPORT} UNION ALL SELECT 'suspicious', ip_address || ' ' || failed_attempts || ' ' || risk_level FROM {SUSPECTS} UNION ALL SELECT 'sql', count(*)::VARCHAR FROM {LINES}")
+@query(f"""SELECT 'report' AS output, line_number, line AS value FROM {NUMBERED} UNION ALL SELECT 'suspicious', NULL, ip_address || ' ' || failed_attempts || ' ' || risk_level FROM {SUSPECTS}
+  UNION ALL SELECT 'sql', NULL, count(*)::VARCHAR FROM {LINES}""")
 def log_report_job(spark, sf_dir):
-    """The whole job over text files: the report, the suspicious addresses and the number of statements, as it wrote them."""
-    out = _scratch(spark, sf_dir, "report")
-    text = pipelines.log_report(spark, [_text_files(spark, sf_dir)], out, sql=True, sections=True)
-    report = spark.createDataFrame([(x,) for x in text.split("\n")], "value string")  # the bounded text
-    suspicious = _suspicious(spark, f"{out}/suspicious_ips").select(F.concat_ws(" ", "ip_address", "failed_attempts", "risk_level").alias("value"))
-    statements = spark.read.text(f"{out}/sql/statements").filter("value LIKE 'INSERT INTO log_entry%'").agg(F.count("*").cast("string").alias("value"))
-    parts = [df.select(F.lit(k).alias("output"), "value") for k, df in (("report", report), ("suspicious", suspicious), ("sql", statements))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The whole job over text files: the lines of the report in their order, the suspicious addresses and the number of statements, as it wrote them."""
+    out = scratch.new(spark, "report")
+    written = pipelines.log_report(spark, [_text_files(spark, sf_dir)], out, sql=True, sections=True)
+    report = readers.read_ordered_text(spark, written["report_text"])
+    suspicious = _suspicious(spark, written["suspicious_ips"]).select(F.concat_ws(" ", "ip_address", "failed_attempts", "risk_level").alias("value"))
+    statements = spark.read.text(f"{written['sql']}/statements").filter("value LIKE 'INSERT INTO log_entry%'").agg(F.count("*").cast("string").alias("value"))
+    parts = [df.withColumn("output", F.lit(k)) for k, df in (("report", report), ("suspicious", suspicious), ("sql", statements))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
 @query(f"""SELECT * FROM (SELECT date_trunc('second', timestamp) AS timestamp, ip_address, username, operation, operation_result, 'event ' || id AS detail, severity, source_file FROM {LOG} WHERE operation = 'LOGIN'
@@ -696,7 +717,7 @@ def log_report_job(spark, sf_dir):
 def load_and_search_job(spark, sf_dir):
     """Text files parsed, appended to a new table, and searched there; one page holds all that is found."""
     until = f"{END[:11]}14:00:00"
-    totals, rows = pipelines.load_and_search(spark, [_text_files(spark, sf_dir)], _scratch(spark, sf_dir, "table"), 1, 100_000, start=END, end=until, operation="LOGIN")
+    totals, rows = pipelines.load_and_search(spark, [_text_files(spark, sf_dir)], scratch.new(spark, "table"), 1, 100_000, start=END, end=until, operation="LOGIN")
     return rows.select("timestamp", "ip_address", "username", "operation", "operation_result", "detail", "severity", "source_file").withColumn("total", F.lit(totals["total"]).cast("long"))
 
 
@@ -705,7 +726,7 @@ def load_and_search_job(spark, sf_dir):
   WHERE w + INTERVAL 6 HOURS <= (SELECT max(timestamp) FROM {_TO_SECOND}) - INTERVAL 10 MINUTES GROUP BY w, ip_address HAVING count(*) >= 2""")
 def stream_brute_force(spark, sf_dir):
     """The stream over a folder of text logs: the windows that are over when it has read all."""
-    out = _scratch(spark, sf_dir, "stream")
+    out = scratch.new(spark, "stream")
     run = detect.stream_detect(spark, _text_files(spark, sf_dir), f"{out}/found", f"{out}/checkpoint", 2, "6 hours", "2 hours")
     run.awaitTermination()
     return spark.read.parquet(f"{out}/found")

@@ -38,12 +38,16 @@ def test_nulls_and_empty(spark):
     assert anomaly.failures_per_ip(nulls).collect() == []
     assert stats.severities(nulls).collect() == []
     assert stats.unique_ips(nulls).first()[0] == 0
-    text = anomaly.report_text(anomaly.report(empty))
+    text = report_text(anomaly.report(empty))
     assert "失败操作数:         0\n" in text and "可疑 IP 数:         0 (阈值=5)" in text
 
 
+def report_text(found, threshold=5):
+    return "\n".join(r["line"] for r in anomaly.report_lines(found, threshold).orderBy(*anomaly.ORDER).collect())
+
+
 def test_report(spark):
-    text = anomaly.report_text(anomaly.report(logins(spark)))
+    text = report_text(anomaly.report(logins(spark)))
     assert "总日志条数:         10" in text and "6 (60.00%)" in text and "    [!] 10.0.0.1 — 失败 6 次 [LOW]" in text and "    - login: 6 次" in text
 
 
@@ -175,7 +179,10 @@ def test_audit(spark):
 
 def test_report_job(spark, tmp_path):
     (tmp_path / "s.log").write_text("\n".join(f"2025-01-15 08:00:{i:02d} 172.16.0.88 User u{i % 2} LOGIN FAIL" for i in range(10)) + "\n")
-    text = pipelines.log_report(spark, [str(tmp_path / "s.log")], str(tmp_path / "out"), sql=True, sections=True)
+    written = pipelines.log_report(spark, [str(tmp_path / "s.log")], str(tmp_path / "out"), sql=True, sections=True)
+    text = pipelines.preview(spark, written["report_text"])
+    assert text.split("\n")[1] == anomaly.TITLE and text.endswith("\n\n" + anomaly.RULE)
+    assert pipelines.preview(spark, written["report_text"], 3).split("\n") == [anomaly.RULE, anomaly.TITLE, anomaly.RULE]
     assert "172.16.0.88 — 失败 10 次 [MEDIUM]" in text
     assert spark.read.csv(str(tmp_path / "out/suspicious_ips"), header=True).first()["unique_users"] == "2"
     assert spark.read.text(str(tmp_path / "out/sql/statements")).count() == 10
@@ -213,18 +220,6 @@ def test_replies_are_parsed_once(spark):
     assert plan.count("from_json") == 1 and plan.count("try_parse_json") + plan.count("parse_json") <= 2
 
 
-def test_report_reads_the_log_once(spark, tmp_path):
-    logins(spark).write.parquet(str(tmp_path / "log"))
-    found = anomaly.report(readers.read_table(spark, str(tmp_path / "log")), 5)
-    for name in ("summary", "suspicious", "fail_operations", "severities"):
-        assert found[name]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1, name
-    assert anomaly.report_text(found).split("\n") == [r["line"] for r in anomaly.report_lines(found).orderBy("part", "place", "name").collect()]
-    many = frame(spark, [(i, DAY, f"10.0.{i // 60}.{i % 60 // 6}", "u", "LOGIN", "FAIL", None, "WARN", None) for i in range(120)])
-    assert anomaly.report_text(anomaly.report(many, 3), 3, most=7).count("[!]") == 7
-    with pytest.raises(ValueError, match="threshold"):
-        anomaly.report(many, 0)
-
-
 def test_database_round_trip(spark):
     url, known = "jdbc:derby:memory:test-log;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     rows = logins(spark).select("id", "ip_address", "operation_result")
