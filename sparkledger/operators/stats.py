@@ -28,6 +28,11 @@ def health(percent: Column) -> Column:
 
 def abnormal_rate_by_day(logs: DataFrame) -> DataFrame:
     days = logs.filter("timestamp IS NOT NULL").groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("severity").isin(*ABNORMAL)).alias("abnormal"))
+    return rated(days)
+
+
+def rated(days: DataFrame) -> DataFrame:
+    """Rows with total and abnormal, with their rate and what it means."""
     return days.withColumn("abnormal_rate", rate(F.col("abnormal"), F.col("total"), 1)).withColumn("health", health(F.col("abnormal_rate")))
 
 

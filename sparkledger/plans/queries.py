@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..operators import anomaly, audit, search, stats, triage
-from ..sources import readers, scratch, sinks
+from ..sources import partials, readers, scratch, sinks
 from ..streaming import detect
 from . import pipelines
 
@@ -337,6 +337,39 @@ def report_grouping_sets(spark, sf_dir):
     return stats.report_counts(events_as_log(spark, sf_dir))
 
 
+def _appended(spark: SparkSession, sf_dir: str) -> str:
+    """A log table of three batches; the last adds rows to days of the first two."""
+    path, log = scratch.new(spark, "log"), events_as_log(spark, sf_dir)
+    for part in ("id % 5 <> 0 AND timestamp < '2024-01-15'", "id % 5 <> 0 AND timestamp >= '2024-01-15'", "id % 5 = 0"):
+        sinks.append_logs(spark, log.filter(part), path)
+    return path
+
+
+@query(ORACLES["abnormal_rate_by_day"])
+def abnormal_rate_maintained(spark, sf_dir):
+    """From the counts that three appends kept; the log is not read."""
+    return partials.abnormal_rate_by_day(spark, _appended(spark, sf_dir))
+
+
+@query(f"SELECT timestamp::DATE AS day, count(DISTINCT ip_address) AS unique_ips, true AS near FROM {LOG} GROUP BY 1")
+def unique_ips_by_day_maintained(spark, sf_dir):
+    """Different addresses of each day, exactly, and whether the sketches that the appends kept are within their bound of that."""
+    path = _appended(spark, sf_dir)
+    kept = partials.hours(spark, path).groupBy(F.to_date("hour").alias("day")).agg(F.hll_sketch_estimate(F.hll_union_agg("ips")).alias("about"))
+    true = events_as_log(spark, sf_dir).groupBy(F.to_date("timestamp").alias("day")).agg(F.count_distinct("ip_address").alias("unique_ips"))
+    return true.join(kept, "day").select("day", "unique_ips", (F.abs(F.col("about") - F.col("unique_ips")) <= partials.error_bound() * F.col("unique_ips") + 0.5).alias("near"))
+
+
+@query(f"""SELECT id % 3 AS part, id, ip_address, username FROM (SELECT *, row_number() OVER (PARTITION BY ip_address ORDER BY timestamp, id) AS k FROM {LOG}) WHERE ip_address IN ('10.0.1.7', '10.0.3.11')""")
+def point_lookups(spark, sf_dir):
+    """All rows of two addresses, each looked up in a table that carries Bloom filters; ids of the log are kept in `detail`."""
+    path = scratch.new(spark, "log")
+    sinks.append_logs(spark, events_as_log(spark, sf_dir).withColumn("detail", F.col("id").cast("string")), path, layout="address")
+    log, i = readers.read_table(spark, path), F.col("detail").cast("long")
+    found = [search.search(log, ip_address=ip) for ip in ("10.0.1.7", "10.0.3.11")]
+    return found[0].unionByName(found[1]).select((i % 3).alias("part"), i.alias("id"), "ip_address", "username")
+
+
 # --- anomalies
 
 

@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from . import scratch
 from .scratch import delete as delete_folder
+from .scratch import exists
 from ..schemas import ALIASES, FIELDS, NULL_TOKENS, REQUIRED
 
 BROADCAST_BLOCKS = 100_000
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def standard_columns(df: DataFrame) -> DataFrame:
     """Aliases renamed, required columns added as null. Two inputs for one name are an error."""
     names = [ALIASES.get(c, c) for c in df.columns]

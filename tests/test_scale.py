@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sparkledger.operators import anomaly, search
+from sparkledger.operators import anomaly, search, stats
 from sparkledger.plans import pipelines, queries
-from sparkledger.sources import readers, scratch, sinks
+from sparkledger.sources import partials, readers, scratch, sinks
 from sparkledger.streaming import detect
 
 DAY = datetime(2025, 1, 15)
@@ -198,3 +198,97 @@ def test_counts_of_other_splits_are_an_error(spark, tmp_path, small_splits):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     with pytest.raises(Exception, match="line counts"):  # a new plan of the same frame
         again.filter("value <> ''").select("value", "line_number", "input_file").collect()
+
+
+# the log table
+
+
+def spread(spark, n, start=0, day=DAY, minutes=1):
+    """n rows of as many addresses, a few minutes apart; every fifth failed, every tenth an error."""
+    i = F.col("id")
+    ip = F.concat(F.lit("10."), F.pmod(F.xxhash64("id"), F.lit(250)), F.lit("."), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(250)), F.lit("."), i % 200)
+    at = F.lit(day).cast("timestamp_ntz") + F.make_interval(mins=(i * minutes).cast("int"))
+    return spark.range(start, start + n).select(at.alias("timestamp"), ip.alias("ip_address"), F.concat(F.lit("u"), i % 9).alias("username"), F.lit("LOGIN").alias("operation"), F.when(i % 5 == 0, "FAIL").otherwise("SUCCESS").alias("operation_result"), F.lit(None).cast("string").alias("detail"), F.when(i % 10 == 0, "ERROR").otherwise("INFO").alias("severity"), F.lit(None).cast("string").alias("source_file"))
+
+
+def rows_read(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("layout", ["time", "address"])
+def test_point_lookups_read_few_row_groups(spark, tmp_path, layout):
+    path = str(tmp_path / "log")
+    rows = spread(spark, 30_000).withColumn("timestamp", F.lit(DAY).cast("timestamp_ntz"))  # of one day, so that no folder is left out
+    sinks.append_logs(spark, rows.repartition(2, "username"), path, layout=layout, row_group=64 << 10, values=2000)
+    log = readers.read_table(spark, path)
+    one = log.filter("id % 7000 = 77").first()
+    assert log.count() == 30_000
+    for found in (search.by_id(log, one["id"]), search.search(log, ip_address=one["ip_address"])):
+        assert one["id"] in [r["id"] for r in found.collect()] and rows_read(found.select("id", "username")) < 3000
+    assert rows_read(search.search(log, ip_address="10.9.9.x").select("id")) == 0
+
+
+def exact(spark, path, a=None, b=None):
+    rows = readers.read_table(spark, path)
+    if a is not None:
+        rows = rows.filter((F.col("timestamp") >= F.lit(a).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(b).cast("timestamp_ntz")))
+    return rows.agg(F.count_distinct("ip_address")).first()[0]
+
+
+def counts_agree(spark, path):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    log = readers.read_table(spark, path)
+    assert rows(partials.abnormal_rate_by_day(spark, path)) == rows(stats.abnormal_rate_by_day(log)) != []
+    assert partials.day_stats(spark, path, "2025-01-15").first() == stats.day_stats(log, "2025-01-15").first()
+
+
+def test_hour_counts_are_kept_with_appends(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sinks.append_logs(spark, spread(spark, 3000), path)
+    sinks.append_logs(spark, spread(spark, 2000, 3000), path)
+    sinks.append_logs(spark, spread(spark, 500, 9000, DAY - timedelta(days=20)).unionByName(spread(spark, 100, 50)), path)  # an old day, and hours that were there
+    sinks.append_logs(spark, spread(spark, 0), path)
+    assert partials.whole(spark, path)
+    counts_agree(spark, path)
+    assert scans_of(spark, f"{path}]", lambda: partials.abnormal_rate_by_day(spark, path).collect()) == 0
+    assert readers.read_table(spark, path).count() == 5600  # the counts are no part of the log
+
+
+def test_hour_counts_after_a_job_that_died(spark, tmp_path):
+    """Between the rows and their counts, and before counts were kept at all."""
+    path = str(tmp_path / "log")
+    sinks.append_logs(spark, spread(spark, 300), path)
+    kept = spark.read.parquet(f"{path}/_hours").count()
+    real, partials.add = partials.add, lambda *x: 1 / 0
+    try:
+        with pytest.raises(ZeroDivisionError):
+            sinks.append_logs(spark, spread(spark, 300, 300), path)
+    finally:
+        partials.add = real
+    assert not partials.whole(spark, path) and spark.read.parquet(f"{path}/_hours").count() == kept
+    counts_agree(spark, path)  # from the log itself
+    sinks.append_logs(spark, spread(spark, 100, 600), path)
+    assert partials.whole(spark, path)
+    counts_agree(spark, path)
+    scratch.delete(spark, f"{path}/_hours")
+    counts_agree(spark, path)
+    sinks.append_logs(spark, spread(spark, 100, 700), path)
+    assert partials.whole(spark, path)
+    counts_agree(spark, path)
+    assert readers.read_table(spark, path).select("id").distinct().count() == 800
+
+
+def test_different_addresses_of_any_range(spark, tmp_path):
+    path, at = str(tmp_path / "log"), lambda **x: DAY + timedelta(**x)
+    for k in range(3):
+        sinks.append_logs(spark, spread(spark, 9000, 9000 * k, DAY, minutes=1).unionByName(spread(spark, 500, 9000 * max(k - 1, 0))), path)
+    near = lambda got, want: abs(got.first()[0] - want) <= partials.error_bound() * want + 0.5
+    assert near(partials.unique_ips(spark, path), exact(spark, path))
+    for a, b in ((at(), at(days=3)), (at(hours=5), at(hours=6)), (at(hours=5, minutes=7), at(days=2, minutes=1)), (at(minutes=3), at(minutes=44)), (at(minutes=50), at(minutes=70)), (at(minutes=60), at(minutes=61)), (at(days=-3), at(days=-2)), (at(days=1), at(days=1))):
+        assert near(partials.unique_ips(spark, path, a, b), exact(spark, path, a, b)), (a, b)
+    assert scans_of(spark, f"{path}]", lambda: partials.unique_ips(spark, path, at(hours=5), at(days=4)).collect()) == 0
+    assert scans_of(spark, f"{path}]", lambda: partials.unique_ips(spark, path, at(hours=5, minutes=1), at(days=4)).collect()) == 1
+    got = partials.active_ips(spark, path, at(days=4))
+    assert near(got, stats.active_ips(readers.read_table(spark, path), "2025-01-19 00:00:00").first()[0])
