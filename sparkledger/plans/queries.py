@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..operators import anomaly, audit, search, stats, triage
 from ..sources import partials, readers, scratch, sinks
-from ..streaming import detect
+from ..streaming import alerts, detect
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -763,3 +763,28 @@ def stream_brute_force(spark, sf_dir):
     run = detect.stream_detect(spark, _text_files(spark, sf_dir), f"{out}/found", f"{out}/checkpoint", 2, "6 hours", "2 hours")
     run.awaitTermination()
     return spark.read.parquet(f"{out}/found")
+
+
+def _episodes_sql(log: str, columns: str) -> str:
+    n = "count(*)"
+    return f"""SELECT {columns} FROM (SELECT ip_address, episode, min(w) AS window_start, min(w) + INTERVAL 6 HOURS AS window_end, arg_min(n, w) AS failed_attempts, max(w) + INTERVAL 6 HOURS AS last_end FROM (
+  SELECT *, sum(CASE WHEN before + INTERVAL 2 HOURS >= w THEN 0 ELSE 1 END) OVER (PARTITION BY ip_address ORDER BY w) AS episode FROM (SELECT *, lag(w) OVER (PARTITION BY ip_address ORDER BY w) AS before FROM (
+  SELECT w, ip_address, {n} AS n FROM (SELECT time_bucket(INTERVAL 2 HOURS, timestamp, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOURS AS w, ip_address FROM {log}, range(0, 3) r(k) WHERE operation_result = 'FAIL' AND operation = 'LOGIN')
+  GROUP BY w, ip_address HAVING {n} >= 2))) GROUP BY ip_address, episode)"""
+
+
+_RISK = f"{TIER.format(6, 4, 2)} AS risk_level"
+
+
+@query(_episodes_sql(LOG, f"ip_address, window_start, window_end, failed_attempts, {_RISK}, last_end"))
+def attack_episodes(spark, sf_dir):
+    """Runs of successive windows over the threshold, with the first window of each."""
+    return alerts.episodes(events_as_log(spark, sf_dir), 2, "6 hours", "2 hours")
+
+
+@query(_episodes_sql(_TO_SECOND, f"ip_address, window_start, window_end, failed_attempts, {_RISK}"))
+def stream_alerts(spark, sf_dir):
+    """The stream of alerts over a folder of text logs, read in one run: an alert for each episode, those that are not over yet among them."""
+    out = scratch.new(spark, "alerts")
+    alerts.stream_alerts(spark, _text_files(spark, sf_dir), f"{out}/found", f"{out}/checkpoint", 2, "6 hours", "2 hours").awaitTermination()
+    return spark.read.parquet(f"{out}/found")
