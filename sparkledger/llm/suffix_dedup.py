@@ -4,8 +4,8 @@ Every 200-byte window is named by an anchor, the least of its 32-byte grams by h
 windows have equal anchors at equal places. Only anchors whose gram occurs twice matter; all
 text around others is left aside. For these:
 
-1. occurrences whose whole surroundings (all windows that the anchor names) are equal form a
-   class; a class of two or more is repeated throughout;
+1. occurrences whose whole surroundings (all windows that the anchor names) are equal by a 128-bit cryptographic
+   digest of their bytes form a class; a class of two or more is repeated throughout;
 2. surroundings of one gram that differ are compared in full. Each is two strings aligned at the anchor: the 200
    bytes from it on, and the 168 before it, read backwards. The texts are dealt into `SHARDS` shards; each shard's
    strings, range by range of grams, get their positional Burrows-Wheeler transforms, one task each, which are written out.
@@ -17,9 +17,9 @@ text around others is left aside. For these:
    strings from the anchor on, and in its interval at h of those before it. No hash takes part in this.
 
 Grams with more than `MANY` different surroundings (the edge of a passage that very many
-documents share) are too many for one task: their windows are counted by a 128-bit hash, spread evenly.
+documents share) are too many for one task: their windows are counted by a 128-bit cryptographic digest, spread evenly.
 
-Texts are taken as UTF-8 bytes, nulls as empty; equal texts are one class from the start. Texts
+Texts are taken as UTF-8 bytes, nulls as empty; texts equal by SHA-256 are one class from the start. Texts
 under 200 bytes lose nothing. Repeated rows each get the result of their text; a null id is an id
 like others; extra columns are left out of the result; an empty table gives an empty result.
 Texts of any length are read whole, in stretches that overlap by a window.
@@ -32,7 +32,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +127,11 @@ def _anchors(batches):
             place, lo, hi, h = anchors(b, sums, ends)
             text = np.searchsorted(ends, place, side="right")
             begin = np.concatenate([[0], ends])[text]
-            around = common.mix(sums.hash(lo, hi + WINDOW, 32) ^ ((place - lo) * 1024 + hi - lo).astype(np.uint64), 33)
+            data, sizes = b.tobytes(), np.stack([place - lo, hi - lo], 1).astype("<i2").tobytes()
+            around = [hashlib.blake2b(data[x : y + WINDOW] + sizes[4 * k : 4 * k + 4], digest_size=16).digest() for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(first + text)), pa.array((place - begin + at).astype(np.int32)), pa.array((place - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int16)),
-                pa.array(h.view(np.int64)), pa.array(around.view(np.int64)),
+                pa.array(h.view(np.int64)), pa.array(around, pa.binary()),
             ], names=["t", "place", "head", "more", "gram", "around"])
 
 
@@ -259,7 +259,7 @@ def _surroundings(batches):
             raw = text.encode()
             for w in wanted:
                 lo = w["place"] - w["head"]
-                out.append((t, w["gram"], w["around"], w["head"], w["more"], raw[lo : lo + w["more"] + WINDOW]))
+                out.append((t, w["gram"], w["kind"], w["head"], w["more"], raw[lo : lo + w["more"] + WINDOW]))
         types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["t", "gram", "around", "head", "more", "bytes"])
 
@@ -270,7 +270,7 @@ def _windows(batches):
     for batch in batches:
         for gram, around, head, more, raw in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
             n = more + 1
-            w = [xxhash.xxh3_128_digest(raw[k : k + WINDOW]) for k in range(n)]
+            w = [hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest() for k in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array((head - np.arange(n)).astype(np.int32))], names=["w", "gram", "around", "h"])
 
 
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     spark = docs.sparkSession
     common.ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     # one row per different text, in buckets by digest: the text is dealt out once, later joins read it where it lies
     name, path, left = f"texts_{uuid.uuid4().hex}", common.new_path(spark, "texts"), common.new_path(spark, "cut-texts")
     texts = docs.select(digest.alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -344,17 +344,17 @@ def _cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
     spark = texts.sparkSession
     long_texts = texts.filter(F.octet_length("text") >= WINDOW)
 
-    found = common.table(spark, long_texts.select("t", "text").mapInArrow(_anchors, "t binary, place int, head short, more short, gram long, around long"), "anchors")
+    found = common.table(spark, long_texts.select("t", "text").mapInArrow(_anchors, "t binary, place int, head short, more short, gram long, around binary"), "anchors")
     # a table, not an aggregate, meets the anchors: Spark can then split a gram that very many share
     twice = common.table(spark, found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     found = common.table(spark, found.join(twice, "gram"), "repeated-anchors")
     classes = found.groupBy("gram", "around").agg(F.count("*").alias("members"), F.min(F.struct("t", "place", "head", "more")).alias("one"))
-    classes = common.table(spark, classes, "surroundings")
+    classes = common.table(spark, classes.withColumn("kind", F.monotonically_increasing_id()), "surroundings")  # written: a kind keeps its number
     differ = common.table(spark, classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "differing-grams")
-    wanted = common.table(spark, classes.join(differ, "gram").select("one.*", "gram", "around", (F.col("kinds") > MANY).alias("many")), "wanted")
+    wanted = common.table(spark, classes.join(differ, "gram").select("one.*", "gram", "kind", (F.col("kinds") > MANY).alias("many")), "wanted")
 
     def surroundings(rows: DataFrame) -> DataFrame:
-        asked = rows.groupBy("t").agg(F.collect_list(F.struct("gram", "around", "place", "head", "more")).alias("wanted"))
+        asked = rows.groupBy("t").agg(F.collect_list(F.struct("gram", "kind", "place", "head", "more")).alias("wanted"))
         return long_texts.join(asked, "t").select("t", "text", "wanted").mapInArrow(_surroundings, "t binary, gram long, around long, head int, more int, bytes binary")
 
     ranges = -(-wanted.filter("NOT many").count() // RANGE) or 1
@@ -366,9 +366,9 @@ def _cut_texts(texts: DataFrame, with_text: bool) -> DataFrame:
     spread = common.table(spark, surroundings(wanted.filter("many")).mapInArrow(_windows, "w binary, gram long, around long, h int"), "windows")
     again = common.table(spark, spread.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "repeated-windows")
     counted = spread.join(again, "w").groupBy("gram", "around").agg(F.collect_set("h").alias("heads"))
-    partly = common.table(spark, compared.unionByName(counted), "repeated-heads")
+    partly = common.table(spark, compared.unionByName(counted), "repeated-heads").withColumnRenamed("around", "kind")
 
     whole = classes.filter("members > 1").select("gram", "around", F.lit(None).cast("array<int>").alias("heads"))
-    single = classes.filter("members = 1").select("gram", "around").join(partly, ["gram", "around"])
+    single = classes.filter("members = 1").select("gram", "kind", "around").join(partly, ["gram", "kind"]).drop("kind")
     hit = found.join(whole.unionByName(single), ["gram", "around"]).groupBy("t").agg(F.collect_list(F.struct("place", "head", "more", "heads")).alias("found"))
     return texts.join(hit, "t", "left").select("t", "text", "copies", "found").mapInArrow(lambda b: _cut(b, with_text), "t binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
