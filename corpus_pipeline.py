@@ -6,9 +6,6 @@ next one starts.
 
 from __future__ import annotations
 
-import threading
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,34 +15,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
-_LAST = threading.local()
-
-
-def _stage(f):
-    """A stage owns what it writes on the way, and deletes it when the next stage of this thread begins: by then its result is written."""
-
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.drop(spark, getattr(_LAST, "own", []))
-        with common.owned(spark) as _LAST.own:
-            return f(spark, docs, sf_dir)
-
-    return run
-
-
 def _with_text(rows: DataFrame, text: str) -> DataFrame:
     """The columns of documents, with another text and its length."""
     return rows.select("doc_id", F.col(text).alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the texts; documents that lose too much, or fail the base rules, go."""
     judged = quality.quality(docs.select(*COLUMNS), keep=("doc_id", "lang", "source"))
     return _with_text(judged.filter("kept"), "cleaned")
 
 
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`lang` becomes the predicted language; documents without one, or below LEAST_SCORE, go."""
     model = langid.train(docs.filter(common.fold("doc_id") != 1))
@@ -54,7 +34,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
 
@@ -66,13 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(repeated).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
 
-@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 or more that occur elsewhere leave the texts."""
     return _with_text(suffix_dedup.remove_repeats(docs.select("doc_id", "text", "lang", "source")), "kept")
 
 
-@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -90,14 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    written = None
-    for _, stage in STAGES[:-1]:
+    """The rows of the last stage, from a table of their own, which is the caller's; all else that the run wrote is gone by then.
+
+    A stage called by itself leaves what its result reads; common.owned() around it makes a list of that, for common.drop()."""
+    docs, before = common.documents(spark, sf_dir), None
+    for _, stage in STAGES:
         path = f"{common.shared_dir(spark)}/stage-{stage.__name__}-{common.uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        if written:
-            common.delete(spark, written)
-        docs, written = spark.read.parquet(path), path
-    packed = STAGES[-1][1](spark, docs, sf_dir)
-    _LAST.own.append(written)  # goes with what the last stage wrote
-    return packed
+        with common.owned(spark) as own:
+            docs = common.table(spark, stage(spark, docs, sf_dir), stage.__name__, path)
+        common.drop(spark, own)
+        if before:
+            common.delete(spark, before)
+        before = path
+    return docs
