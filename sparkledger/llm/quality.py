@@ -1,9 +1,10 @@
 """Line-first quality rules.
 
 Each line that holds a word is judged alone: it fails if it repeats an earlier line of its
-text, is navigation (few words around a separator, many separators, or mostly links), is boilerplate (a stock phrase
-in a line of few words), is heavy with symbols, or is prose without closing punctuation: it neither ends
-with a closing sign nor holds the end of a sentence. How long a line is in characters decides nothing.
+text, is navigation (few words between its separators, a row of sentences of hardly a word each, or mostly links), is
+boilerplate (stock phrases, whole words, make up much of it), is heavy with symbols, or is prose without closing
+punctuation: it neither ends with a closing sign nor holds the end of a sentence. Separators at the head of a
+line are a bullet and count as nothing. How long a line is decides nothing: all rules are about shares.
 Failing lines are removed; a document that loses more than `max_lost` of its word characters is rejected.
 
 Nulls and empty texts have no words: all counts 0, base_failed true, kept false, cleaned text
@@ -13,12 +14,14 @@ An empty table gives an empty result. Texts of any length are judged whole.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +33,16 @@ ENDS = tuple(".!?…:;\"'”’»)]。！？")
 INNER = (". ", "! ", "? ", "。", "！", "？")  # ends of sentences within a line
 LINKS = ("://", "www.")
 SEPARATORS = ("|", "»", "›", "•", "·", "→", ">")
+#: Lower-case words, letters only, in the languages that sites are kept in most.
 STOCK = (
-    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "enable javascript", "sign up for", "subscribe to our", "click here", "skip to content", "back to top", "read more",
-    "share this", "log in", "follow us",
+    "all rights reserved", "accept cookies", "accept all cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript",
+    "sign up for", "subscribe to our", "click here", "skip to content", "back to top", "read more", "share this", "log in", "follow us",
+    "alle rechte vorbehalten", "impressum", "datenschutz", "cookies akzeptieren", "nutzungsbedingungen", "mehr lesen", "nach oben", "jetzt anmelden", "folgen sie uns",
+    "tous droits réservés", "mentions légales", "accepter les cookies", "politique de confidentialité", "conditions d utilisation", "lire la suite", "haut de page", "suivez nous",
+    "todos los derechos reservados", "aviso legal", "aceptar cookies", "política de privacidad", "términos de uso", "leer más", "volver arriba", "síguenos",
 )
+_TOKEN, _LETTERS = re.compile(r"[^\x20\x09-\x0D]+"), regex.compile(r"\p{L}+")
+_STOCK = tuple((f" {s} ", len(s.split())) for s in STOCK)
 
 
 @dataclass(frozen=True)
@@ -43,10 +51,10 @@ class Rules:
 
     min_words: int = 50
     most_repeat: int = 50  # per cent of words in repeated 3-word windows
-    nav_words: int = 12
-    stock_words: int = 20
+    nav_words: int = 3  # words between two separators, at most, of navigation
+    nav_sentences: int = 4  # so many sentences at least, of three words for two of them at most, are navigation
+    most_stock: int = 25  # per cent of a line's words
     most_symbols: float = 0.1  # of a line's word characters
-    most_separators: float = 0.25  # of a line's words
     most_links: float = 0.5  # of a line's words
     max_lost: float = 0.4  # of a document's word characters
 
@@ -93,11 +101,17 @@ def lines_of(text: str, r: Rules) -> tuple[list[str], int, int]:
         n = word_chars(bare)
         if sum(map(bare.count, SYMBOLS)) > r.most_symbols * n or not bare.endswith(ENDS) and not any(s in bare for s in INNER):
             continue
-        words = len(bare.encode().split())
-        signs = sum(map(bare.count, SEPARATORS))
-        if signs and words <= r.nav_words or signs > r.most_separators * words:
+        tokens = _TOKEN.findall(bare)
+        words, inner = len(tokens), bare.lstrip(SPACES + "".join(SEPARATORS))
+        signs = sum(map(inner.count, SEPARATORS))
+        if signs and sum(bool(w.strip("".join(SEPARATORS))) for w in _TOKEN.findall(inner)) <= r.nav_words * (signs + 1):
             continue
-        if words <= r.stock_words and any(s in bare.lower() for s in STOCK):
+        sentences = sum(w.endswith((".", "!", "?")) for w in tokens)
+        if sentences >= r.nav_sentences and 2 * words <= 3 * sentences:
+            continue
+        plain = _LETTERS.findall(bare.lower())
+        line_ = f" {' '.join(plain)} "
+        if 100 * sum(line_.count(s) * n for s, n in _STOCK) > r.most_stock * len(plain):
             continue
         if sum(map(bare.count, LINKS)) > r.most_links * words:
             continue

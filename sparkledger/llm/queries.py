@@ -105,7 +105,9 @@ def _op5_sql() -> str:
     chars = lambda x: f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
     signs = lambda x: f"(length({x}) - length(regexp_replace({x}, '[#*$%&|<>]', '', 'g')))"
     ends = " OR ".join(f"ends_with(bare, '{c.replace(chr(39), chr(39) * 2)}')" for c in quality.ENDS)
-    times = lambda values: "(" + " + ".join(f"(length(bare) - length(replace(bare, {_quoted([v])}, ''))) // {len(v)}" for v in values) + ")"
+    times = lambda x, values: "(" + " + ".join(f"(length({x}) - length(replace({x}, {_quoted([v])}, ''))) // {len(v)}" for v in values) + ")"
+    words = lambda x: f"regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+')"
+    stock = "(" + " + ".join(f"(length(flat) - length(replace(flat, ' {v} ', ''))) // {len(v) + 2} * {len(v.split())}" for v in quality.STOCK) + ")"
     holds = lambda x, values: f"list_bool_or([{', '.join(f'contains({x}, {_quoted([v])})' for v in values)}])"
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -116,10 +118,13 @@ def _op5_sql() -> str:
     rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j FROM hit) GROUP BY doc_id),
     ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
     f AS (SELECT doc_id, line, trim(line, {spaces}) AS bare, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS turn FROM ln WHERE trim(line, {spaces}) <> ''),
-    g AS (SELECT doc_id, turn, bare, {chars('bare')} AS n, {signs('bare')} AS s, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS k FROM f),
+    g AS (SELECT doc_id, turn, bare, {chars('bare')} AS n, {signs('bare')} AS s, {words('bare')} AS ws, ltrim(bare, {spaces} || {_quoted([''.join(quality.SEPARATORS)])}) AS inn,
+      regexp_extract_all(lower(bare), '\p{{L}}+') AS plain FROM f),
+    h AS (SELECT *, len(ws) AS k, {times('inn', quality.SEPARATORS)} AS sep, len(list_filter({words('inn')}, lambda x: regexp_replace(x, '[{''.join(quality.SEPARATORS)}]+', '', 'g') <> '')) AS between,
+      len(list_filter(ws, lambda x: right(x, 1) IN ('.', '!', '?'))) AS sentences, ' ' || array_to_string(plain, ' ') || ' ' AS flat FROM g),
     pass AS (SELECT doc_id, turn > 1 AS again, n, turn = 1 AND s <= {q.most_symbols} * n AND ({ends} OR {holds('bare', quality.INNER)})
-      AND NOT (k <= {q.nav_words} AND {times(quality.SEPARATORS)} > 0) AND {times(quality.SEPARATORS)} <= {q.most_separators} * k AND NOT (k <= {q.stock_words} AND {holds('lower(bare)', quality.STOCK)})
-      AND {times(quality.LINKS)} <= {q.most_links} * k AS good FROM g),
+      AND NOT (sep > 0 AND between <= {q.nav_words} * (sep + 1)) AND NOT (sentences >= {q.nav_sentences} AND 2 * k <= 3 * sentences)
+      AND 100 * {stock} <= {q.most_stock} * len(plain) AND {times('bare', quality.LINKS)} <= {q.most_links} * k AS good FROM h),
     l AS (SELECT doc_id, count(*) FILTER (again) AS dup, coalesce(sum(n) FILTER (good), 0) AS kept_chars FROM pass GROUP BY doc_id),
     o AS (SELECT w.doc_id, len(ws) AS n_words, {chars('t')} AS word_chars, {signs('t')} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
       coalesce(rep.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),

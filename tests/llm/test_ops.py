@@ -368,6 +368,40 @@ def test_line_rules_know_no_length():
         assert quality.lines_of(line, r)[0] == [line], line
 
 
+CLEAN = (
+    "The analog input works well.", "The dialog in the second act is long.", "You should read more books, said the teacher.", "He showed that 5 > 3 in every case.", "• First, whisk the eggs.", "> She wrote: I will come.",
+    "And. Ornd. The end of it was near.", "Der Blogeintrag war lang.", "He said: no.", "→ See the second chapter for what became of them.", "La política de la ciudad cambió mucho ese año.",
+)
+JUNK = (
+    "Home. About. Contact. Products. Careers. Sitemap.", "Datenschutz Impressum Kontakt. Alle Rechte vorbehalten.", "Log in.", "Read more.", "Home > Docs > Install.", "Home | About us | Contact.", "Please log in!", "Skip to content.",
+    "Tous droits réservés.", "© 2024 Todos los derechos reservados.", "Accept all cookies.", "By using this you accept cookies and our privacy policy.", "Follow us! Share this!", "• Home • About • Press.",
+)
+
+
+def test_clean_lines_stay_and_junk_goes():
+    for line in CLEAN:
+        assert quality.lines_of(line, quality.Rules())[0] == [line], line
+    for line in JUNK:
+        assert quality.lines_of(line, quality.Rules())[0] == [], line
+
+
+def test_line_rules_equal_their_sql(spark, tmp_path):
+    """Each line a document of its own, its words repeated by no rule: whether anything is kept must agree."""
+    import duckdb
+
+    from sparkledger.llm import queries
+
+    odd = ("|", "a | b", "• ", "x" * 30 + " " + "»" * 3, "log in log in log in.", "Ñandú. ¡Sí! No? Ya. É.", "1. 2. 3. 4.", "READ MORE", "read  more.", "ｌog in.", "a.b.c www.x.y www.z.")
+    fill = " ".join(f"w{k}a" for k in range(60)) + "."
+    texts = [f"{line}\n{fill}" for line in (*CLEAN, *JUNK, *odd)] + ["\n".join(CLEAN + JUNK)]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    sql = queries.oracle_sql()["op5_quality_rules"].replace("SELECT doc_id, n_words, word_chars", "SELECT doc_id, kept_chars, n_words, word_chars", 1)
+    want = {r[0]: r[1] for r in con.sql(sql).fetchall()}
+    assert want == {i: quality.lines_of(t, quality.Rules())[2] for i, t in enumerate(texts)}
+
+
 def test_many_distinct_words():
     codes = np.concatenate([np.arange(1 << 21), np.array([5, 6, 7])])
     assert quality.repeated_windows(codes, np.zeros(len(codes), np.int64), 1).tolist() == [6]
