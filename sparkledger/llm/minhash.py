@@ -7,14 +7,14 @@ only classes meet in buckets:
 
 1. each member of a bucket is held against the bucket's smallest member;
 2. links so found are joined to components;
-3. in buckets where other members still lie in different components, these are compared by their
-   values, block by block, and pairs that may be similar are confirmed on their sets.
-
-So every pair that shares a bucket is either held against its sets (or ruled out by an estimate
-`DEVIATIONS` below the threshold: of pairs at the threshold some 1 in 10^9, where the bands lose 5 in
-10^6) or already in one component; no task emits the pairs of a large group of copies: step 3 confirms
-sets of up to 1024 shingles where it stands and gives only as many links as join the components of a
-block. The members of a bucket's largest component meet only the others, not each other: with o others
+3. in buckets where other members still lie in different components, these are compared block by block. Of two similar
+   sets the least hashes of each (a fourth of it, and one) hold the least hash that they share: only such pairs are
+   looked at, and held against each other's hashes.
+
+So every pair that shares a bucket is either held against its sets, ruled out by what similar sets must have, or
+already in one component; estimates decide nothing, and only the bands can lose a pair. No task emits the pairs of a large group of
+copies: step 3 confirms sets of up to 1024 shingles where it stands, sends on pairs of larger ones that their least
+hashes can't rule out, and gives only as many links as join the components of a block. The members of a bucket's largest component meet only the others, not each other: with o others
 of n members, at most 2 * o * n / `BLOCK` rows beside n are dealt out. That is small next to n for copies, and grows
 with the square of a bucket of sets that are all unlike.
 
@@ -42,7 +42,6 @@ FUNCTIONS = 64
 BAND = 4  # values
 BANDS = 2 * FUNCTIONS // BAND
 BLOCK = 512  # members of a bucket that meet in one task
-DEVIATIONS = 6
 _RNG = np.random.default_rng(20240501)
 _TIMES = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,17 +107,38 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
 
-SKETCH = 1024  # least hashes of a set that go into step 3: all of most sets
+SKETCH = 1024  # least hashes of a set that go into step 3: all of most sets, and of others at least what prefix() asks for
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def bound(percent: int, n: int) -> float:
-    """What an estimate from n values falls below by chance hardly ever."""
-    p = percent / 100
-    return p - DEVIATIONS * (p * (1 - p) / n) ** 0.5
+def prefix(n, percent: int):
+    """So many least hashes of a set of n: of two sets that are similar, those of each hold the least hash that both have."""
+    return n - -(-percent * n // 100) + 1
+
+
+def pairs_by_prefix(heads: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> np.ndarray:
+    """rows x cols: whether the prefixes of two sets share a hash. Pairs that don't are not similar, whatever else the sets hold."""
+    out = np.zeros((len(rows), len(cols)), bool)
+    taken = [[heads[i][: prefix(int(sizes[i]), percent)] for i in of] for of in (rows, cols)]
+    x, y = ((np.concatenate(t), np.repeat(np.arange(len(t)), [len(h) for h in t])) for t in taken)
+    both = np.intersect1d(x[0], y[0])
+    found = []
+    for h, of in (x, y):
+        at = np.searchsorted(both, h)
+        at[at == len(both)] = 0
+        ok = both[at] == h if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[ok], kind="stable")
+        found.append((np.searchsorted(at[ok][order], np.arange(len(both) + 1)), of[ok][order]))
+    (a, i), (b, j) = found
+    for k in range(len(both)):
+        out[np.ix_(i[a[k] : a[k + 1]], j[b[k] : b[k + 1]])] = True
+    return out
 
 
 def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the others, those similar to i, and those that their heads can't rule out."""
+    """Of the others, those similar to i, and those that their heads can neither confirm nor rule out."""
+    low, high = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+    others = others[100 * low >= percent * high]
     small = others[sizes[others] <= SKETCH] if sizes[i] <= SKETCH else others[:0]
     sure = small
     if len(small):
@@ -126,30 +146,32 @@ def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarra
         at = np.minimum(np.searchsorted(heads[i], flat), len(heads[i]) - 1)
         both = np.add.reduceat((heads[i][at] == flat).astype(np.int64), first)
         sure = small[100 * both >= percent * (sizes[i] + sizes[small] - both)]
-    least = bound(percent, SKETCH)
     maybe = []
     for j in others if sizes[i] > SKETCH else others[sizes[others] > SKETCH]:
-        low = np.union1d(heads[i], heads[j])[:SKETCH]  # the least hashes of the union
-        share = (np.isin(low, heads[i], assume_unique=True) & np.isin(low, heads[j], assume_unique=True)).mean()
-        if share >= least:
+        last = min(heads[i][-1] if len(heads[i]) < sizes[i] else ALL, heads[j][-1] if len(heads[j]) < sizes[j] else ALL)
+        x, y = (h[: np.searchsorted(h, last, "right")] for h in (heads[i], heads[j]))  # all of both sets up to there
+        most = len(np.intersect1d(x, y, assume_unique=True)) + min(sizes[i] - len(x), sizes[j] - len(y))
+        if 100 * most >= percent * (sizes[i] + sizes[j] - most):
             maybe.append(j)
     return sure, np.array(maybe, np.int64)
 
 
-def _near(key: tuple, pdf: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+def _near(key: tuple, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the components of one or two blocks of a bucket: as many as join them, not all."""
     _, left, right = key
-    sig = np.vstack([np.frombuffer(x, "<u4") for x in pdf["sig"]])
     heads, sizes = [np.frombuffer(x, "<u8") for x in pdf["head"]], pdf["n"].to_numpy()
     ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
     comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
     rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    turn = np.full(len(ids), len(ids))
-    turn[rows] = np.arange(len(rows))
+    may = pairs_by_prefix(heads, sizes, rows, cols, percent)
+    if left == right:
+        may = np.triu(may, 1)
     found = []
-    for k, i in enumerate(rows):
-        other = cols[(comp[cols] != comp[i]) & ((turn[cols] > k) if left == right else True)]
-        other = other[(sig[other] == sig[i]).sum(1) >= least * sig.shape[1]]
+    for k in np.flatnonzero(may.any(1)):
+        i, other = rows[k], cols[may[k]]
+        other = other[comp[other] != comp[i]]
+        if not len(other):
+            continue
         sure, maybe = _links(i, other, heads, sizes, percent)
         found += [(ids[i], ids[j]) for j in maybe]
         for j in sure:
@@ -202,14 +224,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     common.ship(spark)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = common.table(spark, docs.mapInArrow(partial(_rows, words=words), "id long, n long, of binary, sig binary"), "minhash-rows")
-    classes = common.table(spark, rows.filter("id IS NOT NULL AND n > 0").groupBy("of").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "minhash-classes")
+    classes = common.table(spark, rows.filter("id IS NOT NULL AND n > 0").groupBy("of").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "minhash-classes")
     values = BAND * 4
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * values + 1, F.lit(values)))))
-    member = classes.select(band.alias("bucket"), "id")
+    member = classes.select(band.alias("bucket"), "id", "n")
     # a table, not an aggregate, meets the members: Spark can then split a bucket that very many share
-    shared = common.table(spark, member.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1"), "minhash-buckets")
+    shared = common.table(spark, member.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("x.id").alias("center"), F.col("x.n").alias("of"), "size"), "minhash-buckets")
     member = common.table(spark, member.join(shared, "bucket"), "minhash-members")
-    stars = member.filter("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    alike = F.least("n", "of") * 100 >= F.greatest("n", "of") * percent  # others are not similar; their sets need not be sent
+    stars = member.filter("id > center").filter(alike).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
 
     wanted = member.select("id").distinct()
     full = common.table(spark, docs.join(wanted, "id").mapInArrow(partial(_set_bytes, words=words), "id long, set binary"), "minhash-sets")
@@ -222,10 +245,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
 
     placed = member.filter("size > 2").join(comp, "id", "left").select("bucket", "id", "center", F.coalesce("root", "id").alias("comp"))
     open_ = common.table(spark, meetings(placed.filter("id <> center").select("bucket", "id", "comp")), "minhash-open")
-    head = full.select("id", F.substring("set", 1, F.lit(8 * SKETCH)).alias("head"), F.floor(F.octet_length("set") / 8).alias("n"))
-    rest = open_.join(classes.select("id", "sig").join(head, "id"), "id")
-    least = bound(percent, 2 * FUNCTIONS)
-    maybe = rest.select("bucket", "left", "right", "id", "comp", "block", "sig", "head", "n").groupBy("bucket", "left", "right").applyInPandas(lambda key, pdf: _near(key, pdf, least, percent), "a long, b long")
+    held = F.greatest(F.lit(SKETCH), F.col("n") - F.ceil(F.col("n") * percent / 100) + 2)  # hashes: what prefix() asks for, and one
+    head = full.withColumn("n", F.floor(F.octet_length("set") / 8)).select("id", F.substring("set", F.lit(1), (8 * held).cast("int")).alias("head"), "n")
+    rest = open_.join(head, "id")
+    maybe = rest.select("bucket", "left", "right", "id", "comp", "block", "head", "n").groupBy("bucket", "left", "right").applyInPandas(lambda key, pdf: _near(key, pdf, percent), "a long, b long")
     more = confirmed(maybe.distinct(), full, percent)
     links = common.table(spark, links.union(more), "minhash-links")
     comp = components(spark, links)

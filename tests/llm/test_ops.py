@@ -200,20 +200,66 @@ def test_near_duplicates(docs, rows):
         assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
-def test_blocks_join_components_and_rule_out_by_estimate():
+def block_of(found, head=None, block=None):
     import pandas as pd
 
+    head = head or minhash.SKETCH
+    heads = [s[: max(head, minhash.prefix(len(s), 75) + 1)].tobytes() for s in found]
+    return pd.DataFrame({"id": range(len(found)), "comp": range(len(found)), "block": block if block is not None else 0, "head": heads, "n": [len(s) for s in found]})
+
+
+def test_blocks_join_components():
     from sparkledger.llm.shingles import sets
 
-    texts = [t for _, t, *_ in odd_docs()[-40:]]
-    found = sets(texts)
-    sig = minhash.signatures(found)
-    frame = pd.DataFrame({"id": range(40), "comp": range(40), "block": 0, "sig": [s.astype("<u4").tobytes() for s in sig], "head": [s.tobytes() for s in found], "n": [len(s) for s in found]})
-    links = minhash._near((1, 0, 0), frame, 0.59, 75)
+    found = sets([t for _, t, *_ in odd_docs()[-40:]])
+    links = minhash._near((1, 0, 0), block_of(found), 75)
     assert len(links) <= 39
     assert all(minhash.similar(found[a], found[b], 75) for a, b in links.to_numpy())
 
 
+@pytest.mark.parametrize("head", [1024, 8])
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_lose_no_link(head, seed, monkeypatch):
+    """Sets around the threshold, a third of them exactly at it: the links of one block, and of two, join what similar sets join.
+
+    With heads of 8 hashes most sets are larger than their heads."""
+    monkeypatch.setattr(minhash, "SKETCH", head)
+    rng = np.random.default_rng(seed)
+    passage, found = rng.integers(0, 1 << 63, 30, np.uint64), []
+    for _ in range(14):
+        n = int(rng.integers(1, 60)) * 7
+        whole = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, np.uint64), passage[: int(rng.integers(0, 30))]]))
+        found.append(whole)
+        for _ in range(4):
+            part = rng.permutation(whole)[: max(1, len(whole) * 6 // 7 + int(rng.integers(-1, 2)))]
+            found.append(np.sort(part))
+            other = rng.permutation(whole)[: len(part)]
+            found.append(np.unique(np.concatenate([other, rng.integers(0, 1 << 63, int(rng.integers(0, 3)), np.uint64)])))
+    exact = {(i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if minhash.similar(found[i], found[j], 75)}
+    for block in (None, np.arange(len(found)) % 2):
+        pairs = [minhash._near((1, left, right), block_of(found, head, block), 75).to_numpy().tolist() for left, right in (((0, 0),) if block is None else ((0, 0), (1, 1), (0, 1)))]
+        root = list(range(len(found)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in (p for part in pairs for p in part if tuple(p) in exact):  # what heads can't decide is confirmed on the sets
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        assert all(find(i) == find(j) for i, j in exact) and len(exact) > 30
+        assert head < 1024 or {tuple(p) for part in pairs for p in part} <= exact
+
+
+def test_large_sets_are_ruled_out_by_what_they_must_have():
+    """Sets beyond their heads that share a passage only are not sent on; those that are similar are."""
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 1 << 63, 900, np.uint64)
+    found = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 9000, np.uint64)])) for _ in range(12)]
+    found.append(np.sort(rng.permutation(found[0])[:9000]))
+    assert minhash._near((1, 0, 0), block_of(found), 75).to_numpy().tolist() == [[0, 12]]
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b, c = (prose(60) for _ in range(3))
     rows = [(5, a), (5, b), (1, a), (2, b), (7, c), (7, c), (7, ""), (8, c), (None, a), (None, None), (9, None), (9, c)]
