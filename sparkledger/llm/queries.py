@@ -157,5 +157,34 @@ _OP9_SQL = """
     FROM p LEFT JOIN f ON p.d = f.d"""
 
 
+_OP11_SQL = """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor, b.vec_id AS id, a.lab = b.lab AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM (SELECT * FROM r WHERE vec_id % 100 = 0) a JOIN r b ON a.vec_id <> b.vec_id),
+    p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT * FROM n WHERE rank <= 10"""
+
+#: The checksum has no function in SQL: its table is made by its rule, and bytes are taken one by one.
+_OP13_SQL = """
+    WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+    o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+    u AS (SELECT doc_id, run, count(*) AS n, list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x)) AS chars FROM o WHERE length(run) >= 7 GROUP BY doc_id, run),
+    b AS (SELECT doc_id, run, n, flatten(list_transform(chars, lambda c: CASE WHEN c < 128 THEN [c::BIGINT] ELSE [195::BIGINT, c::BIGINT - 64] END)) AS bytes FROM u),
+    h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM b, t),
+    d AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    x AS (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+    e AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, w.word FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.rest = w.word),
+    k AS (SELECT a AS word, count(*) AS n_near, min({'m': -w.n, 'other': b}) AS top FROM e JOIN w ON w.word = e.b GROUP BY a),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 10 * w.n THEN top.other END AS form, CASE WHEN -top.m >= 10 * w.n THEN -top.m END AS form_n FROM w LEFT JOIN k ON k.word = w.word),
+    z AS (SELECT word, word AS root FROM f UNION ALL SELECT z.word, f.form FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT z.word, z.root FROM z JOIN f ON f.word = z.root WHERE f.form IS NULL) z ON z.word = f.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_warc": _OP9_SQL}
+    return {
+        "op3_minhash_near_dedup": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_warc": _OP9_SQL,
+        "op11_hard_negatives": _OP11_SQL, "op13_spelling_variants": _OP13_SQL,
+    }
