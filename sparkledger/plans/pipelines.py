@@ -63,9 +63,12 @@ def load_and_search(spark: SparkSession, paths: list[str], table: str, number: i
 
 
 def triage_suspicious(logs: DataFrame, replies: DataFrame | None, model: str, threshold: int = 5) -> DataFrame:
-    """History rows for every log row of a suspicious address. logs: LOG_ENTRY columns."""
+    """History rows for every log row of a suspicious address. logs: LOG_ENTRY columns.
+
+    Texts that triage.admissible() refuses (blank, under 5 or over 5000 characters) are not judged, as the service refuses them."""
     suspects = anomaly.brute_force(logs, threshold).select("ip_address")
     rows = logs.join(suspects, "ip_address", "left_semi")
     text = F.concat_ws(" ", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "ip_address", F.concat(F.lit("User "), F.col("username")), "operation", "operation_result", "detail")
     rows = rows.select(F.col("id").alias("log_id"), "username", text.alias("log_content"), F.col("timestamp").alias("created_at"))
-    return triage.history(triage.resolve(rows, replies, model))
+    judged, _ = triage.admissible(rows, "log_content")
+    return triage.history(triage.resolve(judged, replies, model))

@@ -587,6 +587,12 @@ def triage_history(spark, sf_dir):
     return history(spark, sf_dir)
 
 
+@query(f"""SELECT id, username, log_content AS "logContent", log_summary AS "logSummary", operation_type AS "operationType", risk_level AS "riskLevel", need_intervention AS "needIntervention",
+  ai_suggestion AS "aiSuggestion", source_ip AS "sourceIp", model_used AS "modelUsed", analysis_time_ms AS "analysisTimeMs", created_at AS "createdAt" FROM {HISTORY}""")
+def triage_camel_case(spark, sf_dir):
+    return search.camel_case(history(spark, sf_dir))
+
+
 @query(f"SELECT * FROM {HISTORY} ORDER BY created_at DESC, id DESC LIMIT 100")
 def triage_recent(spark, sf_dir):
     return triage.recent(history(spark, sf_dir), 500)
@@ -631,6 +637,18 @@ def triage_suspicious(spark, sf_dir):
     return pipelines.triage_suspicious(events_as_log(spark, sf_dir), None, "m", 12)
 
 
+_LONG = f"(SELECT * REPLACE (CASE WHEN id % 10 = 3 THEN repeat(detail || ' ', 1 + 6000 // length(detail)) ELSE detail END AS detail) FROM {LOG})"
+_REFUSED = _P3.replace(f"FROM {LOG} WHERE ip_address IN", f"FROM {_LONG} WHERE ip_address IN", 1)
+
+
+@query(f"""SELECT id, operation_type, risk_level, need_intervention FROM (SELECT id, {_as(_rules_sql('log_content'))} FROM {_REFUSED} WHERE length(log_content) <= 5000)""")
+def triage_suspicious_refuses(spark, sf_dir):
+    """Of the log rows of suspicious addresses those whose text is not too long; every tenth is made so."""
+    long = F.expr("repeat(concat(detail, ' '), cast(1 + floor(6000 / length(detail)) AS int))")
+    log = events_as_log(spark, sf_dir).withColumn("detail", F.when(F.col("id") % 10 == 3, long).otherwise(F.col("detail")))
+    return pipelines.triage_suspicious(log, None, "m", 12).select("id", "operation_type", "risk_level", "need_intervention")
+
+
 # --- audit
 
 
@@ -662,6 +680,11 @@ def audit_by_operator(spark, sf_dir):
     return audit.by_operator(audit.records(accesses(spark, sf_dir)), "anonymous")
 
 
+@query(f"""SELECT id, operator, action, target, ip_address AS "ipAddress", status, created_at AS "createdAt" FROM {AUDIT}""")
+def audit_camel_case(spark, sf_dir):
+    return search.camel_case(audit.records(accesses(spark, sf_dir)))
+
+
 @query(f"SELECT id, ip_address FROM {AUDIT}")
 def client_ip(spark, sf_dir):
     return accesses(spark, sf_dir).select("id", audit.client_address(F.col("forwarded"), F.col("peer")).alias("ip_address"))
