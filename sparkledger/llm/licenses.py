@@ -6,6 +6,10 @@ probability 1 - (1 - J) ** BANDS: above 0.999 for a whole copy at the worst offs
 that lost a quarter of its shingles. A retrieved template is then held exactly: it counts if at
 least 75 % of its shingles stand within one window length of the window.
 
+Of templates found in one text, one whose shingles found there all lie within those of another is not told apart by them: it
+goes if the other's are more and as large a share of its template, or as many and a larger share. Those equal in both all stay. So a
+notice within a longer one, or a license whose words another one repeats with a change, is reported once, as what fits best.
+
 Windows are cut only in texts with at least one template shingle: the similarity of any window of
 the others is 0. Words are runs of letters and digits, lower-cased. Null and short texts hold no
 license; rows that repeat an id and license are one; a null id is an id like others; extra columns
@@ -19,6 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .license_texts import TEXTS
 
 WORDS = 5
@@ -45,6 +50,9 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "lgpl-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "agpl-3.0-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "lgpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-2.0-notice": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     **TEXTS,
 }
@@ -76,12 +84,18 @@ def least(h: Column, band: int) -> Column:
     return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(band))))
 
 
+@common.tidy("licenses")
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """A row per document and license found in it: id, license, shared (template shingles), of (all of them)."""
+    return _told_apart(common.table(docs.sparkSession, places(docs, texts, text, id), "license-places")).withColumnRenamed("id", id)
+
+
+def places(docs: DataFrame, texts: dict[str, str] | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Wherever a template is found: id, license, of, and s, its shingles there."""
     spark = docs.sparkSession
     known = templates(spark, TEMPLATES if texts is None else texts).collect()  # the given templates, no corpus data
     if not known:
-        return docs.select(id, F.lit("").alias("license"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("of")).limit(0)
+        return docs.select(F.col(id).alias("id"), F.lit("").alias("license"), F.lit(0).cast("long").alias("of"), F.array().cast("array<long>").alias("s")).limit(0)
     every = F.split(F.lit(",".join(str(x) for x in sorted({x for k in known for x in k["t"]}))), ",").cast("array<bigint>")  # folds to one value
     bands = spark.createDataFrame([(k["license"], k["m"], list(k["t"])) for k in known], "license string, m int, t array<long>")
     bands = bands.select("license", "m", "t", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("t"), b).alias("value")) for b in range(BANDS)])).alias("x")).select("license", "m", "t", "x.*")
@@ -98,6 +112,20 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, text: str = "text
     cut = scaled.select("id", "m", "own", F.explode(window).alias("x")).select("id", "m", "own", "x.*").filter(F.arrays_overlap("w", "own"))
     valued = cut.select("id", "m", "near", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), least(F.col("w"), b).alias("value")) for b in range(BANDS)])).alias("x")).select("id", "m", "near", "x.*")
     met = valued.join(F.broadcast(bands), ["m", "band", "value"])  # a row per template and band
-    shared = F.size(F.array_intersect("t", "near")).cast("long")
-    exact = met.select("id", "license", shared.alias("shared"), F.col("m").cast("long").alias("of")).filter(100 * F.col("shared") >= PERCENT * F.col("of"))
-    return exact.groupBy("id", "license").agg(F.max("shared").alias("shared"), F.first("of").alias("of")).withColumnRenamed("id", id)
+    own = met.select("id", "license", F.col("m").cast("long").alias("of"), F.explode(F.array(F.array_intersect("t", "near"))).alias("s"))  # held fast
+    return own.filter(100 * F.size("s") >= PERCENT * F.col("of"))
+
+
+def _told_apart(exact: DataFrame) -> DataFrame:
+    """id, license, shared, of: what stays of the places found (id, license, of, s: the template's shingles there)."""
+    best = exact.groupBy("id", "license").agg(F.max(F.size("s")).cast("long").alias("shared"), F.first("of").alias("of"))
+    # each shingle once for a text and a template, however many places hold it
+    held = exact.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("id").isNull().alias("none"), "license", F.explode("s").alias("s")).distinct()
+    sizes = held.groupBy("k", "none", "license").agg(F.count("*").alias("n"))
+    both = held.join(held.withColumnRenamed("license", "other"), ["k", "none", "s"]).filter("license <> other").groupBy("k", "none", "license", "other").agg(F.count("*").alias("both"))
+    key = best.withColumns({"k": F.coalesce(F.col("id").cast("string"), F.lit("")), "none": F.col("id").isNull()}).join(sizes, ["k", "none", "license"])
+    other = key.select("k", "none", F.col("license").alias("other"), F.col("n").alias("m"), F.col("shared").alias("their"), F.col("of").alias("their_of"))
+    within = both.join(key.select("k", "none", "license", "n", "shared", "of"), ["k", "none", "license"]).join(other, ["k", "none", "other"]).filter("both = n")
+    mine, theirs = F.col("shared") * F.col("their_of"), F.col("their") * F.col("of")
+    worse = within.filter((F.col("m") > F.col("n")) & (theirs >= mine) | (theirs > mine)).select("k", "none", "license").distinct()
+    return key.join(worse, ["k", "none", "license"], "left_anti").select("id", "license", "shared", "of")

@@ -145,8 +145,15 @@ def _op6_sql() -> str:
     win AS (SELECT DISTINCT doc_id, license, m, greatest(1, m // 4) AS step, g * greatest(1, m // 4) AS a FROM
       (SELECT doc_id, license, m, unnest(range(greatest(0, (i - m + 1) // greatest(1, m // 4)), i // greatest(1, m // 4) + 1)) AS g FROM h)),
     c AS (SELECT win.doc_id, win.license, win.m, win.a, count(DISTINCT h.sh) AS shared FROM win JOIN h ON h.doc_id = win.doc_id AND h.license = win.license
-      AND h.i >= win.a - win.m AND h.i < win.a + 2 * win.m GROUP BY 1, 2, 3, 4)
-    SELECT doc_id, license, max(shared) AS shared, any_value(m) AS "of" FROM c WHERE 100 * shared >= 75 * m GROUP BY doc_id, license"""
+      AND h.i >= win.a - win.m AND h.i < win.a + 2 * win.m GROUP BY 1, 2, 3, 4),
+    best AS (SELECT doc_id, license, max(shared) AS shared, any_value(m) AS "of" FROM c WHERE 100 * shared >= 75 * m GROUP BY doc_id, license),
+    held AS (SELECT DISTINCT h.doc_id, h.license, h.sh FROM c JOIN h ON h.doc_id = c.doc_id AND h.license = c.license AND h.i >= c.a - c.m AND h.i < c.a + 2 * c.m WHERE 100 * c.shared >= 75 * c.m),
+    n AS (SELECT doc_id, license, count(*) AS n FROM held GROUP BY doc_id, license),
+    two AS (SELECT x.doc_id, x.license, y.license AS other, count(*) AS k FROM held x JOIN held y ON x.doc_id = y.doc_id AND x.sh = y.sh AND x.license <> y.license GROUP BY 1, 2, 3),
+    worse AS (SELECT DISTINCT two.doc_id, two.license FROM two JOIN n ON n.doc_id = two.doc_id AND n.license = two.license JOIN n o ON o.doc_id = two.doc_id AND o.license = two.other
+      JOIN best x ON x.doc_id = two.doc_id AND x.license = two.license JOIN best y ON y.doc_id = two.doc_id AND y.license = two.other
+      WHERE k = n.n AND (o.n > n.n AND y.shared * x."of" >= x.shared * y."of" OR y.shared * x."of" > x.shared * y."of"))
+    SELECT best.* FROM best LEFT JOIN worse w ON w.doc_id = best.doc_id AND w.license = best.license WHERE w.doc_id IS NULL"""
 
 
 _OP9_SQL = """

@@ -465,7 +465,7 @@ def test_licenses(spark):
     got = {(r["doc_id"], r["license"]): (r["shared"], r["of"]) for r in licenses.scan(docs).collect()}
     assert set(got) == {(1, "mit-notice"), (2, "mit"), (7, "apache-2.0-notice")}
     assert got[1, "mit-notice"] == (1, 1) and 0.75 <= got[2, "mit"][0] / got[2, "mit"][1] < 1
-    plan = licenses.scan(docs)._jdf.queryExecution().toString()
+    plan = licenses.places(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scan(docs.limit(0)).count() == 0
 
@@ -725,6 +725,17 @@ def test_media_edges(spark):
     assert media.copies(spark.createDataFrame([], "page_id long, height int, pixels binary")).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    """A notice within another, near-equal notices, two of them in one text, and a text that holds the short form only."""
+    t = licenses.TEMPLATES
+    short = t["agpl-3.0-notice"]
+    rows = [(1, t["agpl-3.0"]), (2, t["gpl-3.0"]), (3, prose(60) + " " + short + " " + prose(60)), (4, t["agpl-3.0"] + " " + prose(400) + " " + t["gpl-3.0"]), (5, t["lgpl-3.0"]), (6, t["lgpl-2.1"]), (7, t["apache-2.0"]), (None, t["agpl-3.0"]), (8, t["cc-by-sa-4.0-notice"])]
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add((r["license"], r["shared"] == r["of"]))
+    assert got == {1: {("agpl-3.0", True)}, 2: {("gpl-3.0", True)}, 3: {("agpl-3.0-notice", True)}, 4: {("agpl-3.0", True), ("gpl-3.0", True)}, 5: {("lgpl-3.0", True)}, 6: {("lgpl-2.1", True)}, 7: {("apache-2.0", True)}, None: {("agpl-3.0", True)}, 8: {("cc-by-sa-4.0-notice", True)}}
+
+
 # all
 
 
