@@ -11,7 +11,9 @@ place: pairs within `MOST` bits are counted there, and only pairs of pictures le
 confirmed if one turn, zoom and shift carries at least `VOTES` corners of one picture to their
 counterparts, and the orientations and scales of these corners differ by that turn and zoom.
 All pairs within 13 bits are found, of those with 14 to `MOST` bits most: the tables guarantee no more. A picture whose
-strongest corners a crop or an edit takes away may be missed: `CORNERS` bounds what is known of a picture.
+strongest corners a crop or an edit takes away may be missed: `CORNERS` bounds what is known of a picture. Scales stand 0.84 apart, so
+that a copy of half to twice the size has corners within a tenth of the original's at several of them; of a crop to half a side about half
+are found, and mirrored copies are not.
 
 Pictures with equal pixels are one class: they are described and compared once a batch, and a page inherits what its
 class found. Null or undecodable pictures have no corners and match nothing. Repeated ids are one
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SIDE = 96
-SCALES = (1.0, 0.75, 0.5625)
-CORNERS = (24, 16, 8)  # a scale
+SCALES = (1.0, 0.84, 0.7, 0.59, 0.5)
+CORNERS = (24, 18, 14, 12, 10)  # a scale
 RADIUS = 7
 MOST = 20
 VOTES = 6

@@ -671,6 +671,44 @@ def test_media_edits(spark):
         assert sum((1000 * i, 1000 * i + 1 + how) in got for i in range(n)) >= 0.9 * n, name
 
 
+def cropped(p, share, corner=False):
+    n = int(len(p) * share)
+    at = 0 if corner else (len(p) - n) // 2
+    return np.ascontiguousarray(p[at : at + n, at : at + n])
+
+
+FURTHER = {
+    "size 0.6": lambda p: media.warp(p, 0, 0.6), "size 0.67": lambda p: media.warp(p, 0, 0.67), "size 1.5": lambda p: media.warp(p, 0, 1.5), "size 2": lambda p: media.warp(p, 0, 2),
+    "two thirds": lambda p: cropped(p, 2 / 3), "two thirds, corner": lambda p: cropped(p, 2 / 3, True), "two thirds, turn 20": lambda p: cropped(media.warp(p, np.radians(20), 1), 2 / 3), "turn 30": lambda p: media.warp(p, np.radians(30), 1),
+}
+
+
+def smooth(k):
+    """A picture of another kind than render()'s: soft hills, and disks and strokes on them."""
+    rng = np.random.default_rng(k)
+    y, x = np.mgrid[:96, :96].astype(np.float32)
+    g = 110 + sum(40 * np.sin(a * x + b * y + c) for a, b, c in rng.uniform((-0.12, -0.12, 0), (0.12, 0.12, 6), (4, 3)))
+    for _ in range(16):
+        cy, cx, r, v = rng.uniform((0, 0, 3, 0), (96, 96, 12, 255))
+        g = np.where((y - cy) ** 2 + (x - cx) ** 2 <= r * r, v, g)
+        cy, cx, t, v = rng.uniform((0, 0, 0, 0), (96, 96, 3.1, 255))
+        g = np.where((abs((y - cy) * np.cos(t) - (x - cx) * np.sin(t)) < 1.5) & (abs((y - cy) * np.sin(t) + (x - cx) * np.cos(t)) < 18), v, g)
+    return np.clip(g + rng.normal(0, 3, g.shape), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("draw", [lambda i: media.render(b"f%d" % i), smooth])
+def test_media_of_other_edits_and_kinds(spark, draw):
+    """Edits that pictures() doesn't draw, on its pictures and on pictures that its tests of bits were not chosen on."""
+    n = 20
+    pics = [(1000 * i + k, p) for i in range(n) for k, p in enumerate([draw(i), *(f(draw(i)) for f in FURTHER.values())])]
+    rows = [(i, p.shape[0], p.tobytes()) for i, p in pics]
+    got = {(q, r["page_id"]) for r in media.copies(spark.createDataFrame(rows, "page_id long, height int, pixels binary"), every=1000).collect() for q in r["copy_of"]}
+    assert all(q // 1000 == c // 1000 for q, c in got)
+    found = {name: sum((1000 * i, 1000 * i + 1 + k) in got for i in range(n)) for k, name in enumerate(FURTHER)}
+    print(found)
+    assert all(x >= (0.8 if "thirds" in name else 0.9) * n for name, x in found.items()), found
+
+
 def test_media_blocks_and_hostile_rows(spark):
     """Small blocks find what one finds; repeated and null ids, equal rows and columns with clashing names do no harm."""
     own = [media.render(b"b%d" % i) for i in range(9)]
