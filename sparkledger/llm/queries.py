@@ -173,6 +173,49 @@ _OP11_SQL = """
       FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
     SELECT * FROM n WHERE rank <= 10"""
 
+def _xxh64_sql(source: str, seed: int) -> str:
+    """CTEs that end in hashed (sh, h): XXH64 of the UTF-8 bytes of the column sh of a source. Numbers of 128 bits, cut to 64 after each step."""
+    wrap, p = 1 << 64, (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+    big = lambda v: f"{v % wrap}::UHUGEINT"
+    p1, p2, p3, p4, p5 = map(big, p)
+    mul, add = (lambda x, y: f"(({x}) * ({y}) % {wrap}::UHUGEINT)"), (lambda x, y: f"(({x}) + ({y})) % {wrap}::UHUGEINT")
+    turn = lambda x, r: f"(({x}) * {big(1 << r)} % {wrap}::UHUGEINT + ({x}) // {big(1 << (64 - r))})"
+    number = lambda at, size: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+    fold = lambda first, rest, step: f"list_reduce(list_prepend({first}, {rest}), lambda h, y: {step})"
+    each = lambda v, y: mul(turn(add(v, mul(y, p2)), 31), p1)
+    starts = (seed + p[0] + p[1], seed + p[1], seed, seed - p[0])
+    lanes = ", ".join(f"{fold(big(v), f'list_transform(range(n // 32), lambda j: lanes[4 * j + {k + 1}])', each('h', 'y'))} AS v{k}" for k, v in enumerate(starts))
+    h = "(" + " + ".join(turn(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))) + f") % {wrap}::UHUGEINT"
+    joined = [f"x0 AS (SELECT sh, hex(sh) AS x, octet_length(encode(sh)) AS n FROM (SELECT DISTINCT sh FROM {source}))", f"x1 AS (SELECT *, list_transform(range(n // 8), lambda j: {number('8 * j', 8)}) AS lanes FROM x0)"]
+    joined += [f"x2 AS (SELECT *, {lanes} FROM x1)", f"y0 AS (SELECT *, {h} AS h FROM x2)"]
+    for k in range(4):
+        joined.append(f"y{k + 1} AS (SELECT * REPLACE ({add(mul(f'xor(h, {each(big(0), f"v{k}")})', p1), p4)} AS h) FROM y{k})")
+    joined.append(f"z1 AS (SELECT sh, x, n, lanes, {add(f'CASE WHEN n >= 32 THEN h ELSE {big(seed + p[4])} END', 'n::UHUGEINT')} AS h FROM y4)")
+    joined.append(f"z2 AS (SELECT * REPLACE ({fold('h', 'lanes[4 * (n // 32) + 1 :]', add(mul(turn(f'xor(h, {each(big(0), "y")})', 27), p1), p4))} AS h) FROM z1)")
+    joined.append(f"z3 AS (SELECT * REPLACE (CASE WHEN n % 8 >= 4 THEN {add(mul(turn(f'xor(h, {mul(number("n // 8 * 8", 4), p1)})', 23), p2), p3)} ELSE h END AS h) FROM z2)")
+    joined.append(f"z4 AS (SELECT * REPLACE ({fold('h', f'list_transform(range(n % 4), lambda j: {number("n // 4 * 4 + j", 1)})', mul(turn(f'xor(h, {mul("y", p5)})', 11), p1))} AS h) FROM z3)")
+    for k, (r, by) in enumerate(((33, p2), (29, p3))):
+        joined.append(f"z{k + 5} AS (SELECT * REPLACE ({mul(f'xor(h, h // {big(1 << r)})', by)} AS h) FROM z{k + 4})")
+    joined.append(f"hashed AS (SELECT sh, xor(h, h // {big(1 << 32)})::UBIGINT AS h FROM z6)")
+    return ",\n    ".join(joined)
+
+
+def _op12_sql() -> str:
+    ones = ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))
+    print_ = " + ".join(f"CASE WHEN 2 * b{b} > k THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+    {_xxh64_sql("s", 42)},
+    c AS (SELECT doc_id, count(*) AS k, {ones} FROM s JOIN hashed USING (sh) GROUP BY doc_id),
+    f AS (SELECT d.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN (SELECT doc_id, ({print_})::UBIGINT AS fp FROM c) USING (doc_id)),
+    q AS (SELECT fp, part, (fp >> (16 * part)) & 65535 AS v FROM (SELECT DISTINCT fp FROM f), range(4) r(part)),
+    e AS (SELECT DISTINCT a.fp AS a, b.fp AS b FROM q a JOIN q b ON a.part = b.part AND a.v = b.v AND a.fp <> b.fp WHERE bit_count(xor(a.fp, b.fp)) <= 3),
+    r AS (SELECT DISTINCT fp AS a, fp AS b FROM f UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT r.a, min(f.doc_id) AS c FROM r JOIN f ON f.fp = r.b GROUP BY r.a)
+    SELECT f.doc_id, lower(lpad(hex(f.fp), 16, '0')) AS fingerprint, m.c AS component_id FROM f JOIN m ON m.a = f.fp"""
+
+
 #: The checksum has no function in SQL: its table is made by its rule, and bytes are taken one by one.
 _OP13_SQL = """
     WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
@@ -193,5 +236,5 @@ _OP13_SQL = """
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_minhash_near_dedup": _op3_sql(), "op5_quality_rules": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_warc": _OP9_SQL,
-        "op11_hard_negatives": _OP11_SQL, "op13_spelling_variants": _OP13_SQL,
+        "op11_hard_negatives": _OP11_SQL, "op12_simhash_near_dedup": _op12_sql(), "op13_spelling_variants": _OP13_SQL,
     }
