@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .scratch import delete, exists
+from .scratch import delete, exists, rename
 
 LG_K = 12
 HOURS = "hour timestamp_ntz, total long, abnormal long, failed long, ips binary"
@@ -52,6 +52,27 @@ def add(spark: SparkSession, table: str, after: int, days: tuple | None, all_: b
     of_rows(rows).write.mode("append").parquet(f"{table}/_hours")
 
 
+def compact(spark: SparkSession, table: str) -> None:
+    """Leave one row for each hour, where every batch has left its own; for the one writer, between two appends.
+
+    While the folders are swapped the mark is empty, so readers count the log itself; should the job die then, the next append makes the counts anew."""
+    if not whole(spark, table):
+        return
+    kept, side = f"{table}/_hours", f"{table}/_hours_compact"
+    top = spark.read.schema("id bigint").parquet(mark_path(table)).agg(F.max("id")).first()[0]
+    delete(spark, side)
+    hours(spark, table).repartitionByRange("hour").write.parquet(side)
+    mark(spark, table, None)
+    delete(spark, kept)
+    rename(spark, side, kept)
+    mark(spark, table, top)
+
+
+def mark(spark: SparkSession, table: str, id: int | None) -> None:
+    """Keep the largest id of a table; None while a batch or its counts are not whole."""
+    spark.createDataFrame([(id,)], "id bigint").coalesce(1).write.mode("overwrite").parquet(mark_path(table))
+
+
 def hours(spark: SparkSession, table: str) -> DataFrame:
     """A row per hour, over all batches."""
     if not whole(spark, table):

@@ -56,6 +56,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    a, b = fs.Path(path), fs.Path(to)
+    if not a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"{path} can't become {to}")
+
+
 @contextmanager
 def owned(spark: SparkSession):
     """What is made within goes at the end, also after an error. Frames that read it are of no use after that."""

@@ -280,6 +280,30 @@ def test_hour_counts_after_a_job_that_died(spark, tmp_path):
     assert readers.read_table(spark, path).select("id").distinct().count() == 800
 
 
+def test_hour_counts_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for k in range(3):
+        sinks.append_logs(spark, spread(spark, 400, 100 * k), path)
+    kept = lambda: spark.read.parquet(f"{path}/_hours").count()
+    before, rows = kept(), sorted(map(str, partials.hours(spark, path).drop("ips").collect()))
+    partials.compact(spark, path)
+    assert partials.whole(spark, path) and kept() == len(rows) < before
+    assert sorted(map(str, partials.hours(spark, path).drop("ips").collect())) == rows
+    true = exact(spark, path)
+    assert abs(partials.unique_ips(spark, path).first()[0] - true) <= partials.error_bound() * true  # a union of unions may estimate otherwise, within the bound
+    sinks.append_logs(spark, spread(spark, 100, 900), path)
+    counts_agree(spark, path)
+    assert readers.read_table(spark, path).select("id").distinct().count() == 1300
+    # died while the folders were swapped
+    partials.mark(spark, path, None)
+    scratch.delete(spark, f"{path}/_hours")
+    counts_agree(spark, path)
+    sinks.append_logs(spark, spread(spark, 100, 1000), path)
+    assert partials.whole(spark, path) and readers.read_table(spark, path).select("id").distinct().count() == 1400
+    counts_agree(spark, path)
+    partials.compact(spark, str(tmp_path / "none"))  # nothing there
+
+
 def test_different_addresses_of_any_range(spark, tmp_path):
     path, at = str(tmp_path / "log"), lambda **x: DAY + timedelta(**x)
     for k in range(3):
