@@ -7,9 +7,9 @@ only classes meet in buckets:
 
 1. each member of a bucket is held against the bucket's smallest member;
 2. links so found are joined to components;
-3. in buckets where other members still lie in different components, these are compared block by block. Of two similar
-   sets the least hashes of each (a fourth of it, and one) hold the least hash that they share: only such pairs are
-   looked at, and held against each other's hashes.
+3. in buckets where other members still lie in different components, these are compared block by block: the hashes that two
+   sets share are counted for all pairs at once, as a product of matrices. Of sets too large to be sent whole the
+   least hashes are (a fourth, and one, at least: of two similar sets these hold the least hash that they share).
 
 So every pair that shares a bucket is either held against its sets, ruled out by what similar sets must have, or
 already in one component; estimates decide nothing, and only the bands can lose a pair. No task emits the pairs of a large group of
@@ -109,6 +109,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 SKETCH = 1024  # least hashes of a set that go into step 3: all of most sets, and of others at least what prefix() asks for
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+HASHES = 4096  # columns of a product of blocks
 
 
 def prefix(n, percent: int):
@@ -116,65 +117,61 @@ def prefix(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def pairs_by_prefix(heads: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> np.ndarray:
-    """rows x cols: whether the prefixes of two sets share a hash. Pairs that don't are not similar, whatever else the sets hold."""
-    out = np.zeros((len(rows), len(cols)), bool)
-    taken = [[heads[i][: prefix(int(sizes[i]), percent)] for i in of] for of in (rows, cols)]
-    x, y = ((np.concatenate(t), np.repeat(np.arange(len(t)), [len(h) for h in t])) for t in taken)
+def overlaps(heads: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """rows x cols: how many hashes two heads share. Exact: products of 0 and 1 add up below 2^24."""
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    x, y = ((np.concatenate([heads[i] for i in of]), np.repeat(np.arange(len(of)), [len(heads[i]) for i in of])) for of in (rows, cols))
     both = np.intersect1d(x[0], y[0])
     found = []
     for h, of in (x, y):
-        at = np.searchsorted(both, h)
-        at[at == len(both)] = 0
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
         ok = both[at] == h if len(both) else np.zeros(len(h), bool)
         order = np.argsort(at[ok], kind="stable")
-        found.append((np.searchsorted(at[ok][order], np.arange(len(both) + 1)), of[ok][order]))
-    (a, i), (b, j) = found
-    for k in range(len(both)):
-        out[np.ix_(i[a[k] : a[k + 1]], j[b[k] : b[k + 1]])] = True
-    return out
-
-
-def _links(i: int, others: np.ndarray, heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the others, those similar to i, and those that their heads can neither confirm nor rule out."""
-    low, high = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-    others = others[100 * low >= percent * high]
-    small = others[sizes[others] <= SKETCH] if sizes[i] <= SKETCH else others[:0]
-    sure = small
-    if len(small):
-        flat, first = np.concatenate([heads[j] for j in small]), np.cumsum([0, *(len(heads[j]) for j in small[:-1])])
-        at = np.minimum(np.searchsorted(heads[i], flat), len(heads[i]) - 1)
-        both = np.add.reduceat((heads[i][at] == flat).astype(np.int64), first)
-        sure = small[100 * both >= percent * (sizes[i] + sizes[small] - both)]
-    maybe = []
-    for j in others if sizes[i] > SKETCH else others[sizes[others] > SKETCH]:
-        last = min(heads[i][-1] if len(heads[i]) < sizes[i] else ALL, heads[j][-1] if len(heads[j]) < sizes[j] else ALL)
-        x, y = (h[: np.searchsorted(h, last, "right")] for h in (heads[i], heads[j]))  # all of both sets up to there
-        most = len(np.intersect1d(x, y, assume_unique=True)) + min(sizes[i] - len(x), sizes[j] - len(y))
-        if 100 * most >= percent * (sizes[i] + sizes[j] - most):
-            maybe.append(j)
-    return sure, np.array(maybe, np.int64)
+        found.append((at[ok][order], of[ok][order]))
+    if rows is cols:  # a hash of one set only is no one's but its own
+        at, of = found[0]
+        many = np.bincount(at, minlength=len(both)) > 1
+        new = np.cumsum(many) - 1
+        found = [(new[at[many[at]]], of[many[at]])] * 2
+        both = both[many]
+    for start in range(0, len(both), HASHES):
+        parts = []
+        for (at, of), n in zip(found, (len(rows), len(cols)), strict=True):
+            lo, hi = np.searchsorted(at, (start, start + HASHES))
+            m = np.zeros((n, min(HASHES, len(both) - start)), np.float32)
+            m[of[lo:hi], at[lo:hi] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def may_be_similar(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
+    """Whether two sets of n and m hashes can be similar, by their heads a and b."""
+    last = min(a[-1] if len(a) < n else ALL, b[-1] if len(b) < m else ALL)
+    x, y = (h[: np.searchsorted(h, last, "right")] for h in (a, b))  # all of both sets up to there
+    most = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+    return 100 * most >= percent * (n + m - most)
 
 
 def _near(key: tuple, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the components of one or two blocks of a bucket: as many as join them, not all."""
+    """Links between the components of one or two blocks of a bucket: as many as join them, not all. Pairs with a set beyond its head are given if they may be similar."""
     _, left, right = key
     heads, sizes = [np.frombuffer(x, "<u8") for x in pdf["head"]], pdf["n"].to_numpy()
     ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
     comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
-    rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    may = pairs_by_prefix(heads, sizes, rows, cols, percent)
+    rows = np.flatnonzero(block == left)
+    cols = rows if left == right else np.flatnonzero(block == right)
+    both = overlaps(heads, rows, cols)
+    n, m = sizes[rows][:, None], sizes[cols][None]
+    ask = (both > 0) & (comp[rows][:, None] != comp[cols][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     if left == right:
-        may = np.triu(may, 1)
-    found = []
-    for k in np.flatnonzero(may.any(1)):
-        i, other = rows[k], cols[may[k]]
-        other = other[comp[other] != comp[i]]
-        if not len(other):
-            continue
-        sure, maybe = _links(i, other, heads, sizes, percent)
-        found += [(ids[i], ids[j]) for j in maybe]
-        for j in sure:
+        ask = np.triu(ask, 1)
+    whole = (n <= SKETCH) & (m <= SKETCH)
+    sure = ask & whole & (100 * both >= percent * (n + m - both))
+    found = [(ids[rows[i]], ids[cols[j]]) for i, j in zip(*np.nonzero(ask & ~whole), strict=True) if may_be_similar(heads[rows[i]], sizes[rows[i]], heads[cols[j]], sizes[cols[j]], percent)]
+    for k in np.flatnonzero(sure.any(1)):
+        i = rows[k]
+        for j in cols[sure[k]]:
             if comp[j] != comp[i]:
                 found.append((ids[i], ids[j]))
                 comp[comp == comp[j]] = comp[i]
