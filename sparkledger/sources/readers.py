@@ -53,14 +53,18 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
 
 
+def _count_blocks(lines: DataFrame, path: str) -> None:
+    blocks = lines.groupBy("input_file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("input_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.mode("overwrite").parquet(f"{path}/counts")
+
+
 def index_blocks(spark: SparkSession, paths: str | list[str], path: str) -> None:
     """The side table of numbered_lines(): for each block of these files how many lines stand before it, below `counts`; the files
     and the settings that this holds for, below `files` and `splits`. `splits` comes last: without it the index is not there."""
     delete_folder(spark, f"{path}/splits")
     lines = _blocks(spark, paths)
-    blocks = lines.groupBy("input_file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("input_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.mode("overwrite").parquet(f"{path}/counts")
+    _count_blocks(lines, path)
     _files(spark, paths).write.mode("overwrite").parquet(f"{path}/files")
     spark.createDataFrame([(_splits(spark, lines),)], "splits string").coalesce(1).write.mode("overwrite").parquet(f"{path}/splits")
 
@@ -81,7 +85,9 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], index: str | Non
     settings scans once, and where files or settings are others the index is made anew. A line that doesn't belong where
     its block's counts say is an error, never a wrong number: so are files that change between the scans."""
     kept = index or scratch.new(spark, "line-blocks")
-    if not (index and index_holds(spark, paths, kept)):
+    if not index:
+        _count_blocks(_blocks(spark, paths), kept)
+    elif not index_holds(spark, paths, kept):
         index_blocks(spark, paths, kept)
     blocks = spark.read.schema("input_file string, block long, n long, first long, before long").parquet(f"{kept}/counts")
     if blocks.count() <= BROADCAST_BLOCKS:

@@ -120,9 +120,12 @@ def stream_alerts(spark: SparkSession, folder: str, out: str, checkpoint: str, t
     reader = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
     lines = reader.text(folder).select(F.make_valid_utf8("value").alias("value"))
     logs = extract.parse_lines(lines, "value", year).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
-    before = spark.conf.get(*STORE)
+    before = spark.conf.get(STORE[0], None)
     spark.conf.set(*STORE)  # a query keeps the settings that it starts under
     try:
         return alerts(logs, threshold, length, slide).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(STORE[0], before)
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)

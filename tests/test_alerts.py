@@ -72,12 +72,14 @@ def test_alerts_of_random_batches_are_the_episodes(spark, tmp_path):
 
 def test_one_run_gives_the_episodes(spark, tmp_path):
     rng = random.Random(5)
+    store = spark.conf.get(alerts.STORE[0], None)
     write(tmp_path / "in", "a.log", [(rng.randrange(600), f"10.0.0.{rng.randrange(5)}") for _ in range(300)])
     for length, slide in (("10 minutes", "1 minute"), ("10 minutes", "4 minutes")):
         at = tmp_path / slide[0]
         at.mkdir()
         (at / "in").symlink_to(tmp_path / "in")
         assert runs(spark, at, threshold=4, length=length, slide=slide) == [(ip, s, n) for ip, s, _, n in batch(spark, tmp_path, threshold=4, length=length, slide=slide)] != []
+    assert spark.conf.get(alerts.STORE[0], None) == store  # the session is as it was
 
 
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 3)), max_size=25), st.integers(1, 4), st.integers(1, 8), st.integers(1, 4))
