@@ -48,8 +48,9 @@ def typed_timestamp(text: Column, year: int = 1970) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for c, p in shapes]).cast("timestamp_ntz")
 
 
-def ip_address(line: Column) -> Column:
-    return F.when(line.rlike(r"\d\.\d"), _found(line, IPV4))
+def ip_address(line: Column, pattern: str = IPV4) -> Column:
+    """The first group of the first match. A pattern other than IPV4 is for logs whose addresses are not IPv4 ones."""
+    return F.when(line.rlike(r"\d\.\d"), _found(line, IPV4)) if pattern == IPV4 else _found(line, pattern)
 
 
 def operation(line: Column, upper: Column | None = None) -> Column:
@@ -94,9 +95,9 @@ def source_file(line: Column) -> Column:
     return F.when(line.rlike(r"\.(?:log|py|java|go|js|ts)"), _found(line, SOURCE))
 
 
-def parse_line(line: Column, upper: Column | None = None) -> dict[str, Column]:
+def parse_line(line: Column, upper: Column | None = None, address: str = IPV4) -> dict[str, Column]:
     return {
-        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line), "username": username(line, upper), "operation": operation(line, upper),
+        "timestamp_text": timestamp_text(line), "ip_address": ip_address(line, address), "username": username(line, upper), "operation": operation(line, upper),
         "operation_result": operation_result(line), "detail": detail(line), "severity": severity(line, upper), "source_file": source_file(line), "raw_line": line,
     }
 
@@ -106,12 +107,12 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
 
 
-def parse_lines(df: DataFrame, line: str, year: int = 1970) -> DataFrame:
-    """The fields of every non-blank line, after the other columns; columns of the same names give way."""
+def parse_lines(df: DataFrame, line: str, year: int = 1970, address: str = IPV4) -> DataFrame:
+    """The fields of every non-blank line, after the other columns; columns of the same names give way. `address`: see ip_address()."""
     names = [*parse_line(F.col(line)), "timestamp"]
     # explode() holds the stripped line, and the line in capitals, fast: each is computed once
     rows = df.withColumn("__line", F.explode(F.array(stripped(F.col(line))))).filter(F.length("__line") > 0)
     rows = rows.withColumn("__upper", F.explode(F.array(F.upper("__line"))))
     rest = [c for c in df.columns if c not in names and c != line]
-    rows = rows.select(*rest, *[c.alias(k) for k, c in parse_line(F.col("__line"), F.col("__upper")).items()])
+    rows = rows.select(*rest, *[c.alias(k) for k, c in parse_line(F.col("__line"), F.col("__upper"), address).items()])
     return rows.withColumn("timestamp", typed_timestamp(F.col("timestamp_text"), year))

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import extract
 from ..operators import anomaly, search, triage
 from ..sources import readers, scratch, sinks
 
 
-def log_report(spark: SparkSession, paths: list[str], out: str, threshold: int = 5, fmt: str = "auto", sql: bool = False, sections: bool = False, suspicious_csv: bool = True) -> dict[str, str]:
+def log_report(spark: SparkSession, paths: list[str], out: str, threshold: int = 5, fmt: str = "auto", sql: bool = False, sections: bool = False, suspicious_csv: bool = True, address: str = extract.IPV4) -> dict[str, str]:
     """Parse, detect, report, export; returns where each output stands.
 
     The report is written whole, as text files in order below `report_text`: every failed operation and every suspicious
-    address, however many. preview() gives its first lines as one text. The log is read once for all counts."""
+    address, however many. preview() gives its first lines as one text. The log is read once for all counts.
+    `address`: see extract.ip_address()."""
     if threshold < 1:
         raise ValueError("the threshold starts at 1")
     written = {"report_text": f"{out}/report_text"}
     with scratch.owned(spark):
-        logs = readers.read_logs(spark, paths, fmt)
+        logs = readers.read_logs(spark, paths, fmt, address=address)
         found = anomaly.report(logs, threshold)
         sinks.write_ordered_text(anomaly.report_lines(found, threshold), written["report_text"], anomaly.ORDER)
         if suspicious_csv:
@@ -56,9 +58,9 @@ def report_sections(spark: SparkSession, found: dict[str, DataFrame]) -> dict[st
     return {"Summary": summary, "Suspicious_IPs": or_note(found["suspicious"], "未发现可疑 IP", suspects), "Fail_Distribution": or_note(operations, "无失败操作", failed), "Severity": levels}
 
 
-def load_and_search(spark: SparkSession, paths: list[str], table: str, number: int = 1, size: int = 20, **filters) -> tuple[dict[str, int], DataFrame]:
-    """Parse, append to the log table, and look."""
-    sinks.append_logs(spark, readers.log_fields(readers.read_logs(spark, paths)), table)
+def load_and_search(spark: SparkSession, paths: list[str], table: str, number: int = 1, size: int = 20, address: str = extract.IPV4, **filters) -> tuple[dict[str, int], DataFrame]:
+    """Parse, append to the log table, and look. `address`: see extract.ip_address()."""
+    sinks.append_logs(spark, readers.log_fields(readers.read_logs(spark, paths, address=address)), table)
     return search.envelope(readers.read_table(spark, table), number, size, **filters)
 
 

@@ -31,10 +31,10 @@ def sliding_brute_force(logs: DataFrame, threshold: int = 5, length: str = "10 m
     return found.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "ip_address", "failed_attempts", anomaly.tier(F.col("failed_attempts"), threshold).alias("risk_level"))
 
 
-def stream_detect(spark: SparkSession, folder: str, out: str, checkpoint: str, threshold: int = 5, length: str = "10 minutes", slide: str = "1 minute", late: str = "10 minutes", year: int = 1970) -> StreamingQuery:
-    """Read what lies in a folder of text logs, and what came since the last call; append windows that are over."""
+def stream_detect(spark: SparkSession, folder: str, out: str, checkpoint: str, threshold: int = 5, length: str = "10 minutes", slide: str = "1 minute", late: str = "10 minutes", year: int = 1970, address: str = extract.IPV4) -> StreamingQuery:
+    """Read what lies in a folder of text logs, and what came since the last call; append windows that are over. `address`: see extract.ip_address()."""
     lines = spark.readStream.text(folder).select(F.make_valid_utf8("value").alias("value"))
     # watermarks take timestamps with a zone only
-    logs = extract.parse_lines(lines, "value", year).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    logs = extract.parse_lines(lines, "value", year, address).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     found = sliding_brute_force(logs, threshold, length, slide)
     return found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sparkledger.functions import extract
 from sparkledger.operators import anomaly, search, stats
 from sparkledger.plans import pipelines, queries
 from sparkledger.sources import partials, readers, scratch, sinks
@@ -316,3 +317,23 @@ def test_different_addresses_of_any_range(spark, tmp_path):
     assert scans_of(spark, f"{path}]", lambda: partials.unique_ips(spark, path, at(hours=5, minutes=1), at(days=4)).collect()) == 1
     got = partials.active_ips(spark, path, at(days=4))
     assert near(got, stats.active_ips(readers.read_table(spark, path), "2025-01-19 00:00:00").first()[0])
+
+
+@pytest.mark.parametrize("name", ["load_and_search_job", "log_report_job", "stream_brute_force", "stream_alerts"])
+def test_jobs_over_text_keep_addresses_of_any_user(spark, tmp_path, name):
+    """From user 12800 on the third number of an address is over 255."""
+    duckdb = pytest.importorskip("duckdb")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("user_id", F.col("user_id") + 12_800).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert want
+
+
+def test_addresses_are_ipv4_unless_a_pattern_is_given(spark):
+    lines = spark.createDataFrame([("10.0.255.7 LOGIN",), ("10.0.256.7 LOGIN",)], "line string")
+    assert [r["ip_address"] for r in extract.parse_lines(lines, "line").collect()] == ["10.0.255.7", None]
+    assert [r["ip_address"] for r in extract.parse_lines(lines, "line", address=queries.ADDRESS).collect()] == ["10.0.255.7", "10.0.256.7"]
