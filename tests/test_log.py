@@ -235,3 +235,28 @@ def test_no_python_in_plans(spark):
     log = logins(spark)
     for df in (anomaly.brute_force(log), stats.report_counts(log), search.page(log, 1)):
         assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_long_pages_are_those_by_order(spark, monkeypatch):
+    """Null times and ids, and rows of one key at the ends of pages."""
+    monkeypatch.setattr(search, "TOP", 3)
+    rows = [(None if i % 7 == 3 else i // 4, None if i % 5 == 0 else DAY + timedelta(microseconds=i // 3)) for i in range(60)]
+    logs = frame(spark, [(i, t, "10.0.0.1", "u", "LOGIN", "FAIL", None, "WARN", None) for i, t in rows])
+    key = lambda r: (r[1] is None, -(r[1] - DAY) // timedelta(microseconds=1) if r[1] else 0, r[0] is None, -(r[0] or 0))
+    want = sorted(rows, key=key)
+    for size in (7, 20, 59, 60, 61):
+        got = [(r["id"], r["timestamp"]) for n in range(1, 60 // size + 2) for r in search.page(logs, n, size).collect()]
+        assert got == want
+    for at in (0, 11, 30, 50):
+        later = [r for r in want if key(r) > key(want[at])]
+        for size in (5, 20, 100):
+            assert [(r["id"], r["timestamp"]) for r in search.keyset_page(logs, want[at][::-1], size).collect()] == later[:size]
+    assert search.page(logs, 9, 20).collect() == []
+
+
+def test_no_task_takes_a_long_page(spark, capsys):
+    logs = frame(spark, [(1, DAY, "10.0.0.1", "u", "LOGIN", "FAIL", None, "WARN", None)]).drop("id").crossJoin(spark.range(30_000))
+    for page in (search.page(logs, 1, 20_000), search.keyset_page(logs, (DAY, 29_000), 20_000), search.page(logs, 2, 12_000)):
+        page.explain()
+        assert not [w for w in ("TakeOrdered", "GlobalLimit", "CollectLimit") if w in capsys.readouterr().out]
+        assert page.count() in (20_000, 12_000)
