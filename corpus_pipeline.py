@@ -38,8 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
 
     Of rows that repeat an id one stays, the first in the order of all columns."""
-    kept = common.table(spark, minhash.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    stay = docs.select(*COLUMNS).join(kept.filter("doc_id IS NOT NULL"), "doc_id")
+    # the text is dealt out once: the operator and the join below read it where it lies
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with_id = common.bucketed(spark, docs.select(*COLUMNS).filter("doc_id IS NOT NULL").repartition(n, "doc_id"), "documents-by-id", "doc_id")
+    kept = common.table(spark, minhash.near_duplicates(with_id).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    stay = with_id.join(kept, "doc_id")
     single = stay.filter("n = 1").select(*COLUMNS)
     repeated = stay.filter("n > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
     return single.unionByName(repeated).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))

@@ -101,8 +101,12 @@ def _set_bytes(batches, words: int):
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; full: id, set."""
-    one = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    """The pairs (a, b) whose sets are similar; full: id, set, in buckets by id: only the sets on the left are dealt out, with the pairs."""
+    spark = full.sparkSession
+    pairs = common.table(spark, pairs, "minhash-pairs")
+    # a table, not a join, meets the pairs: Spark can then split a set that very many pairs ask for
+    left = common.table(spark, full.join(pairs.select(F.col("a").alias("id")).distinct(), "id"), "minhash-left-sets")
+    one = pairs.join(left.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
@@ -232,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     stars = member.filter("id > center").filter(alike).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
 
     wanted = member.select("id").distinct()
-    full = common.table(spark, docs.join(wanted, "id").mapInArrow(partial(_set_bytes, words=words), "id long, set binary"), "minhash-sets")
+    full = common.bucketed(spark, docs.join(wanted, "id").mapInArrow(partial(_set_bytes, words=words), "id long, set binary"), "minhash-sets", "id")
     # the classes that an id with several sets lies in are one: the id is linked with the smallest of each
     named = rows.filter("id IS NOT NULL AND n > 0").select("id", "of")
     several = named.join(named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "id")

@@ -74,3 +74,21 @@ def test_hostile_rows_through_all_stages(spark, tmp_path):
         assert (docs.count() > 5) == (n > 0)
         ids = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/{k}-MinHash near-dedup").collect() if r["doc_id"] is not None]
         assert len(ids) == len(set(ids)) and (n == 0 or 0 in ids and not {50, 51} & set(ids))
+
+
+def test_near_dedup_deals_out_no_text_after_its_buckets(spark, tmp_path):
+    """Only the ids that stay are dealt out to meet the texts."""
+    rows = [(i, f"{'the same words in every text of a pair ' * 3}{i // 2} {i // 2 * 7} {i // 2 * 13}", "en", "web", 100) for i in range(40)] + [(None, "no id " * 20, "en", "web", 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, before = spark.read.parquet(str(tmp_path / "docs")), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = p.near_dedup(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert sum("Exchange hashpartitioning(doc_id" in line for line in plan.split("\n")) == 2  # once for each branch of the union, of kept ids
+        got = out.select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r for r in got if r["doc_id"] is None] and len(got) == len({r["doc_id"] for r in got})
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("documents_by_id", "minhash_sets"))]
