@@ -2,7 +2,7 @@
 
 Corners are found at several scales of each picture, at most `CORNERS` of each scale, the strongest; each gets an
 orientation (the intensity centroid of its patch) and 128 binary tests turned by it. Descriptors meet in seven Hamming
-tables of 18 or 20 bits, looked up with every value one bit off as well: two at distance 13 or less
+tables of 18 or 20 bits, where the queries are listed under every value one bit off as well: two at distance 13 or less
 meet in at least one table, as one of seven parts then differs in one bit at most. The stated queries
 are held against all rows in blocks of about `BLOCK` pictures: for each block its corners are broadcast, the corners of
 all pictures are read once where they lie, the pairs found are written, and the broadcast is given back, so neither
@@ -43,8 +43,9 @@ VOTES = 6
 PLACES = 4  # that the corners of a copy stand in, at least
 NEAR = 3  # pixels
 TURN = 0.5  # radians that the orientation of a corner may be off
-AT_ONCE = 1 << 20  # pairs of corners compared in one step
+AT_ONCE = 1 << 16  # pairs of corners compared in one step
 BLOCK = 2000  # query pictures at once
+TOGETHER = 4096  # pictures held against them at once
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 _TURNS = 72
 
@@ -162,8 +163,9 @@ def shrink(stack: np.ndarray, scale: float) -> np.ndarray:
 def box(a: np.ndarray) -> np.ndarray:
     """Sums over squares of side 3, zero beyond the edge."""
     for axis in (1, 2):
-        s, upto, after = a.copy(), (slice(None),) * axis + (slice(None, -1),), (slice(None),) * axis + (slice(1, None),)
-        s[after] += a[upto]
+        s, upto, after, first = np.empty_like(a), *((slice(None),) * axis + (x,) for x in (slice(None, -1), slice(1, None), slice(1)))
+        s[first] = a[first]
+        np.add(a[after], a[upto], out=s[after])
         s[upto] += a[after]
         a = s
     return a
@@ -288,37 +290,68 @@ def keys(c: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def tables(c: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """For each table the corners in order of value, where each value starts, and both words in that order."""
+def tables(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table the corners in order of value, and their values."""
     out = []
-    for key, (_, n) in zip(keys(c), PARTS, strict=True):
+    for key in keys(c):
         order = np.argsort(key, kind="stable")
-        out.append((order, np.concatenate([[0], np.bincount(key, minlength=1 << n).cumsum()]), c["a"][order], c["b"][order]))
+        out.append((order, key[order]))
     return out
 
 
+def _around(order: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of n bits where its list starts, and the lists: corners of this value, then those one bit off, bit by bit."""
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    value, many = key[new], np.diff(new, append=len(key))
+    rank = np.arange(len(key)) - np.repeat(new, many)
+    flips = [0, *(1 << k for k in range(n))]
+    start = np.concatenate([[0], np.bincount(np.concatenate([key ^ x for x in flips]), minlength=1 << n).cumsum()])
+    free, listed = start[:-1].copy(), np.empty(start[-1], np.int32)
+    for x in flips:
+        listed[free[key ^ x] + rank] = order
+        free[value ^ x] += many
+    return start, listed
+
+
+def _width(many: int) -> int:
+    """Of the window in which a list of so many corners is compared: at most a quarter more."""
+    step = 1 << max(0, many.bit_length() - 3)
+    return -(-many // step) * step
+
+
 def meet(c: np.ndarray, asked: np.ndarray, index: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corners of c and of the queries within `most` bits: all of those within 13, each pair once."""
+    """Corners of c and of the queries within `most` bits: all of those within 13, each pair once.
+
+    Of each table the queries are listed under all values one bit off, so that a corner has one list there. Corners are taken in order of
+    the lengths of their lists: windows of one width over the lists hold what is compared, and nothing is made for a pair but the bits
+    in which it differs. Lists of one table are held at a time."""
     met = []
-    a, b = c["a"].copy(), c["b"].copy()
-    for key, (_, n), (order, start, qa, qb) in zip(keys(c), PARTS, index, strict=True):
-        probe = (key[:, None] ^ np.array([0, *(1 << k for k in range(n))])).reshape(-1)
-        count = start[probe + 1] - start[probe]
-        hit = np.flatnonzero(count)
-        ends = count[hit].cumsum()
+    a, b, qa, qb = (x[w].copy() for x in (c, asked) for w in "ab")
+    for key, (_, n), of in zip(keys(c), PARTS, index, strict=True):
+        start, listed = _around(*of, n)
+        first, count = start[key], start[key + 1] - start[key]
+        by = np.lexsort((key, count))
+        by = by[np.searchsorted(count[by], 1) :]
+        count, first = count[by], first[by]
+        room = np.zeros(_width(int(count[-1])) if len(by) else 0, np.uint64)  # for the last windows
+        la, lb = (np.concatenate([q[listed], room]) for q in (qa, qb))
         done = 0
-        while done < len(hit):  # runs of about AT_ONCE pairs
-            base = ends[done - 1] if done else 0
-            stop = max(done + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
-            part = hit[done:stop]
-            many = count[part]
-            at = np.arange(many.sum()) + np.repeat(start[probe[part]] - (ends[done:stop] - many - base), many)
-            i = np.repeat(part // (n + 1), many)
-            bits = np.bitwise_count(a[i] ^ qa[at])
-            ok = np.flatnonzero(bits <= most)
-            i, at = i[ok], at[ok]
-            ok = bits[ok] + np.bitwise_count(b[i] ^ qb[at]) <= most
-            met.append(i[ok] * len(asked) + order[at[ok]])
+        while done < len(by):
+            width = _width(int(count[done]))
+            stop = int(np.searchsorted(count, width, "right"))
+            wa, wb = (np.lib.stride_tricks.sliding_window_view(x, width) for x in (la, lb))
+            rows = max(1, AT_ONCE // width)
+            for k in range(done, stop, rows):
+                i, at = by[k : min(stop, k + rows)], first[k : min(stop, k + rows)]
+                xa, xb = wa[at], wb[at]
+                xa ^= a[i, None]
+                xb ^= b[i, None]
+                bits = np.bitwise_count(xa)
+                bits += np.bitwise_count(xb)
+                row, col = np.divmod(np.flatnonzero(bits.reshape(-1) <= most), width)
+                own = col < count[k + row]
+                row, col = row[own], col[own]
+                met.append(i[row] * len(asked) + listed[at[row] + col])
             done = stop
     pair = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
     return pair // max(len(asked), 1), pair % max(len(asked), 1)
@@ -360,8 +393,8 @@ def _met(batches, block):
     for batch in batches:
         pictures = list(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items())  # each once
         out = []
-        for k in range(0, len(pictures), 32):
-            part = [np.frombuffer(x, CORNER) for _, x in pictures[k : k + 32]]
+        for k in range(0, len(pictures), TOGETHER):
+            part = [np.frombuffer(x, CORNER) for _, x in pictures[k : k + TOGETHER]]
             c, pic = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
             i, j = meet(c, asked, index, MOST)
             pair = pic[i] * len(ids) + of[j]

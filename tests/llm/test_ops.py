@@ -652,6 +652,27 @@ def test_corners_meet_as_by_brute_force():
         assert set(zip(*(x.tolist() for x in media.meet(near, asked, media.tables(asked), most)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= most)), strict=True))
 
 
+def test_corners_of_crowded_values_meet_in_small_steps():
+    """Queries that share a value of one table: every pair is held against the other, few at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    asked, near = np.zeros(3000, media.CORNER), np.zeros(1000, media.CORNER)
+    for c in (asked, near):
+        for w in "ab":
+            c[w] = rng.integers(0, 1 << 63, len(c), dtype=np.uint64)
+        c["a"] &= ~np.uint64((1 << 18) - 1)
+    near["a"][:500], near["b"][:500] = asked["a"][:500] ^ np.uint64(1 << 40), asked["b"][:500] ^ np.uint64(6)
+    index = media.tables(asked)
+    tracemalloc.start()
+    i, j = media.meet(near, asked, index, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    d = np.bitwise_count(near["a"][:, None] ^ asked["a"]).astype(int) + np.bitwise_count(near["b"][:, None] ^ asked["b"])
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= 40)), strict=True))
+
+
 def test_media_blurred(spark):
     own = [media.render(b"%d" % i) for i in range(60)]
     rows = [(2 * i + k, 96, x.tobytes()) for i, p in enumerate(own) for k, x in enumerate((p, (media.box(p[None].astype(np.float32))[0] / 9).astype(np.uint8)))]
