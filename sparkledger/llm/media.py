@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -44,8 +45,9 @@ PLACES = 4  # that the corners of a copy stand in, at least
 NEAR = 3  # pixels
 TURN = 0.5  # radians that the orientation of a corner may be off
 AT_ONCE = 1 << 16  # pairs of corners compared in one step
+CROWD = 1 << 13  # pairs under one value of a table, from which they are compared by themselves
 BLOCK = 2000  # query pictures at once
-TOGETHER = 4096  # pictures held against them at once
+TOGETHER = 8192  # pictures held against them at once
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 _TURNS = 72
 
@@ -156,8 +158,14 @@ def shrink(stack: np.ndarray, scale: float) -> np.ndarray:
     y, x = ((np.arange(k) + 0.5) / scale - 0.5 for k in (n, m))
     y0, x0 = np.clip(y.astype(int), 0, stack.shape[1] - 2), np.clip(x.astype(int), 0, stack.shape[2] - 2)
     fy, fx = (y - y0).astype(np.float32)[:, None], (x - x0).astype(np.float32)[None]
-    rows = stack[:, y0] * (1 - fy) + stack[:, y0 + 1] * fy
-    return rows[:, :, x0] * (1 - fx) + rows[:, :, x0 + 1] * fx
+    for axis, at, f in ((1, y0, fy), (2, x0, fx)):
+        here, after = ((slice(None),) * axis + (k,) for k in (at, at + 1))
+        out, other = stack[here], stack[after]
+        out *= 1 - f
+        other *= f
+        out += other
+        stack = out
+    return np.ascontiguousarray(stack)
 
 
 def box(a: np.ndarray) -> np.ndarray:
@@ -171,43 +179,76 @@ def box(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def _sums(flat: np.ndarray, width: int) -> np.ndarray:
+    """Sums over squares of side 3 of rows that lie one after another, from the first square's middle to the last's: as box()
+    away from the edges, where squares run on into other rows."""
+    for step in (width, 1):
+        out = flat[step:-step] + flat[: -2 * step]
+        out += flat[2 * step :]
+        flat = out
+    return flat
+
+
+def _highest(flat: np.ndarray, step: int) -> np.ndarray:
+    """The largest of five values this far apart, from the first one's middle to the last's."""
+    two = np.maximum(flat[:-step], flat[step:])
+    four = np.maximum(two[: -2 * step], two[2 * step :])
+    return np.maximum(four[:-step], flat[4 * step :], out=four[:-step])
+
+
 def corners(stack: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """Picture, row and column of the strongest corners of each picture, away from the edge."""
-    gy, gx = np.zeros_like(stack), np.zeros_like(stack)
-    np.subtract(stack[:, 2:], stack[:, :-2], out=gy[:, 1:-1])
-    np.subtract(stack[:, :, 2:], stack[:, :, :-2], out=gx[:, :, 1:-1])
-    a, b, c = box(gy * gy), box(gx * gx), box(gx * gy)
-    r = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+    """Picture, row and column of the strongest corners of each picture, away from the edge.
+
+    Only what lies away from the edge is computed, with two pixels more at each side: rows one after another, so that a neighbour is a step in one row of numbers."""
     edge = RADIUS + 3
-    r[:, :edge], r[:, -edge:], r[:, :, :edge], r[:, :, -edge:] = 0, 0, 0, 0
-    top = r.copy()
-    for d in (1, 2):
-        for x, y in (((slice(d, None),), (slice(None, -d),)), ((slice(None), slice(d, None)), (slice(None), slice(None, -d)))):
-            x, y = (slice(None), *x), (slice(None), *y)
-            np.maximum(top[x], r[y], out=top[x])
-            np.maximum(top[y], r[x], out=top[y])
-    n, h, w = r.shape
-    at = np.flatnonzero((r >= top) & (r > 1e4))
+    part = np.ascontiguousarray(stack[:, edge - 2 : 2 - edge, edge - 2 : 2 - edge])
+    n, h, w = part.shape
+    if min(h, w) <= 4:
+        return (np.zeros(0, np.int64),) * 3
+    f = part.reshape(-1)
+    gx, gy = f[w + 1 : 1 - w] - f[w - 1 : -1 - w], f[2 * w :] - f[: -2 * w]
+    c = _sums(gx * gy, w)
+    gx *= gx
+    gy *= gy
+    a, b = _sums(gy, w), _sums(gx, w)
+    inner = slice(2 * w + 1, -2 * w - 1)
+    r = np.zeros_like(part)
+    both = a + b
+    both *= both
+    both *= np.float32(0.05)
+    c *= c
+    a *= b
+    a -= c
+    np.subtract(a, both, out=r.reshape(-1)[inner])
+    r[:, :2], r[:, -2:], r[:, :, :2], r[:, :, -2:] = 0, 0, 0, 0
+    r = r.reshape(-1)
+    inner = r[2 * w : -2 * w]
+    top = inner > 1e4
+    top &= inner >= _highest(r, w)
+    top &= inner >= _highest(r[2 * w - 2 : 2 - 2 * w], 1)
+    at = np.flatnonzero(top) + 2 * w
     i = at // (h * w)
-    order = np.lexsort((-r.reshape(-1)[at], i))
+    order = np.lexsort((-r[at], i))
     at, i = at[order] % (h * w), i[order]
     ok = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < most
-    return i[ok], at[ok] // w, at[ok] % w
+    return i[ok], at[ok] // w + edge - 2, at[ok] % w + edge - 2
 
 
 def descriptor(img: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, at_turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Orientation and bits of the corners of a stack of pictures."""
     h, w = img.shape[1:]
-    at = (i * h + y) * w + x
-    patch = img.reshape(-1)[at[:, None] + (_DISC[:, 0] * w + _DISC[:, 1])]
+    at = ((i * h + y) * w + x)[:, None]
+    patch = img.reshape(-1)[at + (_DISC[:, 0] * w + _DISC[:, 1])].astype(np.float64)
     angle = np.arctan2((patch * _DISC[:, 0]).sum(1), (patch * _DISC[:, 1]).sum(1))
     turn = np.rint(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-    off, soft = at_turn[..., ::2] * w + at_turn[..., 1::2], box(img).reshape(-1)
-    bits = np.empty((len(at), off.shape[1]), bool)
-    for k in range(0, len(at), 4096):
-        place = at[k : k + 4096, None, None] + off[turn[k : k + 4096]]
-        bits[k : k + 4096] = soft[place[..., 0]] < soft[place[..., 1]]
-    return angle, bits
+    at -= w + 1  # where sums begin
+    soft = _sums(img.reshape(-1), w)
+    sides = []
+    for k in (0, 2):
+        place = (at_turn[..., k] * w + at_turn[..., k + 1])[turn]
+        place += at
+        sides.append(soft[place])
+    return angle, sides[0] < sides[1]
 
 
 def describe(stack: np.ndarray, at_turn: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -254,7 +295,7 @@ CORNER = np.dtype([("scale", "u1"), ("y", "<i4"), ("x", "<i4"), ("angle", "<f4")
 PARTS = ((0, 18), (18, 18), (36, 18), (54, 20), (74, 18), (92, 18), (110, 18))
 
 
-def _features(batches, tests: np.ndarray, at_once: int = 8):
+def _features(batches, tests: np.ndarray, at_once: int = 16):
     """A row per page: the digest of its picture, null if it has none, and its corners. Equal pictures of a batch are described once."""
     at_turn = turned(tests)
     for batch in batches:
@@ -279,15 +320,13 @@ def _features(batches, tests: np.ndarray, at_once: int = 8):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array([found[of] for of in digest], pa.binary())], names=["page_id", "of", "corners"])
 
 
-def keys(c: np.ndarray) -> list[np.ndarray]:
-    """The value of each corner in each table."""
-    out = []
+def keys(c: np.ndarray) -> Iterator[np.ndarray]:
+    """The value of each corner, table by table."""
     for first, n in PARTS:
         v = c["a"] >> np.uint64(first) if first < 64 else c["b"] >> np.uint64(first - 64)
         if first < 64 < first + n:
             v = v | (c["b"] << np.uint64(64 - first))
-        out.append((v & np.uint64((1 << n) - 1)).astype(np.int64))
-    return out
+        yield (v & np.uint64((1 << n) - 1)).astype(np.int64)
 
 
 def tables(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -319,22 +358,56 @@ def _width(many: int) -> int:
     return -(-many // step) * step
 
 
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Where a row of booleans, few of them true, is true: eight are looked at in one step."""
+    whole = len(mask) // 8 * 8
+    eight = np.flatnonzero(mask[:whole].view(np.uint64) != 0)
+    at = np.flatnonzero(mask[:whole].reshape(-1, 8)[eight])
+    return np.concatenate([eight[at >> 3] * 8 + (at & 7), np.flatnonzero(mask[whole:]) + whole])
+
+
 def meet(c: np.ndarray, asked: np.ndarray, index: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Corners of c and of the queries within `most` bits: all of those within 13, each pair once.
 
-    Of each table the queries are listed under all values one bit off, so that a corner has one list there. Corners are taken in order of
+    Of each table the queries are listed under all values one bit off, so that a corner has one list there. Where many pairs meet under
+    one value, its corners are held against its list where that lies; the others are taken in order of
     the lengths of their lists: windows of one width over the lists hold what is compared, and nothing is made for a pair but the bits
     in which it differs. Lists of one table are held at a time."""
-    met = []
+    met = [np.zeros(0, np.int64)]
     a, b, qa, qb = (x[w].copy() for x in (c, asked) for w in "ab")
+
+    def near(i, xa, xb):
+        """Corner by corner of i where it is within `most` bits of its row of the list, or of the one row there is."""
+        shape = len(i), xa.shape[-1]
+        x, bits, more, few = (room[: shape[0] * shape[1]].reshape(shape) for room in rooms)
+        np.bitwise_count(np.bitwise_xor(xa, a[i, None], out=x), out=bits)
+        np.bitwise_count(np.bitwise_xor(xb, b[i, None], out=x), out=more)
+        bits += more
+        return np.divmod(_true(np.less_equal(bits, most, out=few).reshape(-1)), shape[1])
+
     for key, (_, n), of in zip(keys(c), PARTS, index, strict=True):
         start, listed = _around(*of, n)
-        first, count = start[key], start[key + 1] - start[key]
-        by = np.lexsort((key, count))
-        by = by[np.searchsorted(count[by], 1) :]
-        count, first = count[by], first[by]
-        room = np.zeros(_width(int(count[-1])) if len(by) else 0, np.uint64)  # for the last windows
-        la, lb = (np.concatenate([q[listed], room]) for q in (qa, qb))
+        many = np.diff(start)
+        by = np.argsort((many[key] << n) + key)  # by the lengths of the lists, then by value
+        key = key[by]
+        by, key = (x[np.searchsorted(many[key], 1) :] for x in (by, key))
+        if not len(by):
+            continue
+        first, count = start[key], many[key]
+        la, lb = (np.concatenate([q[listed], np.zeros(_width(int(count[-1])), np.uint64)]) for q in (qa, qb))  # with room for the last windows
+        rooms = [np.empty(max(AT_ONCE, _width(int(count[-1]))), t) for t in (np.uint64, np.uint8, np.uint8, bool)]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        corners_of = np.diff(new, append=len(key))
+        crowded = corners_of * count[new] >= CROWD
+        for lo, size in zip(new[crowded].tolist(), corners_of[crowded].tolist(), strict=True):
+            at, width = int(first[lo]), int(count[lo])
+            rows = max(1, AT_ONCE // width)
+            for k in range(lo, lo + size, rows):
+                i = by[k : min(lo + size, k + rows)]
+                row, col = near(i, la[at : at + width], lb[at : at + width])
+                met.append(i[row] * len(asked) + listed[at + col])
+        alone = ~np.repeat(crowded, corners_of)
+        by, first, count = by[alone], first[alone], count[alone]
         done = 0
         while done < len(by):
             width = _width(int(count[done]))
@@ -343,17 +416,13 @@ def meet(c: np.ndarray, asked: np.ndarray, index: list[tuple[np.ndarray, ...]],
             rows = max(1, AT_ONCE // width)
             for k in range(done, stop, rows):
                 i, at = by[k : min(stop, k + rows)], first[k : min(stop, k + rows)]
-                xa, xb = wa[at], wb[at]
-                xa ^= a[i, None]
-                xb ^= b[i, None]
-                bits = np.bitwise_count(xa)
-                bits += np.bitwise_count(xb)
-                row, col = np.divmod(np.flatnonzero(bits.reshape(-1) <= most), width)
+                row, col = near(i, wa[at], wb[at])
                 own = col < count[k + row]
                 row, col = row[own], col[own]
                 met.append(i[row] * len(asked) + listed[at[row] + col])
             done = stop
-    pair = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    pair = np.sort(np.concatenate(met))
+    pair = pair[np.diff(pair, prepend=-1) > 0]
     return pair // max(len(asked), 1), pair % max(len(asked), 1)
 
 

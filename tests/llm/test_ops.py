@@ -673,6 +673,59 @@ def test_corners_of_crowded_values_meet_in_small_steps():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= 40)), strict=True))
 
 
+def test_corners_of_one_value_are_held_against_a_list_where_it_lies(monkeypatch):
+    """Windows, whose content is copied, are for the few pairs of rare values. Lists of odd lengths, shorter and longer than a step, miss nothing."""
+    windows, view = [], np.lib.stride_tricks.sliding_window_view
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda x, width: windows.append(width) or view(x, width))
+    rng = np.random.default_rng(5)
+    for queries, corners in ((3001, 900), (media.AT_ONCE + 3, 2), (9, 1001), (1, 1), (0, 5), (5, 0)):
+        asked, near = np.zeros(queries, media.CORNER), np.zeros(corners, media.CORNER)
+        for c in (asked, near):
+            for w in "ab":
+                c[w] = rng.integers(0, 1 << 63, len(c), dtype=np.uint64)
+            c["a"] &= ~np.uint64((1 << 18) - 1)
+        m = min(queries, corners)
+        near["a"][:m], near["b"][:m] = asked["a"][:m] ^ np.uint64(1 << 40), asked["b"][:m] ^ np.uint64(6)
+        windows.clear()
+        i, j = media.meet(near, asked, media.tables(asked), 45)
+        d = np.bitwise_count(near["a"][:, None] ^ asked["a"]).astype(int) + np.bitwise_count(near["b"][:, None] ^ asked["b"])
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(d <= 45)), strict=True))
+        assert max(windows, default=0) < 1000
+
+
+def test_true_places_of_a_row_of_booleans():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 8, 9, 64, 1003):
+        for share in (0, 0.02, 0.5, 1):
+            mask = rng.random(n) < share
+            assert (media._true(mask) == np.flatnonzero(mask)).all()
+
+
+@pytest.mark.parametrize("h, w", [(96, 96), (23, 200), (60, 22), (24, 24), (21, 21), (20, 50), (9, 30)])
+def test_corners_as_by_whole_pictures(monkeypatch, h, w):
+    """The corners that a computation over whole pictures finds, ties among them, for much less of it."""
+    rng = np.random.default_rng(7)
+    kinds = [rng.integers(0, 256, (h, w)), np.tile(rng.integers(0, 256, (6, 6)), (h // 6 + 1, w // 6 + 1))[:h, :w], np.full((h, w), 9), *(media.warp(media.render(b"w%d" % k), 0, 2.2)[:h, :w] for k in range(3))]
+    stack, edge, want = np.stack(kinds).astype(np.float32), media.RADIUS + 3, []
+    gy, gx = np.zeros_like(stack), np.zeros_like(stack)
+    gy[:, 1:-1], gx[:, :, 1:-1] = stack[:, 2:] - stack[:, :-2], stack[:, :, 2:] - stack[:, :, :-2]
+    a, b, c = media.box(gy * gy), media.box(gx * gx), media.box(gx * gy)
+    r = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+    for k in range(len(r)):
+        found = []
+        for y in range(edge, h - edge):
+            for x in range(edge, w - edge):
+                cross = [(y + d, x) for d in (-2, -1, 1, 2)] + [(y, x + d) for d in (-2, -1, 1, 2)]
+                if r[k, y, x] > 1e4 and all(r[k, p, q] <= r[k, y, x] for p, q in cross if edge <= p < h - edge and edge <= q < w - edge):
+                    found.append((-float(r[k, y, x]), y, x))
+        want += [(k, y, x) for _, y, x in sorted(found)[:24]]
+    seen, highest = [], np.maximum
+    monkeypatch.setattr(np, "maximum", lambda *of, **named: seen.append(of[0].size) or highest(*of, **named))
+    got = media.corners(stack, 24)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+    assert sum(seen) < 5 * stack.size
+
+
 def test_media_blurred(spark):
     own = [media.render(b"%d" % i) for i in range(60)]
     rows = [(2 * i + k, 96, x.tobytes()) for i, p in enumerate(own) for k, x in enumerate((p, (media.box(p[None].astype(np.float32))[0] / 9).astype(np.uint8)))]
